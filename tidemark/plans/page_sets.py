@@ -12,7 +12,7 @@ from tidemark.functions.times import at_ms, day_start_of, hour
 from tidemark.operators.hours import filled_hours, missing_hours
 from tidemark.operators.rollups import pages_per_minute, with_day
 from tidemark.schema import ARCHIVE_PAGE_COLUMNS
-from tidemark.sources.archive import existing_hours, read_archive
+from tidemark.sources.archive import days_of, existing_hours, read_archive
 from tidemark.sources.tables import Tables
 
 
@@ -52,7 +52,7 @@ def unfilled_hours(tables: Tables, base: str, now_ms: int) -> DataFrame:
     """Archived hours the page sets are still kept for, with no finished fill."""
     kept_days = timedelta(days=RETENTION_DAYS["pages_per_minute"])
     first = (datetime.fromtimestamp(now_ms // 1000, timezone.utc) - kept_days).date()
-    archived = existing_hours(tables.spark, base).where(F.col("hour_s") >= day_start_of(first))
+    archived = existing_hours(tables.spark, base, days_of(day_start_of(first), now_ms // 1000 + 1)).where(F.col("hour_s") >= day_start_of(first))
     return missing_hours(archived, filled_hours(tables.read("pages_filled")))
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.text import hour_of_path, hour_path
+from tidemark.functions.text import hour_of_path
 from tidemark.functions.times import seconds
 from tidemark.schema import ARCHIVE
 from tidemark.sources.tables import Files
@@ -46,24 +46,28 @@ def read_archive(
     return rows if days is None else rows.where(F.col("dt").isin(*days))
 
 
-def existing_hours(spark: SparkSession, base: str) -> DataFrame:
-    """Hours that have a file, from listing alone: no content is read."""
-    if not Files(spark).exists(base):
+def existing_hours(spark: SparkSession, base: str, days: Sequence[date] | None = None) -> DataFrame:
+    """Hours that have a file, from listing alone (of some days only): no content is read."""
+    files = Files(spark)
+    paths = [base] if days is None else [f"{base}/dt={day}" for day in days]
+    paths = [p for p in paths if files.exists(p)]
+    if not paths:
         return spark.createDataFrame([], "hour_s BIGINT")
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
-        .load(base)
+        .load(paths)
         .select("path")
     )
     return listed.select(seconds(hour_of_path("path")).alias("hour_s")).where("hour_s IS NOT NULL").distinct()
 
 
-def hour_dirs(spark: SparkSession, base: str, hours: DataFrame) -> list[str]:
-    """Directories of a planner's hour list (bounded by the look-back)."""
-    paths = hours.select(hour_path(F.timestamp_seconds("hour_s")).alias("p")).orderBy("p")
-    return [f"{base}/{r['p']}" for r in paths.collect()]
+def days_of(from_s: int, to_s: int) -> list[date]:
+    """UTC days `[from, to)` touches."""
+    first = datetime.fromtimestamp(from_s, timezone.utc).date()
+    last = datetime.fromtimestamp(to_s - 1, timezone.utc).date()
+    return [first + timedelta(days=i) for i in range((last - first).days + 1)]
 
 
 def edits_by_day_and_lang(archived: DataFrame, first_day: date | None = None) -> DataFrame:

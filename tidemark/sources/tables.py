@@ -140,6 +140,28 @@ class Tables:
             self.files.remove(source)
         self.files.remove(stage)
 
+    def replace_all(self, name: str, rows: DataFrame, token: str) -> None:
+        """Make a log table (partitioned by token alone) hold exactly `rows`."""
+        schema, _ = TABLES[name]
+        stage = f"{self.root}/_staged/{name}"
+        rows = rows.withColumn("token", F.lit(token)).select(*schema.fieldNames())
+        rows.write.mode("overwrite").parquet(stage)
+        (
+            self.spark.read.schema(schema)
+            .parquet(stage)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("token")
+            .parquet(self.path(name))
+        )
+        self.files.remove(stage)
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write an intermediate result beside the tables and read it back, cutting its lineage."""
+        path = f"{self.root}/_work/{name}"
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def drop_partition(self, name: str, value: str) -> None:
         _, partitions = TABLES[name]
         self.files.remove(f"{self.path(name)}/{partitions[0]}={value}")
