@@ -424,3 +424,72 @@ add(
       ',"cost_check":{{"today":"', {_CHECK}, '","last_attempt_at":"', {_iso(_MS.format('fetched_ms'))}, '"}}}}') AS body
       FROM clock, h3, lag_hour, figure""",
 )
+
+# --- jobs over stored tables ---------------------------------------------------------------------
+
+add(
+    "stream_edits",
+    _M,
+    """SELECT event_id, epoch_ms(event_time) AS event_ms, epoch_ms(ingested_at) AS ingested_ms, wiki, lang, type,
+      namespace, title, is_bot, sse_id FROM stored""",
+)
+add(
+    "stream_rollup",
+    _M,
+    """SELECT CAST(epoch(date_trunc('minute', event_time)) AS BIGINT) AS minute_s, lang, count(*) AS edits,
+      count(*) FILTER (WHERE is_bot) AS bot_edits FROM stored GROUP BY 1, 2""",
+)
+add(
+    "stream_pages",
+    _M,
+    """SELECT DISTINCT CAST(epoch(date_trunc('minute', event_time)) AS BIGINT) AS minute_s, lang, namespace, title FROM stored""",
+)
+add(
+    "stream_outcomes",
+    _M,
+    """SELECT outcome, count(*) AS n FROM classified WHERE outcome <> 'kept' GROUP BY 1
+      UNION ALL SELECT 'kept', count(*) FROM stored
+      UNION ALL SELECT 'duplicate', (SELECT count(*) FROM classified WHERE outcome = 'kept') - (SELECT count(*) FROM stored)""",
+)
+add(
+    "archive_by_day_lang",
+    _E,
+    """SELECT CAST(event_time::DATE AS VARCHAR) AS dt, lang, count(*) AS edits,
+      round(avg(CASE WHEN is_bot THEN 1.0 ELSE 0.0 END), 3) AS bot_share FROM edits GROUP BY 1, 2""",
+)
+add(
+    "archive_rows",
+    _E,
+    """SELECT event_id, wiki, lang, type, CAST(namespace AS INTEGER) AS namespace, title, is_bot, strftime(event_time, '%H') AS hour,
+      epoch_ms(event_time) AS event_ms, epoch_ms(ingested_at) AS ingested_ms, CAST(event_time::DATE AS VARCHAR) AS dt FROM edits""",
+)
+add("archive_files", (*_E, _RAW_HOURS), "SELECT hour_s, rows, true AS inside FROM raw_hours")
+add(
+    "archive_run",
+    (*_EH, _RAW_HOURS),
+    """SELECT hour_s, 'written' AS result, rows, true AS filled FROM raw_hours, (
+        SELECT CAST(ceil(greatest((SELECT epoch_ms(min(event_time)) FROM edits), epoch_ms(t) + 120000 - 604800000) / 3600000.0) AS BIGINT) * 3600 AS lo,
+          (epoch_ms(t) // 1000 - 300) // 3600 * 3600 AS hi FROM head) WHERE hour_s >= lo AND hour_s < hi""",
+)
+add(
+    "archive_page_sets",
+    _EH,
+    """SELECT CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_s, lang, count(DISTINCT (namespace, title)) AS pages
+      FROM edits, head WHERE event_time::DATE >= (t + INTERVAL 2 MINUTE)::DATE - 14 GROUP BY 1, 2""",
+)
+for _name in ("rebuild_swap", "restored_minutes", "compacted_rollup"):
+    SQL[_name] = SQL["rollup_per_minute"]
+SQL["reconcile_job"] = SQL["reconcile_repair"]
+add(
+    "restored_edits",
+    _EH,
+    """SELECT event_id, '' AS sse_id, epoch_ms(ingested_at) * 1000000 AS ingest_seq, epoch_ms(event_time) AS event_ms, title
+      FROM edits, head WHERE event_time::DATE >= greatest(t::DATE - 1, (t + INTERVAL 2 MINUTE)::DATE - 6)""",
+)
+add(
+    "retained_edits",
+    _EHN,
+    """SELECT CAST(event_time::DATE AS VARCHAR) AS dt, count(*) AS rows FROM edits, clock
+      WHERE event_time::DATE >= now::DATE - 7 GROUP BY 1""",
+)
+add("reconnects_recorded_twice", (inp.BASE, inp.RECONNECTS), "SELECT reason, count(*) AS n FROM reconnects GROUP BY reason")
