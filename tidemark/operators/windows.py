@@ -105,15 +105,14 @@ def window_totals_preaggregated(
 
 
 def with_all(totals: DataFrame) -> DataFrame:
-    """Per-language totals plus an `all` row. Pages differ between wikis, so they add up too."""
-    sums = [F.sum(c).alias(c) for c in ("edits", "pages", "bot_edits")]
-    grouped = totals.groupingSets([[F.col("lang")], []], F.col("lang")).agg(
-        F.grouping("lang").alias("is_total"), *sums
-    )
-    return grouped.select(
-        F.when(F.col("is_total") == 1, "all").otherwise(F.col("lang")).alias("lang"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("edits", "pages", "bot_edits")],
-    )
+    """Per-language totals plus an `all` row (zeros when there are none).
+
+    Pages differ between wikis, so they add up too.
+    """
+    counts = ("edits", "pages", "bot_edits")
+    zero = totals.sparkSession.range(1).select(F.lit("all").alias("lang"), *[F.lit(0).alias(c) for c in counts])
+    both = totals.select(F.explode(F.array("lang", F.lit("all"))).alias("lang"), *counts)
+    return both.unionByName(zero).groupBy("lang").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def top_articles(edits: DataFrame, to_ms: int, window_s: int, per_lang: int) -> DataFrame:

@@ -9,8 +9,10 @@ page sets are then derived from what was written, so they cannot drift from it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +24,15 @@ from tidemark.operators.hours import max_ingest_seq
 from tidemark.sources.tables import Tables
 
 SEAM = "event_id STRING, sse_id STRING, ingest_seq BIGINT"
+SEAM_COLUMNS = ("event_id", "sse_id", "ingest_seq")
+
+
+def _at_once(*jobs: Callable[[], None]) -> None:
+    """Run independent writes side by side; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+    for job in running:
+        job.result()
 
 
 def run_tag(batch: DataFrame) -> str:
@@ -74,10 +85,12 @@ class Ingest:
 
             written = tables.read_token("edits", token)
             counts, pages = rollups.per_minute(written), rollups.pages_per_minute(written)
-            tables.write_once("edits_per_minute", rollups.with_month(counts), token)
-            tables.write_once("pages_per_minute", rollups.with_day(pages), token)
-            tables.write_once("outcomes", _settled(count_outcomes(outcomes), written), token)
-            self._remember(remembered.unionByName(written.select("event_id", "sse_id", "ingest_seq")), run, batch_id)
+            _at_once(
+                lambda: tables.write_once("edits_per_minute", rollups.with_month(counts), token),
+                lambda: tables.write_once("pages_per_minute", rollups.with_day(pages), token),
+                lambda: tables.write_once("outcomes", _settled(count_outcomes(outcomes), written), token),
+                lambda: self._remember(remembered.unionByName(written.select(*SEAM_COLUMNS)), run, batch_id),
+            )
         finally:
             outcomes.unpersist()
 
