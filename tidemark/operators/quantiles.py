@@ -9,22 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_EXACT_BITS = 12  # values below 2^12 are their own bucket
-
-
-def _bucket(value: Column) -> Column:
-    """An order-preserving bucket number: about 108,000 per sign over all of BIGINT."""
-    magnitude = F.when(value < 0, F.bitwise_not(value)).otherwise(value)
-    shift = F.greatest(F.lit(0), F.length(F.bin(magnitude)) - _EXACT_BITS)
-    number = shift * (1 << (_EXACT_BITS - 1)) + _shift_right(magnitude, shift)
-    return F.when(value < 0, -1 - number).otherwise(number)
-
-
-def _shift_right(value: Column, by: Column) -> Column:
-    return F.call_function("shiftright", value, by.cast("int"))
+# An order-preserving bucket number, about 108,000 per sign over all of BIGINT: values below 2^12
+# are their own bucket, larger ones keep their twelve leading bits. Negative values mirror.
+_MAGNITUDE = "if(value < 0, ~value, value)"
+_SHIFT = f"greatest(0, length(bin({_MAGNITUDE})) - 12)"
+_NUMBER = f"({_SHIFT} * 2048 + shiftright({_MAGNITUDE}, {_SHIFT}))"
+BUCKET = f"if(value < 0, -1 - {_NUMBER}, {_NUMBER})"
+
+# Both `coalesce`d frames are bounded: `coarse` by the number of buckets, `inside` by the distinct
+# values of the buckets the quantiles fall in (each spans 1/2,048 of its values' magnitude).
+_LOCATE = """
+SELECT bucket, through - n AS before, events, want.name AS name, want.rank AS rank
+FROM (SELECT bucket, n, through, events, explode({wanted}) AS want
+      FROM (SELECT bucket, n, sum(n) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS through,
+                   sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS events
+            FROM {{coarse}}))
+WHERE want.rank >= through - n AND want.rank < through
+"""
+_PICK = """
+SELECT coalesce(max(events), 0L) AS events, {picked}
+FROM (SELECT *, before + sum(n) OVER (PARTITION BY name ORDER BY value ROWS UNBOUNDED PRECEDING) AS through FROM {{inside}})
+WHERE rank < through
+"""
 
 
 def exact_quantiles(values: DataFrame, column: str, probabilities: Mapping[str, float]) -> DataFrame:
@@ -32,47 +41,20 @@ def exact_quantiles(values: DataFrame, column: str, probabilities: Mapping[str,
 
     A quantile p of n values is the element at 0-based rank floor(p * n) in sorted order.
     """
-    rows = values.select(F.col(column).cast("bigint").alias("value")).where("value IS NOT NULL")
-    rows = rows.withColumn("bucket", _bucket(F.col("value")))
-
-    coarse = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1))
-    running = coarse.select(
-        "bucket",
-        (F.sum("n").over(upto) - F.col("n")).alias("before"),
-        F.sum("n").over(upto).alias("through"),
-        F.sum("n").over(everything).alias("events"),
-    )
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
-    )
-    rank = F.least(F.floor(F.col("want.p") * F.col("events")), F.col("events") - 1)
-    located = (
-        running.withColumn("want", wanted)
-        .withColumn("rank", rank)
-        .where("rank >= before AND rank < through")
-        .select("bucket", "before", "events", F.col("want.name").alias("name"), "rank")
+    spark = values.sparkSession
+    rows = values.selectExpr(f"CAST({column} AS BIGINT) AS value").where("value IS NOT NULL")
+    rows = rows.selectExpr("value", f"{BUCKET} AS bucket")
+    ranks = ", ".join(
+        f"named_struct('name', '{k}', 'rank', least(floor({float(p)}D * events), events - 1))" for k, p in probabilities.items()
     )
-    # At most one bucket per quantile: a handful of rows.
+    coarse = rows.groupBy("bucket").agg(F.expr("count(*) AS n")).coalesce(1)
+    located = spark.sql(_LOCATE.format(wanted=f"array({ranks})"), coarse=coarse)
+    # At most one bucket per quantile is located: a handful of rows.
     inside = (
         rows.join(F.broadcast(located), "bucket")
-        .groupBy("name", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.first("before").alias("before"),
-            F.first("rank").alias("rank"),
-            F.first("events").alias("events"),
-        )
-    )
-    within = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = (
-        inside.withColumn("through", F.col("before") + F.sum("n").over(within))
-        .where("rank < through")
-        .groupBy("name")
-        .agg(F.min("value").alias("value"), F.first("events").alias("events"))
-    )
-    return picked.agg(
-        F.coalesce(F.max("events"), F.lit(0)).cast("bigint").alias("events"),
-        *[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in probabilities],
+        .groupBy("name", "value", "before", "rank", "events")
+        .agg(F.expr("count(*) AS n"))
+        .coalesce(1)
     )
+    picked = ", ".join(f"min(value) FILTER (WHERE name = '{k}') AS {k}" for k in probabilities)
+    return spark.sql(_PICK.format(picked=picked), inside=inside)

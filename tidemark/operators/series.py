@@ -7,32 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import at_ms, minute, ms, seconds
+from tidemark.functions.times import at_ms, minute, ms
 from tidemark.operators.windows import MINUTE_MS, floor_minute_ms, prune_days
 
 Langs = Sequence[str]
 
 
-def edits_per_minute_series(
-    edits_per_minute: DataFrame, edits: DataFrame, to_ms: int, minutes: int
-) -> DataFrame:
-    """Finished minutes from the pre-aggregate; the minute still filling from raw rows up to `to`."""
+def minute_parts(edits_per_minute: DataFrame, edits: DataFrame, to_ms: int, minutes: int) -> DataFrame:
+    """What the chart adds up: partials of finished minutes from the pre-aggregate, and each raw row
+    of the minute still filling, up to `to`."""
     current = floor_minute_ms(to_ms)
     first = current - minutes * MINUTE_MS
-    finished = (
-        prune_days(edits_per_minute, first, current)
-        .where((F.col("minute") > at_ms(first)) & (F.col("minute") < at_ms(current)))
-        .groupBy(seconds("minute").alias("minute_s"), "lang")
-        .agg(F.sum("edits").alias("edits"))
+    finished = prune_days(edits_per_minute, first, current).where(
+        (F.col("minute") > at_ms(first)) & (F.col("minute") < at_ms(current))
+    )
+    filling = prune_days(edits, current, to_ms).where(
+        (F.col("event_time") >= at_ms(current)) & (F.col("event_time") <= at_ms(to_ms))
     )
-    filling = (
-        prune_days(edits, current, to_ms)
-        .where((F.col("event_time") >= at_ms(current)) & (F.col("event_time") <= at_ms(to_ms)))
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("edits"))
-        .select(F.lit(current // 1000).cast("bigint").alias("minute_s"), "lang", "edits")
+    return finished.selectExpr("unix_seconds(minute) AS minute_s", "lang", "edits").unionAll(
+        filling.selectExpr(f"{current // 1000}L AS minute_s", "lang", "1L AS edits")
     )
-    return finished.unionByName(filling)
+
+
+def edits_per_minute_series(edits_per_minute: DataFrame, edits: DataFrame, to_ms: int, minutes: int) -> DataFrame:
+    """Edits per minute and language over the chart, one shuffle for both sources."""
+    parts = minute_parts(edits_per_minute, edits, to_ms, minutes)
+    return parts.groupBy("minute_s", "lang").agg(F.sum("edits").alias("edits"))
 
 
 def recent_gaps(gaps: DataFrame, to_ms: int, minutes: int) -> DataFrame:
@@ -63,35 +63,26 @@ def minute_series(
 ) -> DataFrame:
     """`lang, t, edits, partial` for each chart minute, each language and `all`.
 
-    A minute is known when any language has a row in it and no gap touches it; then a language
-    without rows is 0. Otherwise every value of the minute is NULL. Spine, counts and gap minutes
-    meet in one grouping by minute: no joins.
+    `counts` may hold several rows per minute and language; they add up. A minute is known when any
+    language has a row in it and no gap touches it; then a language without rows is 0. Otherwise
+    every value of the minute is NULL. Spine, counts and gap minutes meet in one grouping by minute:
+    no joins.
     """
     last = floor_minute_ms(to_ms)
     first = last - (minutes - 1) * MINUTE_MS
-    spark = counts.sparkSession
-    spine = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first // 1000), F.lit(last // 1000), F.lit(60))).alias("minute_s")
-    )
-    spine = spine.select(F.col("minute_s").cast("bigint").alias("minute_s"))
-    rows = spine.unionByName(
-        counts.where(F.col("lang").isin(*langs)).select("minute_s", "lang", "edits"), allowMissingColumns=True
-    )
-    touched = F.lit(False)
+    rows = counts.where(F.col("lang").isin(*langs)).selectExpr("minute_s", "lang", "edits", "false AS gap")
+    spine = counts.sparkSession.range(first // 1000, last // 1000 + 1, 60, 1)
+    rows = rows.unionAll(spine.selectExpr("id AS minute_s", "NULL AS lang", "NULL AS edits", "false AS gap"))
     if gaps is not None:
         blank = gap_minutes(recent_gaps(gaps, to_ms, minutes), first, last)
-        rows = rows.unionByName(blank.withColumn("gap", F.lit(True)), allowMissingColumns=True)
-        touched = F.coalesce(F.bool_or("gap"), F.lit(False))
-    per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("edits"))), F.lit(0)).alias(f"n_{x}") for x in langs]
+        rows = rows.unionAll(blank.selectExpr("minute_s", "NULL AS lang", "NULL AS edits", "true AS gap"))
+    per_lang = [f"coalesce(sum(edits) FILTER (WHERE lang = '{x}'), 0L) AS n_{x}" for x in langs]
     minute_rows = (
         rows.where(F.col("minute_s").between(first // 1000, last // 1000))
         .groupBy("minute_s")
-        .agg(((F.count("edits") > 0) & ~touched).alias("known"), F.sum("edits").alias("n_all"), *per_lang)
+        .agg(*[F.expr(e) for e in ("count(edits) > 0 AND NOT bool_or(gap) AS known", "sum(edits) AS n_all", *per_lang)])
     )
-    values = F.array(*[F.struct(F.lit(x).alias("lang"), F.col(f"n_{x}").alias("edits")) for x in [*langs, "all"]])
-    return minute_rows.select("minute_s", "known", F.explode(values).alias("v")).select(
-        F.col("v.lang").alias("lang"),
-        F.col("minute_s").alias("t"),
-        F.when(F.col("known"), F.col("v.edits")).alias("edits"),
-        (F.col("minute_s") == last // 1000).alias("partial"),
+    values = ", ".join(f"named_struct('lang', '{x}', 'edits', if(known, n_{x}, NULL))" for x in [*langs, "all"])
+    return minute_rows.selectExpr("minute_s", f"inline(array({values}))").selectExpr(
+        "lang", "minute_s AS t", "edits", f"minute_s = {last // 1000} AS partial"
     )

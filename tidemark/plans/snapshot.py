@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, SNAPSHOT_MINUTES, SNAPSHOT_WINDOW_S, TOP_N, Settings
@@ -11,53 +11,31 @@ from tidemark.functions.status import snapshot_status
 from tidemark.functions.text import article_url
 from tidemark.functions.times import at_ms, iso
 from tidemark.operators.lag import ingest_lag
-from tidemark.operators.series import edits_per_minute_series, minute_series
-from tidemark.operators.windows import lang_order, newest_ms, top_articles, window_totals, with_all
+from tidemark.operators.series import minute_parts, minute_series
+from tidemark.operators.windows import newest_ms, top_articles, window_totals
 
 DATASET = "wikipedia"
 JSON = {"ignoreNullFields": "false"}
 
 
-def _totals(edits: DataFrame, to_ms: int, langs: tuple[str, ...]) -> DataFrame:
-    totals = with_all(window_totals(edits, to_ms, SNAPSHOT_WINDOW_S, langs))
-    return totals.select(
-        "lang",
-        F.struct(
-            F.col("edits").alias("edits_5m"),
-            F.col("pages").alias("pages_5m"),
-            share("bot_edits", "edits").alias("bot_share_5m"),
-        ).alias("totals"),
-    )
+# What each section adds to the fold; a section leaves the others' columns NULL.
+_SECTIONS = {
+    "edits": "BIGINT",
+    "pages": "BIGINT",
+    "bot_edits": "BIGINT",
+    "article": "STRUCT<less: BIGINT, title: STRING, place: INT, lang: STRING, edits: BIGINT>",
+    "bucket": "STRUCT<t: BIGINT, edits: BIGINT, partial: BOOLEAN>",
+}
 
 
-def _tops(edits: DataFrame, to_ms: int, langs: tuple[str, ...]) -> DataFrame:
-    """Each language's top articles, and the same rows merged for `all`: at most
-    `TOP_N` per language reach the grouping."""
-    tops = top_articles(edits, to_ms, SNAPSHOT_WINDOW_S, TOP_N).where(F.col("lang").isin(*langs))
-    keyed = tops.select(
-        "lang",
-        F.struct((-F.col("edits")).alias("less"), "title", lang_order(langs).alias("place"), "lang", "edits").alias("a"),
-    )
-    keyed = keyed.select(F.explode(F.array("lang", F.lit("all"))).alias("lang"), "a")
-    ordered = keyed.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("a")), 1, TOP_N).alias("ordered"))
-    article = F.transform(
-        "ordered",
-        lambda a: F.struct(
-            a["title"].alias("title"),
-            a["lang"].alias("lang"),
-            a["edits"].alias("edits"),
-            article_url(a["lang"], a["title"]).alias("url"),
-        ),
-    )
-    return ordered.select("lang", article.alias("top_articles"))
+def _section(rows: DataFrame, **columns: str) -> DataFrame:
+    """`lang` and one section's columns, in the fold's layout."""
+    return rows.selectExpr("lang", *[f"CAST({columns.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in _SECTIONS.items()])
 
 
-def _chart(edits: DataFrame, per_minute: DataFrame, gaps: DataFrame | None, to_ms: int, langs: tuple[str, ...]) -> DataFrame:
-    counts = edits_per_minute_series(per_minute, edits, to_ms, SNAPSHOT_MINUTES)
-    series = minute_series(counts, gaps, to_ms, SNAPSHOT_MINUTES, langs)
-    return series.groupBy("lang").agg(
-        F.array_sort(F.collect_list(F.struct("t", "edits", "partial"))).alias("per_minute")
-    )
+def _for_all(rows: DataFrame) -> DataFrame:
+    """Each row once for its language and once for `all`."""
+    return rows.selectExpr("*", "explode(array(lang, 'all')) AS for_lang").selectExpr("for_lang AS lang", "* EXCEPT (lang, for_lang)")
 
 
 def snapshot_langs(
@@ -65,40 +43,60 @@ def snapshot_langs(
 ) -> DataFrame:
     """One row per language and for `all`: totals, top articles, 60 minute buckets.
 
-    The three sections are stacked and folded by language, so each language is listed even with
-    nothing counted, and no joins are needed.
+    The sections are stacked and folded by language in one small shuffle: at most two rows a
+    language of totals, `TOP_N` articles a language for each of two lists, and 60 buckets a list.
+    No joins, and a language with nothing counted is still listed.
     """
     langs = settings.langs
-    spine = edits.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*langs, "all"]])).alias("lang"))
-    stacked = spine
-    for section in (_totals(edits, to_ms, langs), _tops(edits, to_ms, langs), _chart(edits, per_minute, gaps, to_ms, langs)):
-        stacked = stacked.unionByName(section, allowMissingColumns=True)
-    folded = stacked.groupBy("lang").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("totals", "top_articles", "per_minute")]
+    places = ", ".join(f"'{x}'" for x in [*langs, "all"])
+    totals = _section(
+        _for_all(window_totals(edits, to_ms, SNAPSHOT_WINDOW_S, langs)), edits="edits", pages="pages", bot_edits="bot_edits"
     )
-    return folded.select(
+    tops = top_articles(edits, to_ms, SNAPSHOT_WINDOW_S, TOP_N).where(F.col("lang").isin(*langs))
+    tops = tops.selectExpr(
         "lang",
-        F.coalesce("totals.edits_5m", F.lit(0)).alias("edits_5m"),
-        F.coalesce("totals.pages_5m", F.lit(0)).alias("pages_5m"),
-        F.col("totals.bot_share_5m").alias("bot_share_5m"),
-        F.coalesce("top_articles", F.array()).alias("top_articles"),
-        "per_minute",
+        f"named_struct('less', -edits, 'title', title, 'place', CAST(array_position(array({places}), lang) AS INT), "
+        "'lang', lang, 'edits', edits) AS article",
     )
+    parts = minute_parts(per_minute, edits, to_ms, SNAPSHOT_MINUTES)
+    chart = minute_series(parts, gaps, to_ms, SNAPSHOT_MINUTES, langs)
+    spine = edits.sparkSession.range(0, 1, 1, 1).selectExpr(f"explode(array({places})) AS lang")
+    stacked = (
+        _section(spine)
+        .unionAll(totals)
+        .unionAll(_section(_for_all(tops), article="article"))
+        .unionAll(_section(chart, bucket="named_struct('t', t, 'edits', edits, 'partial', partial)"))
+    )
+    folded = stacked.groupBy("lang").agg(
+        F.expr("coalesce(sum(edits), 0L) AS edits_5m"),
+        F.expr("coalesce(sum(pages), 0L) AS pages_5m"),
+        share(F.sum("bot_edits"), F.sum("edits")).alias("bot_share_5m"),
+        F.expr(f"slice(array_sort(collect_list(article)), 1, {TOP_N}) AS ordered"),
+        F.expr("array_sort(collect_list(bucket)) AS per_minute"),
+    )
+    articles = F.transform(
+        "ordered",
+        lambda a: F.struct(
+            a["title"].alias("title"),
+            a["lang"].alias("lang"),
+            a["edits"].alias("edits"),
+            article_url(a["lang"], a["title"]).alias("url"),
+        ),
+    )
+    return folded.select("lang", "edits_5m", "pages_5m", "bot_share_5m", articles.alias("top_articles"), "per_minute")
 
 
-def snapshot_head(lag: DataFrame, to_ms: int | None, now_ms: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row: what the snapshot says about itself."""
+def _head(to_ms: int | None, now_ms: int, settings: Settings) -> list[Column]:
+    """What the snapshot says about itself, before its contents."""
     newest = F.lit(to_ms).cast("bigint")
-    return lag.select(
+    return [
         F.lit(DATASET).alias("dataset"),
         snapshot_status(newest, now_ms, settings.stale_after_s).alias("status"),
         iso(at_ms(now_ms)).alias("computed_at"),
         iso(F.timestamp_millis(newest)).alias("as_of"),
-        (F.greatest(F.lit(0), F.lit(now_ms) - newest) / 1000).alias("last_event_age_s"),
+        F.when(newest.isNotNull(), F.greatest(F.lit(0), F.lit(now_ms) - newest) / 1000).alias("last_event_age_s"),
         F.lit(float(settings.stale_after_s)).alias("stale_after_s"),
-        F.struct(F.col("p50_ms").alias("p50"), F.col("p95_ms").alias("p95")).alias("ingest_lag_ms"),
-        F.lit(SNAPSHOT_WINDOW_S).alias("window_s"),
-    )
+    ]
 
 
 def snapshot(
@@ -106,25 +104,27 @@ def snapshot(
 ) -> DataFrame:
     """One row with the whole document; `langs` maps each language and `all` to its summary.
 
-    The head, the lag and the languages are scalar subqueries, which Spark runs side by side.
+    The lag and the languages are scalar subqueries, which Spark runs side by side.
     """
-    spark, to_ms = edits.sparkSession, newest_ms(edits)
+    one, to_ms = edits.sparkSession.range(0, 1, 1, 1), newest_ms(edits)
+    head = _head(to_ms, now_ms, settings)
     if to_ms is None:
-        nothing = spark.range(1).select(F.lit(None).cast("bigint").alias("p50_ms"), F.lit(None).cast("bigint").alias("p95_ms"))
-        head = snapshot_head(nothing, None, now_ms, settings).drop("ingest_lag_ms", "window_s")
-        return head.withColumns({"last_event_age_s": F.lit(None).cast("double"), "langs": F.create_map()})
-    summary = F.struct("edits_5m", "pages_5m", "bot_share_5m", "top_articles", "per_minute")
-    places = F.array(*[F.lit(x) for x in [*settings.langs, "all"]])
+        return one.select(*head, F.create_map().alias("langs"))
+    places = ", ".join(f"'{x}'" for x in [*settings.langs, "all"])
+    entry = (
+        f"named_struct('i', array_position(array({places}), lang), 'lang', lang, 's', "
+        "struct(edits_5m, pages_5m, bot_share_5m, top_articles, per_minute))"
+    )
     langs = snapshot_langs(edits, per_minute, gaps, to_ms, settings).agg(
-        F.map_from_entries(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.array_position(places, F.col("lang")).alias("i"), "lang", summary.alias("s")))),
-                lambda x: F.struct(x["lang"], x["s"]),
-            )
-        ).alias("langs")
+        F.expr(f"map_from_entries(transform(array_sort(collect_list({entry})), x -> struct(x.lang, x.s))) AS langs")
+    )
+    lag = ingest_lag(edits, to_ms).selectExpr("struct(p50_ms AS p50, p95_ms AS p95) AS lag")
+    return one.select(
+        *head,
+        lag.scalar().alias("ingest_lag_ms"),
+        F.lit(SNAPSHOT_WINDOW_S).alias("window_s"),
+        langs.scalar().alias("langs"),
     )
-    head = snapshot_head(ingest_lag(edits, to_ms), to_ms, now_ms, settings)
-    return head.withColumn("langs", langs.scalar())
 
 
 def to_document(one_row: DataFrame, status: str | None = None) -> DataFrame:

@@ -34,6 +34,7 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         .appName("tidemark")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack walk per column
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.parquet.compression.codec", "zstd")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,10 +27,10 @@ SEAM = "event_id STRING, sse_id STRING, ingest_seq BIGINT"
 SEAM_COLUMNS = ("event_id", "sse_id", "ingest_seq")
 
 
-def _at_once(*jobs: Callable[[], None]) -> None:
+def _at_once(spark: SparkSession, *jobs: Callable[[], None]) -> None:
     """Run independent writes side by side; the first failure is raised once all have ended."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
     for job in running:
         job.result()
 
@@ -71,8 +71,8 @@ class Ingest:
         outcomes = classify(batch, self.settings, self.floor_ms).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             remembered = self._remembered(run, batch_id, token)
-            bounds = outcomes.agg(
-                F.min("position").alias("first"), F.unix_micros(F.min("ingested_at")).alias("clock_us")
+            bounds = batch.agg(
+                F.min("position").alias("first"), F.unix_micros(F.min("received_at")).alias("clock_us")
             ).first()
             if bounds["first"] is None:
                 return self._remember(remembered, run, batch_id)
@@ -86,6 +86,7 @@ class Ingest:
             written = tables.read_token("edits", token)
             counts, pages = rollups.per_minute(written), rollups.pages_per_minute(written)
             _at_once(
+                tables.spark,
                 lambda: tables.write_once("edits_per_minute", rollups.with_month(counts), token),
                 lambda: tables.write_once("pages_per_minute", rollups.with_day(pages), token),
                 lambda: tables.write_once("outcomes", _settled(count_outcomes(outcomes), written), token),
