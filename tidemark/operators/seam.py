@@ -18,8 +18,13 @@ def ingest_tail(edits: DataFrame, limit: int, floor_seq: int | None = None) -> D
 
 
 def latest_bookmark(edits: DataFrame) -> DataFrame:
-    """The stream id of the row ingested last; no row when it has none (restored rows don't)."""
-    newest = edits.agg(F.max_by("sse_id", "ingest_seq").alias("sse_id"))
+    """The stream id of the row ingested last; no row when it has none (restored rows don't).
+
+    The highest sequence number is found first, from one narrow column; the wide ids are then read
+    only from row groups that can hold it.
+    """
+    last = edits.agg(F.max("ingest_seq")).scalar()
+    newest = edits.where(F.col("ingest_seq") >= last).agg(F.max("sse_id").alias("sse_id"))
     return newest.where("sse_id <> ''")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import DEFAULTS, PAGES_KEPT_S, PREAGGREGATED_WINDOWS, WINDOWS_S, Settings
+from tidemark.config import PAGES_KEPT_S, PREAGGREGATED_WINDOWS, WINDOWS_S
 from tidemark.functions.ratios import share
 from tidemark.functions.times import at_ms, iso
 from tidemark.operators.windows import newest_ms, window_totals, window_totals_preaggregated
@@ -42,13 +42,14 @@ def activity(
     pages: DataFrame,
     request: Request,
     now_ms: int,
-    settings: Settings = DEFAULTS,
+    to_ms: int | None = None,
 ) -> DataFrame:
-    """One row. Windows up to a day read raw rows; 3 and 7 days read the pre-aggregates.
+    """One row, for the window ending at `to_ms` (the newest event, read here if not given). Windows up to a day read raw rows; 3 and 7 days read the pre-aggregates.
 
     Pages are unknown (NULL) when a pre-aggregated window starts before the page sets are kept.
     """
-    to_ms, window_s = newest_ms(edits), WINDOWS_S[request.window]
+    to_ms = newest_ms(edits) if to_ms is None else to_ms
+    window_s = WINDOWS_S[request.window]
     preaggregated = request.window in PREAGGREGATED_WINDOWS
     if to_ms is None:
         totals = edits.sparkSession.createDataFrame([], "lang STRING, edits BIGINT, pages BIGINT, bot_edits BIGINT")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY_S, DEFAULTS, HOUR_S, MINUTE_S, RESTORE_MARGIN_S, Settings
+from tidemark.operators.seam import latest_bookmark
 
 MINUTE_MS, HOUR_MS, DAY_MS = MINUTE_S * 1000, HOUR_S * 1000, DAY_S * 1000
 
@@ -22,8 +23,7 @@ def stored_position(edits: DataFrame, edits_per_minute: DataFrame) -> DataFrame:
         F.unix_millis(F.min("event_time")).alias("oldest_ms"),
         F.unix_millis(F.max("ingested_at")).alias("ingested_ms"),
         F.coalesce(F.max("ingest_seq"), F.lit(0)).alias("last_seq"),
-        F.coalesce(F.max_by("sse_id", "ingest_seq"), F.lit("")).alias("sse_id"),
-    ).withColumn("rollup_ms", last_minute)
+    ).withColumns({"rollup_ms": last_minute, "sse_id": F.coalesce(latest_bookmark(edits).scalar(), F.lit(""))})
 
 
 def resume_state(edits: DataFrame, edits_per_minute: DataFrame, now_ms: int, settings: Settings = DEFAULTS) -> DataFrame:

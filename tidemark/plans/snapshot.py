@@ -100,13 +100,20 @@ def _head(to_ms: int | None, now_ms: int, settings: Settings) -> list[Column]:
 
 
 def snapshot(
-    edits: DataFrame, per_minute: DataFrame, gaps: DataFrame | None, now_ms: int, settings: Settings = DEFAULTS
+    edits: DataFrame,
+    per_minute: DataFrame,
+    gaps: DataFrame | None,
+    now_ms: int,
+    settings: Settings = DEFAULTS,
+    to_ms: int | None = None,
 ) -> DataFrame:
     """One row with the whole document; `langs` maps each language and `all` to its summary.
 
-    The lag and the languages are scalar subqueries, which Spark runs side by side.
+    `to_ms` is the watermark every part ends at; pass `Tables.watermark_ms()` to read it from the
+    newest day alone, else it is read from `edits`. The lag and the languages are scalar subqueries, which Spark runs side by side.
     """
-    one, to_ms = edits.sparkSession.range(0, 1, 1, 1), newest_ms(edits)
+    one = edits.sparkSession.range(0, 1, 1, 1)
+    to_ms = newest_ms(edits) if to_ms is None else to_ms
     head = _head(to_ms, now_ms, settings)
     if to_ms is None:
         return one.select(*head, F.create_map().alias("langs"))

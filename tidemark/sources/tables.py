@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators.windows import newest_ms
 from tidemark.schema import TABLES
 
 _SORT = {
@@ -100,6 +101,14 @@ class Tables:
         _, partitions = TABLES[name]
         return self.files.children(self.path(name), partitions[0])
 
+    def watermark_ms(self) -> int | None:
+        """Newest event time, from the newest day that has rows: older days aren't opened."""
+        for day in reversed(self.partitions("edits")):
+            found = newest_ms(self.read("edits").where(F.col("dt") == F.lit(day).cast("date")))
+            if found is not None:
+                return found
+        return None
+
     def replace(self, name: str, values: Sequence[str], rows: DataFrame, token: str) -> None:
         """Make whole partitions hold exactly `rows`. Partitions not listed are untouched."""
         schema, (part, _) = TABLES[name]
