@@ -18,6 +18,7 @@ from tidemark.operators import classify as classify_ops
 from tidemark.operators import costs, gaps, hours, lag, reconcile, rollups, seam, series, slo, windows
 from tidemark.plans import activity as activity_plan
 from tidemark.plans import ops_report, resume, snapshot
+from tidemark.plans.archive import due_range
 from tidemark.session import prepare
 from tidemark.sources import given_tables as given
 
@@ -495,10 +496,9 @@ def recorded_counts_latest(spark, sf_dir):
 @query
 def archive_plan_due(spark, sf_dir):
     """Finished hours of the last week whose file holds fewer rows than raw."""
-    from tidemark.plans.archive import due_range
-
     i = Inputs(spark, sf_dir)
-    from_s, to_s = due_range(i.edits, i.now_ms)
+    span = hours.raw_span(i.edits).first()
+    from_s, to_s = due_range(span["oldest_ms"], span["newest_ms"], i.now_ms)
     raw = hours.hour_counts(i.edits, from_s, to_s)
     return hours.due_hours(raw, hours.recorded_counts(i.derived("recorded_hours"), from_s, to_s))
 

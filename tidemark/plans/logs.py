@@ -22,9 +22,11 @@ def record_reconnects(tables: Tables, landed: DataFrame, token: str) -> None:
     tables.write_once("ingest_reconnects", landed, f"rc-{token}")
 
 
-def record_sample(tables: Tables, now_ms: int, recent_days: int = 7) -> None:
+def record_sample(tables: Tables, now_ms: int) -> None:
     """Sample the newest event's age, once per minute however often it runs in it."""
-    edits = prune_days(tables.read("edits"), now_ms - recent_days * 86_400_000, now_ms + 86_400_000)
+    edits, newest = tables.read("edits"), tables.watermark_ms()
+    if newest is not None:
+        edits = prune_days(edits, newest, newest)
     tables.write_once("freshness_samples", freshness_sample(edits, now_ms), f"m-{now_ms // 60_000}")
 
 

@@ -49,12 +49,11 @@ def require_unchanged(tables: Tables, mark: Mark) -> None:
 
 def find_mismatches(tables: Tables, now_ms: int, settings: Settings = DEFAULTS) -> DataFrame:
     """Settled whole minutes where raw and the pre-aggregate disagree; empty if nothing is settled."""
-    edits = tables.read("edits")
-    span = hours.raw_span(edits).first()
-    if span["n"]:
-        from_s, to_s = reconcile.settled_range(span["oldest_ms"] // 1000, now_ms, settings.reconcile_settle_s)
+    oldest_ms = tables.oldest_ms()
+    if oldest_ms is not None:
+        from_s, to_s = reconcile.settled_range(oldest_ms // 1000, now_ms, settings.reconcile_settle_s)
         if to_s > from_s:
-            return reconcile.mismatches(edits, tables.read("edits_per_minute"), from_s, to_s)
+            return reconcile.mismatches(tables.read("edits"), tables.read("edits_per_minute"), from_s, to_s)
     return tables.spark.createDataFrame([], MISMATCH)
 
 

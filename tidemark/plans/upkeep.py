@@ -47,6 +47,8 @@ def compact_log(tables: Tables, name: str, now_ms: int) -> None:
         rows = rows.groupBy("hour").agg(
             F.max_by(F.struct("rows", "written_at"), F.struct("written_at", "rows")).alias("r")
         ).select("hour", "r.rows", "r.written_at")
+    elif name == "outcomes":
+        rows = rows.groupBy("outcome").agg(F.sum("n").alias("n"))
     elif name == "pages_filled":
         rows = rows.groupBy("hour").agg(F.max("filled_at").alias("filled_at"))
     tables.replace_all(name, rows, f"compacted-{now_ms}")
@@ -55,9 +57,11 @@ def compact_log(tables: Tables, name: str, now_ms: int) -> None:
 def delete_rows(tables: Tables, name: str, value: str, doomed: Column, now_ms: int, settings: Settings = DEFAULTS) -> None:
     """Rewrite one partition without the rows `doomed` is true for."""
     tables.finish_replace(name)
-    require_quiet(tables, now_ms, settings.quiet_s)
+    mark = require_quiet(tables, now_ms, settings.quiet_s)
     kept = _partition(tables, name, value).where(~F.coalesce(doomed, F.lit(False)))
     tables.replace(name, [value], kept.drop("token"), f"deleted-{now_ms}")
+    if name != "edits":  # deleting raw rows moves the mark itself
+        require_unchanged(tables, mark)
 
 
 def _cutoff(now_ms: int, days: int) -> date:

@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.windows import newest_ms
+from tidemark.functions.times import ms
 from tidemark.schema import TABLES
 
+# Smaller row groups than Parquet's default: files are sorted by (language, time), so a window of
+# minutes skips most of a day, and one day's file still splits across tasks.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 _SORT = {
     "edits": ("lang", "event_time"),
     "edits_per_minute": ("lang", "minute"),
-    "pages_per_minute": ("lang", "minute"),
+    "pages_per_minute": ("lang", "namespace", "title"),
 }
 
 
@@ -92,6 +96,7 @@ class Tables:
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("parquet.block.size", ROW_GROUP_BYTES)
             .partitionBy(*partitions)
             .parquet(self.path(name))
         )
@@ -101,14 +106,23 @@ class Tables:
         _, partitions = TABLES[name]
         return self.files.children(self.path(name), partitions[0])
 
-    def watermark_ms(self) -> int | None:
-        """Newest event time, from the newest day that has rows: older days aren't opened."""
-        for day in reversed(self.partitions("edits")):
-            found = newest_ms(self.read("edits").where(F.col("dt") == F.lit(day).cast("date")))
+    def _edge_ms(self, days: list[str], aggregate) -> int | None:
+        """An aggregate event time of the first of `days` that has rows."""
+        for day in days:
+            rows = self.read("edits").where(F.col("dt") == F.lit(day).cast("date"))
+            found = rows.agg(ms(aggregate("event_time")).alias("edge")).first()["edge"]
             if found is not None:
                 return found
         return None
 
+    def watermark_ms(self) -> int | None:
+        """Newest event time, from the newest day that has rows: older days aren't opened."""
+        return self._edge_ms(self.partitions("edits")[::-1], F.max)
+
+    def oldest_ms(self) -> int | None:
+        """Oldest event time, from the oldest day that has rows."""
+        return self._edge_ms(self.partitions("edits"), F.min)
+
     def replace(self, name: str, values: Sequence[str], rows: DataFrame, token: str) -> None:
         """Make whole partitions hold exactly `rows`. Partitions not listed are untouched."""
         schema, (part, _) = TABLES[name]
@@ -143,6 +157,7 @@ class Tables:
                 .parquet(source)
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "static")
+                .option("parquet.block.size", ROW_GROUP_BYTES)
                 .partitionBy("token")
                 .parquet(f"{self.path(name)}/{part}={value}")
             )
