@@ -235,3 +235,46 @@ def test_a_retried_write_is_stored_once(tables):
     store(tables, batch, "batch-1")
     assert tables.read("edits").count() == 50
     assert tables.read("edits_per_minute").agg(F.sum("edits")).first()[0] == 50
+
+
+def test_a_batch_with_nothing_to_keep(spark, tables):
+    ingest = Ingest(tables, Settings(seam_ids=50))
+    ingest.write(landed(spark, [(1, "{broken", "[]"), (2, json.dumps(event(wiki="frwiki")), "[]")]), "run", 0)
+    ingest.write(landed(spark, []), "run", 1)
+    ingest.write(landed(spark, [(3, json.dumps(event()), "[]"), (4, json.dumps(event()), "[]")]), "run", 2)
+    assert ids(tables) == [GOOD["meta"]["id"]]
+    got = {r["outcome"]: r["n"] for r in tables.read("outcomes").groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert got == {"malformed": 1, "other_wiki": 1, "kept": 1, "duplicate": 1}
+
+
+def test_one_id_in_a_third_of_the_batch_is_stored_once(spark, tables):
+    """A hot id repeated thousands of times beside others, in many tasks."""
+    rest = spark.range(4_000).selectExpr("id AS position", "format_string('00000000-0000-4000-8000-%012d', id) AS uid")
+    hot = spark.range(2_000).selectExpr("10000 + id AS position", "'00000000-0000-4000-8000-999999999999' AS uid")
+    body = (
+        "concat('{\"meta\":{\"id\":\"', uid, '\",\"dt\":\"2026-10-04T18:00:00Z\",\"domain\":\"x\"},\"wiki\":\"enwiki\","
+        "\"type\":\"edit\",\"namespace\":0,\"title\":\"Hot\"}')"
+    )
+    batch = rest.unionAll(hot).repartition(8).selectExpr(
+        "position", "'[]' AS sse_id", f"{body} AS data", "timestamp'2026-10-04 18:00:01' AS received_at"
+    )
+    Ingest(tables).write(batch, "run", 0)
+    stored = tables.read("edits")
+    assert stored.count() == stored.select("event_id").distinct().count() == 4_001
+    assert rollups.merge_counts(tables.read("edits_per_minute")).first()["edits"] == 4_001
+    assert rollups.merge_pages(tables.read("pages_per_minute")).count() == 1
+
+
+def test_outcomes_count_on_a_stream_too(spark, tmp_path):
+    from tidemark.operators.classify import count_outcomes
+
+    land = str(tmp_path / "landed")
+    messages(spark, 0, 30).write.parquet(land)
+    query = (
+        count_outcomes(classify(landed_files(spark, land)))
+        .writeStream.outputMode("complete").format("memory").queryName("outcomes_seen")
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {r["outcome"]: r["n"] for r in spark.table("outcomes_seen").collect()}
+    assert got == {"kept": 30, "malformed": 1}
