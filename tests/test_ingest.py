@@ -278,3 +278,10 @@ def test_outcomes_count_on_a_stream_too(spark, tmp_path):
     query.awaitTermination()
     got = {r["outcome"]: r["n"] for r in spark.table("outcomes_seen").collect()}
     assert got == {"kept": 30, "malformed": 1}
+
+
+def test_messages_without_a_place_in_the_stream_are_refused(spark, tables):
+    unplaced = spark.createDataFrame([(None, "[]", json.dumps(event()), T0)], LANDED)
+    with pytest.raises(ValueError, match="position"):
+        Ingest(tables).write(unplaced, "run", 0)
+    assert ids(tables) == []

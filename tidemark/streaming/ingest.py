@@ -72,9 +72,14 @@ class Ingest:
         try:
             remembered = self._remembered(run, batch_id, token)
             bounds = batch.agg(
-                F.min("position").alias("first"), F.unix_micros(F.min("received_at")).alias("clock_us")
+                F.count(F.lit(1)).alias("n"),
+                F.count_if(F.col("position").isNull() | F.col("received_at").isNull()).alias("unplaced"),
+                F.min("position").alias("first"),
+                F.unix_micros(F.min("received_at")).alias("clock_us"),
             ).first()
-            if bounds["first"] is None:
+            if bounds["unplaced"]:
+                raise ValueError(f"{bounds['unplaced']} landed messages lack a position or an arrival time")
+            if not bounds["n"]:
                 return self._remember(remembered, run, batch_id)
             last_seq = max_ingest_seq(remembered).first()["seq"] or 0
             first_seq = max(last_seq + 1, bounds["clock_us"] * 1000)
