@@ -7,7 +7,8 @@ reaches a fixed threshold. Bucket weights are whole millionths, so sums don't de
 addition and the verdict is the same on every run.
 
 Only the bucket weights (`buckets` numbers) reach every task; texts move once, when the trusted documents
-are marked.
+are marked. That join is a sort-merge join at every size: the list of trusted documents grows with the data,
+so it is never broadcast.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def pair_code(first: str, second: str) -> str:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, weight) for every bucket: millionths of log(trusted share / overall share), add-one smoothed."""
     marks = trusted.select(F.col(trusted.columns[0]).alias("__id"), F.lit(1).alias("__trusted")).distinct()
-    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marks, "__id", "left")
+    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marks.hint("merge"), "__id", "left")
     coded = marked.select("__trusted", word_codes("__text").alias("c"))
     pairs = coded.select("__trusted", F.explode(F.arrays_zip("c", F.expr("if(size(c) > 1, slice(c, 2, greatest(size(c) - 1, 1)), cast(array() as array<bigint>))"))).alias("p"))
     pairs = pairs.select("__trusted", F.col("p.c").alias("x"), F.col("p.`1`").alias("y"))
