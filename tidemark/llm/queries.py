@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import exact_dedup, license_scan, mixing, quality_rules
+from tidemark.llm import compression_classifier, exact_dedup, license_scan, mixing, piece_transducer, quality_rules, secret_scan
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,34 @@ def op7_license_scan(spark, sf_dir):
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_compression_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_classifier.train(*compression_classifier.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    scores = compression_classifier.quality_scores(docs, model)
+    held_out = compression_classifier.fold("doc_id") == compression_classifier.HELD_OUT
+    return scores.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= compression_classifier.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@query
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model(folder: str = TOKENIZERS) -> bytes:
+    with open(f"{folder}/{PIECE_MODEL}", "rb") as file:
+        return file.read()
+
+
+@query
+def op3_piece_transducer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_transducer.encode_texts(docs, piece_model())
