@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression_classifier, exact_dedup, license_scan, mixing, piece_transducer, quality_rules, secret_scan
+from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, piece_transducer, quality_rules, secret_scan
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def piece_model(folder: str = TOKENIZERS) -> bytes:
 def op3_piece_transducer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_transducer.encode_texts(docs, piece_model())
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
