@@ -129,3 +129,28 @@ lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM sets LEFT JOIN lowest ON a = doc_id
 """
 SQL["op5_jaccard_join"] = JACCARD
+
+REVISITS = r"""
+WITH parts AS (SELECT *, sha256(html) AS sha, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) AS rest FROM pages),
+cut AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', '') AS host,
+    regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '\?(.*)$', 1) AS query FROM parts
+),
+named AS (
+  SELECT page_id, sha, html, '"' || left(sha, 16) || '"' AS etag, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS url FROM cut
+),
+found AS (
+  SELECT v.page_id * 2 + 1 AS record_id, v.url, r.page_id * 2 AS source_id, r.sha, r.html, v.etag, (v.page_id + 600) * 60 AS time,
+    CASE WHEN v.url IS NULL THEN 'no_url' WHEN r.page_id IS NULL THEN 'no_earlier'
+      WHEN coalesce(v.etag = r.etag, v.page_id = r.page_id) THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM named v LEFT JOIN LATERAL (
+    SELECT * FROM named r WHERE r.url = v.url AND r.page_id * 60 <= (v.page_id + 600) * 60 AND (r.page_id * 60 < (v.page_id + 600) * 60 OR r.page_id * 2 < v.page_id * 2 + 1)
+    ORDER BY r.page_id DESC LIMIT 1) r ON true
+)
+SELECT record_id, url, source_id, outcome, CASE WHEN outcome = 'resolved' THEN sha END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120' || coalesce(chr(10) || 'content-length: ' || octet_length(encode(html)), '')
+    || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || time || coalesce(chr(10) || 'etag: ' || etag, '') END AS headers
+FROM found
+"""
+SQL["op6_revisits"] = REVISITS

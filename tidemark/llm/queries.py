@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, piece_transducer, quality_rules, secret_scan
+from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, piece_transducer, quality_rules, revisits, secret_scan, wrapper_extract
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,15 @@ def op3_piece_transducer(spark, sf_dir):
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_wrapper_extract(spark, sf_dir):
+    found = wrapper_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_revisits(spark, sf_dir):
+    captures = revisits.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return revisits.resolve_revisits(captures).withColumn("headers", revisits.header_text())
