@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.common import whole, without, written
 
 SIZE = 5
-BITS = 512
-COMMON = 200_000  # shared shingles that are put last in the order, the most repeated first
-ROUNDS = 2
-LEADERS = 2
+BITS = 2_048
+COMMON = 2_000_000  # shared shingles that are put last in the order, the most repeated first
+ROUNDS = 3
+LEADERS = 3
 FLUSH = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
