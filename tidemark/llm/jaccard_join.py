@@ -243,15 +243,19 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
         counted = stars.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         best = Window.partitionBy("a").orderBy(F.desc("k"), "b")
         pairs = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges, tested, labelled = _tested(pairs, sets, bodies, edges, tested, tiles)
+        if step := _tested(pairs, sets, bodies, edges, tested):
+            edges, tested = step
+            labels = components(edges)
+            labelled = written(tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-labelled")
     lower = labelled.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     split = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("shingle")
     x, y = (f.join(split, "shingle", "left_semi") for f in (lower, labelled))
     x = x.select("shingle", "band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
     rest = x.join(y, ["shingle", "band"]).where("label_x <> label and 4 * least(n_x, n) >= 3 * greatest(n_x, n)")
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    edges, _, _ = _tested(rest, sets, bodies, edges, tested, None)
-    labels = components(edges)
+    if step := _tested(rest, sets, bodies, edges, tested):
+        edges = step[0]
+    labels = tiles.select("node", F.col("node").alias("label")).where("false") if edges is None else components(edges)
     least = some.groupBy("node").agg(F.min("id").alias("first"))
     grouped = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -260,17 +264,14 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _tested(pairs, sets, bodies, edges, tested, tiles):
-    """Test pairs that were not tested before: all links so far, all pairs tested so far, tiles with their labels."""
+def _tested(pairs: DataFrame, sets: DataFrame, bodies: DataFrame, edges: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+    """Test the pairs that were not tested before: all links and all tested pairs so far; none if nothing was left to test."""
     fresh = bounded(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
     fresh = written(fresh, "jaccard-pairs")
+    if fresh.isEmpty():
+        return None
     found = written(verified(fresh, bodies), "jaccard-edges")
-    edges = found if edges is None else edges.union(found)
-    tested = fresh if tested is None else tested.union(fresh)
-    if tiles is None:
-        return edges, tested, None
-    labels = components(edges)
-    return edges, tested, written(tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-labelled")
+    return (found if edges is None else edges.union(found)), (fresh if tested is None else tested.union(fresh))
 
 
 def near_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
