@@ -107,6 +107,9 @@ def quality_rules(
     one = f"transform(__codes, (x, i) -> __weights[pmod(x, {buckets})] + {pair})"
     rows = rows.withColumn("__sum", F.expr(f"aggregate({one}, 0L, (s, w) -> s + w)"))
     good = F.col("__sum") >= F.round(F.lit(min_score * UNIT)).cast("long") * F.col("n_grams")
+    # a filter on kept must not be pushed below the measures: inlined there, they would be computed many times over
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    good = good & (F.col("__row") >= 0)
     score = F.expr(f"if(n_grams > 0, __sum / {UNIT}D / n_grams, null)")
     rows = rows.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & good)
-    return rows.drop("__codes", "__weights", "__sum")
+    return rows.drop("__codes", "__weights", "__sum", "__row")
