@@ -92,7 +92,8 @@ class Tables:
         if len(partitions) > 1:
             rows = rows.hint("rebalance", partitions[0])
         if name in _SORT:
-            rows = rows.sortWithinPartitions(*_SORT[name])
+            # partition columns first: else the writer sorts by them and loses the order inside a file
+            rows = rows.sortWithinPartitions(*partitions, *_SORT[name])
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -131,7 +132,7 @@ class Tables:
             rows.withColumn("token", F.lit(token))
             .select(*schema.fieldNames())
             .hint("rebalance", part)
-            .sortWithinPartitions(*_SORT[name])
+            .sortWithinPartitions(part, "token", *_SORT[name])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy(part, "token")
