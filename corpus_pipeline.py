@@ -41,7 +41,8 @@ STAGES = [
     ("piece_transducer", encode),
 ]
 
-#: Hash draws of the mix and the encoding have no SQL; tests/llm compares run() with brute force.
+#: Hash draws of the mix and the encoding have no SQL. tests/llm compare each stage's operator with brute force, and run() only for
+#: whole round trips.
 ORACLE_SQL = None
 
 
