@@ -8,8 +8,9 @@ partition are put last, so that a passage shared by many documents seldom opens
 
 Inside tiles pairs are tested in two steps, so that a group of g near copies costs g tests and not g squared:
 
-1. stars: each set against the leaders of its tiles that it shares most prefix shingles with;
-2. the rest: all pairs of a tile that the links found so far do not connect already.
+1. stars: each set against the leaders, in the tiles of its first few prefix shingles, that it shares most of these with;
+2. the rest: all pairs of a tile, of whole prefixes, that the links found so far do not connect already, and whose places in
+   both prefixes leave room for the intersection (they do at the first shingle that a linked pair shares).
 
 A pair is first bounded by bitmaps (every bit that A has and B lacks is a shingle that B lacks), then its sorted
 shingle arrays are intersected exactly. Connected components are found by label propagation on written tables.
@@ -29,7 +30,8 @@ from tidemark.llm.common import whole, without, written
 
 SIZE = 5
 BITS = 2_048
-COMMON = 2_000_000  # shared shingles that are put last in the order, the most repeated first
+COMMON = 300_000  # shared shingles, at most, that are put last in the order, the most repeated ones at the end
+FIRST = 8  # places of a prefix that look for leaders
 ROUNDS = 3
 LEADERS = 3
 FLUSH = 4_000_000
@@ -90,9 +92,10 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
 
 
 def common_shingles(texts: DataFrame, most: int = COMMON) -> np.ndarray:
-    """The shingles that repeat within partitions, most repeated last; at most `most` of them.
+    """The shingles that repeat within partitions, most repeated last: those above the lowest power of two that leaves `most` at most.
 
-    They only order the prefixes. The result of the join doesn't depend on them, its cost does.
+    They only order the prefixes. The result of the join doesn't depend on them, its cost does. The driver gets a table of at
+    most 64 rows, and then at most `most` shingles.
     """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +116,15 @@ def common_shingles(texts: DataFrame, most: int = COMMON) -> np.ndarray:
             yield flush()
 
     found = texts.select("text").mapInArrow(repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toPandas()
-    return rows["shingle"].to_numpy(np.int64)[::-1].copy()
+    found = written(found.withColumn("power", F.floor(F.log2("n")).cast("int")), "jaccard-repeats")
+    left, lowest = most, 64
+    for row in sorted(found.groupBy("power").count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        lowest = row["power"]
+    rows = found.where(F.col("power") >= lowest).select("n", "shingle").toPandas()
+    return rows["shingle"].to_numpy(np.int64)[np.lexsort((rows["shingle"], rows["n"]))]
 
 
 def nodes(texts: DataFrame, id_type: str) -> DataFrame:
@@ -130,7 +140,7 @@ def nodes(texts: DataFrame, id_type: str) -> DataFrame:
 
 
 def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shingle, node, n): the prefix of every set, in the order uncommon by code, then common by count."""
+    """(shingle, node, n, place): the prefix of every set, in the order uncommon by code, then common by count."""
     by_code = np.argsort(common)
     shared = texts.sparkSession.sparkContext.broadcast((common[by_code], by_code))
 
@@ -138,7 +148,7 @@ def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
         codes, places = shared.value
         seen: set[int] = set()
         for _, bodies in _batches(batches, 0):
-            keys, owners, sizes = [], [], []
+            keys, owners, sizes, places_in = [], [], [], []
             for text in bodies:
                 s = shingles(text)
                 node = node_of(s)
@@ -154,10 +164,11 @@ def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 keys.append(first)
                 owners.append(np.full(len(first), node, np.int64))
                 sizes.append(np.full(len(first), len(s), np.int32))
+                places_in.append(np.arange(len(first), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes)], names=["shingle", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes, places_in)], names=["shingle", "node", "n", "place"])
 
-    return texts.select("text").mapInArrow(posted, "shingle long, node long, n int")
+    return texts.select("text").mapInArrow(posted, "shingle long, node long, n int, place int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,7 +235,7 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     tile = Window.partitionBy("shingle")
     met = postings.select("*", F.min("node").over(tile).alias("least"), F.max("node").over(tile).alias("most")).where("least <> most")
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    tiles = written(met.select("shingle", "node", "n").distinct().withColumn("band", band), "jaccard-tiles")
+    tiles = written(met.select("shingle", "node", "n", "place").distinct().withColumn("band", band), "jaccard-tiles")
     involved = tiles.select("node").distinct()
     sets = written(some.join(involved, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-sets")
     chosen = texts.join(sets.select("id").hint("merge"), "id", "left_semi")
@@ -235,7 +246,8 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
 
     bodies = written(chosen.select("text").mapInArrow(with_node, "node long, text string"), "jaccard-texts").dropDuplicates(["node"])
     edges = tested = None
-    labelled = tiles.withColumn("label", F.col("node"))
+    firsts = written(tiles.where(F.col("place") < FIRST).select("shingle", "band", "node"), "jaccard-firsts")
+    labelled, labels = firsts.withColumn("label", F.col("node")), None
     for turn in range(ROUNDS):
         stars = labelled.join(
             labelled.groupBy("shingle", "band").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("lead")), ["shingle", "band"]
@@ -246,12 +258,17 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
         if step := _tested(pairs, sets, bodies, edges, tested):
             edges, tested = step
             labels = components(edges)
-            labelled = written(tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-labelled")
+            labelled = written(_labelled(firsts, labels), "jaccard-labelled")
+        else:
+            break
+    across = Window.partitionBy("shingle")
+    labelled = _labelled(tiles, labels).select("*", F.min("label").over(across).alias("least"), F.max("label").over(across).alias("most"))
+    labelled = written(labelled.where("least <> most").select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
     lower = labelled.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    split = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("shingle")
-    x, y = (f.join(split, "shingle", "left_semi") for f in (lower, labelled))
-    x = x.select("shingle", "band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    rest = x.join(y, ["shingle", "band"]).where("label_x <> label and 4 * least(n_x, n) >= 3 * greatest(n_x, n)")
+    x = lower.select("shingle", "band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("label").alias("label_x"))
+    # at the first shingle that a linked pair shares, either set still holds the whole intersection
+    holds = "7L * least(n_x - place_x, n - place) >= 3L * (n_x + n)"
+    rest = x.join(labelled, ["shingle", "band"]).where(f"label_x <> label and {holds}")
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     if step := _tested(rest, sets, bodies, edges, tested):
         edges = step[0]
@@ -264,6 +281,13 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The tiles with the component of every node, so far."""
+    if labels is None:
+        return tiles.withColumn("label", F.col("node"))
+    return tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, bodies: DataFrame, edges: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
     """Test the pairs that were not tested before: all links and all tested pairs so far; none if nothing was left to test."""
     fresh = bounded(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
