@@ -281,3 +281,59 @@ def test_a_swap_cut_off_half_way_is_finished_later(tables, monkeypatch):
     monkeypatch.undo()
     tables.finish_replace("edits_per_minute")
     assert {r["edits"] for r in tables.read("edits_per_minute").collect()} == {7}
+
+
+def test_a_batch_written_during_a_swap_stays(tables, monkeypatch):
+    for i in range(3):
+        store(tables, rows(30, NOW - timedelta(minutes=10), first_seq=100 * i), f"run-{i:09d}")
+    whole = type(tables).finish_replace
+
+    def late(self, name):
+        if self.files.exists(f"{self.root}/_staged/{name}/_SUCCESS"):
+            store(self, rows(30, NOW - timedelta(minutes=5), first_seq=900), "run-000000003")
+        whole(self, name)
+
+    monkeypatch.setattr(type(tables), "finish_replace", late)
+    upkeep.compact(tables, "edits", "2026-10-29", ms(NOW))
+    tokens = tables.files.children(f"{tables.path('edits')}/dt=2026-10-29", "token")
+    assert tables.read("edits").count() == 120
+    assert tokens == [f"compacted-{ms(NOW)}", "run-000000002", "run-000000003"]  # a replay of the newest batch finds its own token
+
+
+@pytest.mark.parametrize("step", ["staged", "written", "half removed"])
+def test_a_log_rewrite_cut_off_at_any_step_is_resumed(spark, tables, monkeypatch, step):
+    def append(rows_, token):
+        tables.write_once("archive_hours", spark.createDataFrame(rows_, "hour TIMESTAMP, rows BIGINT, written_at TIMESTAMP"), token)
+
+    append([(NOW, 5, NOW)], "a")
+    append([(NOW, 9, NOW + timedelta(hours=1))], "b")
+    removed = []
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    def remove_one(self, path):
+        if removed:
+            stop()
+        removed.append(path)
+        real_remove(self, path)
+
+    kind, real_remove = type(tables.files), type(tables.files).remove
+    if step == "staged":
+        monkeypatch.setattr(type(tables), "write_once", stop)
+    else:
+        monkeypatch.setattr(kind, "remove", stop if step == "written" else remove_one)
+    with pytest.raises(RuntimeError, match="lost"):
+        upkeep.compact_log(tables, "archive_hours", ms(NOW))
+    monkeypatch.undo()
+    append([(NOW + timedelta(hours=1), 3, NOW)], "c")
+    upkeep.compact_log(tables, "archive_hours", ms(NOW) + 1)
+    assert sorted(r["rows"] for r in tables.read("archive_hours").collect()) == [3, 9]
+
+
+def test_shares_round_by_the_exact_double(spark):
+    from tidemark.functions.ratios import rounded
+
+    values = [p / q for q in (160, 20_000, 2_000_000, 7, 32, 64) for p in range(0, q + 1, max(1, q // 3_001))]
+    frame_ = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select("v", rounded(F.col("v"), 4).alias("four"), rounded(F.col("v"), 6).alias("six"))
+    assert [(r["four"], r["six"]) for r in frame_.collect()] == [(round(r, 4), round(r, 6)) for r in values]

@@ -42,7 +42,7 @@ def _pre_totals(seconds: int, langs: str = _LANGS) -> str:
 
 
 def _share(part: str, whole: str, places: int = 4) -> str:
-    return f"CASE WHEN {whole} > 0 THEN round_even(CAST({part} AS DOUBLE) / {whole}, {places}) END"
+    return f"CASE WHEN {whole} > 0 THEN CAST(printf('%.{places}f', CAST({part} AS DOUBLE) / {whole}) AS DOUBLE) END"
 
 
 def _iso(expr: str) -> str:
@@ -175,7 +175,7 @@ _SLO_REPORT = f"""slo AS (SELECT CAST(0.999 AS DOUBLE) AS target, CAST(60 AS DOU
     strftime(to_timestamp(month_s)::TIMESTAMP, '%Y-%m') AS month, month_days AS window_days,
     {_iso("to_timestamp(start_s)::TIMESTAMP")} AS "from", {_iso("to_timestamp(end_s)::TIMESTAMP")} AS "to",
     minutes, f AS fresh, s - f AS stale, minutes - s AS unmeasured,
-    CASE WHEN minutes > 0 THEN round_even(CAST(f AS DOUBLE) / minutes, 6) END AS ratio,
+    CASE WHEN minutes > 0 THEN CAST(printf('%.6f', CAST(f AS DOUBLE) / minutes) AS DOUBLE) END AS ratio,
     CASE WHEN minutes > 0 THEN CAST(f AS DOUBLE) / minutes >= 0.999 END AS met,
     CAST(round_even(month_days * 1440 * (1 - CAST(0.999 AS DOUBLE)), 0) AS BIGINT) AS budget_minutes,
     minutes - f AS budget_used, full_window
@@ -277,6 +277,11 @@ add(
       CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_s,
       CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS file_hour_s, CAST(NULL AS BIGINT) AS broken_s FROM edits""",
 )
+# the printed digits of the double decide, not a rounding formula
+SQL["share_ties"] = """SELECT part, whole, CAST(printf('%.4f', CAST(part AS DOUBLE) / whole) AS DOUBLE) AS share
+  FROM (SELECT DISTINCT CAST(o_orderkey % 20000 AS BIGINT) AS part FROM orders), (SELECT CAST(unnest([20000, 24640, 20480]) AS BIGINT) AS whole)
+  WHERE part <= whole"""
+
 add(
     "time_functions",
     _E,

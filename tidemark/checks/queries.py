@@ -456,6 +456,14 @@ def archive_paths(spark, sf_dir):
     )
 
 
+@query
+def share_ties(spark, sf_dir):
+    """Shares that lie on or beside a half at four places, by the orders' own keys."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 20_000).alias("part"))
+    parts = keys.distinct().select("part", F.explode(F.array(*(F.lit(n).cast("bigint") for n in (20_000, 24_640, 20_480)))).alias("whole"))
+    return parts.where("part <= whole").select("part", "whole", share("part", "whole").alias("share"))
+
+
 @query
 def time_functions(spark, sf_dir):
     e = F.col("event_time")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ratios import rounded
 from tidemark.functions.times import at_ms, day_start_s, days_in_month, iso, minute, month_start, ms, seconds
 
 
@@ -82,7 +83,7 @@ def summarise(counted: DataFrame, target: float, threshold_s: float) -> DataFram
         fresh.alias("fresh"),
         (sampled - fresh).alias("stale"),
         (minutes - sampled).alias("unmeasured"),
-        F.bround(ratio, 6).alias("ratio"),
+        rounded(ratio, 6).alias("ratio"),
         (ratio >= float(target)).alias("met"),
         budget_minutes(F.col("w.month_days"), target).alias("budget_minutes"),
         (minutes - fresh).alias("budget_used"),

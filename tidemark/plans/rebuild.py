@@ -68,12 +68,13 @@ def rebuild(
     else:
         require_unchanged(tables, mark)
     months = sorted({d.year * 100 + d.month for d in days})
-    live = tables.read("edits_per_minute").where(F.col("month").isin(*months))
+    held = tables.hold("edits_per_minute", months)
+    live = tables.read_held(held)
     rebuilt = F.broadcast(archived.select(F.timestamp_seconds("hour_s").alias("h")))
     untouched = live.join(rebuilt, hour("minute") == F.col("h"), "left_anti")
     whole = staged.unionByName(rollups.merge_counts(untouched))
     whole = tables.keep("rebuild_whole", whole)
-    tables.replace("edits_per_minute", months, rollups.with_month(whole), f"rebuild-{now_ms}")
+    tables.swap(held, rollups.with_month(whole), f"rebuild-{now_ms}")
     require_unchanged(tables, mark)
 
     within = (F.col("minute") >= at_s(from_s)) & (F.col("minute") < at_s(to_s))

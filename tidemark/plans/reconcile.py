@@ -60,7 +60,7 @@ def find_mismatches(tables: Tables, now_ms: int, settings: Settings = DEFAULTS)
 def repair(tables: Tables, mismatches: DataFrame, now_ms: int, settings: Settings = DEFAULTS) -> int:
     """Count every listed minute again, all languages, and top up its page sets; returns minutes.
 
-    The months the minutes fall in are swapped in whole; rerunning after an interruption is safe.
+    The months the minutes fall in are folded with the new counts; rerunning after an interruption is safe.
     """
     tables.finish_replace("edits_per_minute")
     minutes = tables.keep("repair_minutes", mismatches.select("minute_s").distinct())
@@ -68,10 +68,11 @@ def repair(tables: Tables, mismatches: DataFrame, now_ms: int, settings: Setting
     if not months:
         return 0
     mark = require_quiet(tables, now_ms, settings.quiet_s)
-    edits = tables.read("edits")
-    live = tables.read("edits_per_minute").where(F.col("month").isin(*months))
-    fixed = reconcile.repaired(edits, live, minutes)
-    tables.replace("edits_per_minute", months, rollups.with_month(fixed), f"repair-{now_ms}")
+    days = [r["d"] for r in minutes.select(F.to_date(F.timestamp_seconds("minute_s")).alias("d")).distinct().collect()]
+    edits = tables.read("edits").where(F.col("dt").isin(*days))
+    held = tables.hold("edits_per_minute", months)
+    fixed = reconcile.repaired(edits, tables.read_held(held), minutes)
+    tables.swap(held, rollups.with_month(fixed), f"repair-{now_ms}")
     page_sets.add_pages(tables, reconcile.of_minutes(edits, minutes), f"repair-{now_ms}")
     require_unchanged(tables, mark)
     return minutes.count()

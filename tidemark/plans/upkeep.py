@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.operators import rollups
-from tidemark.plans.reconcile import require_quiet, require_unchanged
+from tidemark.plans.reconcile import require_quiet
 from tidemark.sources.tables import Tables
 
 _MERGED = {
@@ -26,23 +26,23 @@ _TIME = {
 }
 
 
-def _partition(tables: Tables, name: str, value: str) -> DataFrame:
-    column = "month" if name == "edits_per_minute" else "dt"
-    return tables.read(name).where(F.col(column) == F.lit(value).cast("int" if column == "month" else "date"))
+def compact(tables: Tables, name: str, value: str, now_ms: int) -> None:
+    """Fold one day's (or month's) token partitions into one. Sums and sets read the same after.
 
-
-def compact(tables: Tables, name: str, value: str, now_ms: int, settings: Settings = DEFAULTS) -> None:
-    """Fold one day's (or month's) token partitions into one. Sums and sets read the same after."""
+    Ingest may go on meanwhile: only the tokens read are removed, and each stream's newest batch
+    is left for the next time.
+    """
     tables.finish_replace(name)
-    mark = require_quiet(tables, now_ms, settings.quiet_s)
-    merged = _MERGED[name](_partition(tables, name, value))
-    tables.replace(name, [value], merged, f"compacted-{now_ms}")
-    require_unchanged(tables, mark)
+    held = tables.hold(name, [value], settled=True)
+    if len(held.tokens) > 1:
+        tables.swap(held, _MERGED[name](tables.read_held(held)), f"compacted-{now_ms}")
 
 
 def compact_log(tables: Tables, name: str, now_ms: int) -> None:
     """Fold a log's appends into one; ledgers keep each hour's newest record."""
-    rows = tables.read(name)
+    tables.finish_replace(name)
+    held = tables.hold(name, settled=name == "outcomes")
+    rows = tables.read_held(held)
     if name == "archive_hours":
         rows = rows.groupBy("hour").agg(
             F.max_by(F.struct("rows", "written_at"), F.struct("written_at", "rows")).alias("r")
@@ -51,17 +51,16 @@ def compact_log(tables: Tables, name: str, now_ms: int) -> None:
         rows = rows.groupBy("outcome").agg(F.sum("n").alias("n"))
     elif name == "pages_filled":
         rows = rows.groupBy("hour").agg(F.max("filled_at").alias("filled_at"))
-    tables.replace_all(name, rows, f"compacted-{now_ms}")
+    tables.swap(held, rows, f"compacted-{now_ms}")
 
 
 def delete_rows(tables: Tables, name: str, value: str, doomed: Column, now_ms: int, settings: Settings = DEFAULTS) -> None:
-    """Rewrite one partition without the rows `doomed` is true for."""
+    """Rewrite one partition without the rows `doomed` is true for, of those there are now."""
     tables.finish_replace(name)
-    mark = require_quiet(tables, now_ms, settings.quiet_s)
-    kept = _partition(tables, name, value).where(~F.coalesce(doomed, F.lit(False)))
-    tables.replace(name, [value], kept.drop("token"), f"deleted-{now_ms}")
-    if name != "edits":  # deleting raw rows moves the mark itself
-        require_unchanged(tables, mark)
+    require_quiet(tables, now_ms, settings.quiet_s)
+    held = tables.hold(name, [value])
+    kept = tables.read_held(held).where(~F.coalesce(doomed, F.lit(False)))
+    tables.swap(held, kept.drop("token"), f"deleted-{now_ms}")
 
 
 def _cutoff(now_ms: int, days: int) -> date:
@@ -84,8 +83,10 @@ def expire(tables: Tables, now_ms: int, settings: Settings = DEFAULTS) -> dict[s
             tables.drop_partition(name, value)
     for name, column in _TIME.items():
         cutoff = F.lit(_cutoff(now_ms, settings.retention_days[name]))
-        rows = tables.read(name)
+        tables.finish_replace(name)
+        held = tables.hold(name)
+        rows = tables.read_held(held)
         if not rows.where(F.to_date(column) < cutoff).limit(1).isEmpty():
-            tables.replace_all(name, rows.where(F.to_date(column) >= cutoff), f"kept-{now_ms}")
+            tables.swap(held, rows.where(F.to_date(column) >= cutoff), f"kept-{now_ms}")
             dropped[name] = ["rows"]
     return dropped

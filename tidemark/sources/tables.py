@@ -1,18 +1,19 @@
-"""The product's Parquet tables: named schemas, token partitions, whole-partition swaps.
+"""The product's Parquet tables: named schemas, token partitions, token-exact swaps.
 
 Every write names its last partition by a token and overwrites exactly the partitions it produces,
-so writing a batch again replaces it. Rewriting what is already there goes through a side path:
-staged completely, then swapped in partition by partition; a swap that was cut off is finished by
-running it again.
+so writing a batch again replaces it. Rewriting what is already there names the token partitions it
+read: the new rows are staged whole, written beside them, and only those partitions are removed. A
+swap that was cut off is finished by running it again.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.functions.times import ms
 from tidemark.schema import TABLES
@@ -28,6 +29,19 @@ _SORT = {
 }
 
 
+# A stream's token: the run, then the batch number (see streaming/ingest.py).
+_BATCH = re.compile(r"(.+)-(\d{9})")
+_NOTE = "part_value STRING, old_token STRING, new_token STRING"
+
+
+@dataclass(frozen=True)
+class Held:
+    """Token partitions of one table, as (partition value, token); a log's have no value."""
+
+    name: str
+    tokens: tuple[tuple[str | None, str], ...]
+
+
 class Files:
     """Directory listing and removal through the cluster's own file system."""
 
@@ -124,61 +138,78 @@ class Tables:
         """Oldest event time, from the oldest day that has rows."""
         return self._edge_ms(self.partitions("edits"), F.min)
 
-    def replace(self, name: str, values: Sequence[str], rows: DataFrame, token: str) -> None:
-        """Make whole partitions hold exactly `rows`. Partitions not listed are untouched."""
-        schema, (part, _) = TABLES[name]
-        stage = f"{self.root}/_staged/{name}"
-        (
-            rows.withColumn("token", F.lit(token))
-            .select(*schema.fieldNames())
-            .hint("rebalance", part)
-            .sortWithinPartitions(part, "token", *_SORT[name])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(part, "token")
-            .parquet(stage)
-        )
-        staged = self.files.children(stage, part)
+    def hold(self, name: str, values: Sequence[str] | None = None, settled: bool = False) -> Held:
+        """The token partitions there are now, of the partitions `values` (all of a log's if none).
+
+        `settled` leaves out the newest batch of every stream: it may not be committed yet, and its
+        replay has to find its own token.
+        """
+        _, partitions = TABLES[name]
+        if len(partitions) == 1:
+            found = [(None, token) for token in self.files.children(self.path(name), "token")]
+        else:
+            folders = ((str(v), f"{self.path(name)}/{partitions[0]}={v}") for v in values)
+            found = [(v, token) for v, folder in folders for token in self.files.children(folder, "token")]
+        if settled:
+            newest: dict[tuple, str] = {}
+            for value, token in found:
+                if batch := _BATCH.fullmatch(token):
+                    newest[value, batch[1]] = max(token, newest.get((value, batch[1]), ""))
+            found = [(v, t) for v, t in found if t not in {newest.get((v, b[1])) for b in [_BATCH.fullmatch(t)] if b}]
+        return Held(name, tuple(found))
+
+    def _folder(self, name: str, value: str | None, token: str) -> str:
+        _, partitions = TABLES[name]
+        return f"{self.path(name)}/token={token}" if value is None else f"{self.path(name)}/{partitions[0]}={value}/token={token}"
+
+    def read_held(self, held: Held) -> DataFrame:
+        """The rows of exactly the token partitions that `held` names."""
+        schema, _ = TABLES[held.name]
+        if not held.tokens:
+            return self.spark.createDataFrame([], schema)
+        folders = [self._folder(held.name, value, token) for value, token in held.tokens]
+        return self.spark.read.schema(schema).option("basePath", self.path(held.name)).parquet(*folders)
+
+    def swap(self, held: Held, rows: DataFrame, token: str) -> None:
+        """Put `rows` in the place of what `held` names; anything written since stays as it is.
+
+        What is to go is noted first, then the new rows are staged, then written beside the old ones under a
+        token of their own, and last the noted tokens are removed. Each step can be done again, by
+        `finish_replace`. A reader that lists files between the last two steps sees both.
+        """
+        name = held.name
+        schema, _ = TABLES[name]
+        if self.files.exists(f"{self._stage(name)}/_SUCCESS"):
+            raise RuntimeError(f"an earlier swap of {name} isn't finished; finish_replace comes first")
+        taken = {t for _, t in held.tokens}
+        while token in taken:
+            token += "-again"
+        going = [(None, None, token), *[(value, old, None) for value, old in held.tokens]]
+        note = self.spark.createDataFrame(going, _NOTE).coalesce(1)
+        note.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._stage(name) + "-note")
+        rows = rows.withColumn("token", F.lit(token)).select(*schema.fieldNames())
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._stage(name))
         self.finish_replace(name)
-        for value in values:
-            if str(value) not in staged:
-                self.files.remove(f"{self.path(name)}/{part}={value}")
+
+    def replace(self, name: str, values: Sequence[str], rows: DataFrame, token: str) -> None:
+        """Make partitions hold `rows` in the place of what they hold now, while nothing else writes."""
+        self.swap(self.hold(name, values), rows, token)
+
+    def _stage(self, name: str) -> str:
+        return f"{self.root}/_staged/{name}"
 
     def finish_replace(self, name: str) -> None:
-        """Swap in every completely staged partition, each removed from the stage once it is in."""
-        schema, (part, _) = TABLES[name]
-        stage = f"{self.root}/_staged/{name}"
+        """Complete a swap whose rows are staged whole; one that was cut off earlier changed nothing."""
+        stage = self._stage(name)
         if not self.files.exists(f"{stage}/_SUCCESS"):
             return
-        inner = StructType([f for f in schema.fields if f.name != part])
-        for value in self.files.children(stage, part):
-            source = f"{stage}/{part}={value}"
-            (
-                self.spark.read.schema(inner)
-                .parquet(source)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")
-                .option("parquet.block.size", ROW_GROUP_BYTES)
-                .partitionBy("token")
-                .parquet(f"{self.path(name)}/{part}={value}")
-            )
-            self.files.remove(source)
-        self.files.remove(stage)
-
-    def replace_all(self, name: str, rows: DataFrame, token: str) -> None:
-        """Make a log table (partitioned by token alone) hold exactly `rows`."""
         schema, _ = TABLES[name]
-        stage = f"{self.root}/_staged/{name}"
-        rows = rows.withColumn("token", F.lit(token)).select(*schema.fieldNames())
-        rows.write.mode("overwrite").parquet(stage)
-        (
-            self.spark.read.schema(schema)
-            .parquet(stage)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("token")
-            .parquet(self.path(name))
-        )
+        note = self.spark.read.schema(_NOTE).parquet(f"{stage}-note").collect()
+        token = next(r["new_token"] for r in note if r["new_token"] is not None)
+        self.write_once(name, self.spark.read.schema(schema).parquet(stage), token)
+        for row in note:
+            if row["old_token"] is not None:
+                self.files.remove(self._folder(name, row["part_value"], row["old_token"]))
         self.files.remove(stage)
 
     def keep(self, name: str, rows: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def _at_once(spark: SparkSession, *jobs: Callable[[], None]) -> None:
 
 def run_tag(batch: DataFrame) -> str:
     """Names this checkpoint's run: a new checkpoint starts at batch 0 and must not reuse tokens."""
-    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query_id:
+        raise RuntimeError("no streaming query: call write() with a run name of your own")
     return re.sub(r"[^0-9a-zA-Z]", "", query_id)
 
 
