@@ -19,6 +19,7 @@ Nothing of the documents is gathered on the driver; it only holds the shared shi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,39 +36,114 @@ FIRST = 8  # places of a prefix that look for leaders
 ROUNDS = 3
 LEADERS = 3
 FLUSH = 4_000_000
+BLOCK = 1 << 18  # bytes of text that are coded at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Codes(dict):
-    """64-bit codes of words; begins anew when it has grown large."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
 
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
 
-_CODES = _Codes()
 
+_UP, _DOWN = _powers(int(ODD), BLOCK), _powers(pow(int(ODD), -1, 1 << 64), BLOCK)
+_NONE = np.empty(0, np.int64)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: A term for each byte, the same for a letter A-Z and its lower case.
+_BYTES = _mixed((np.arange(1, 257) + 32 * np.isin(np.arange(256), range(65, 91))).astype(np.uint64) * ODD)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def _word_codes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, code) of every word of `data`; a word also begins at each of `breaks`.
 
-def shingles(text: str) -> np.ndarray:
-    """The sorted distinct 64-bit codes of a text's shingles, A-Z lower-cased; none without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    codes = np.array([_CODES[w] for w in words], np.uint64)
-    n, size = len(codes), min(SIZE, len(codes))
-    joined = np.full(n - size + 1, size, np.uint64)
+    A code is a polynomial of the word's bytes, read off the running sum of all bytes' terms, so that no word is handled alone.
+    """
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[breaks] = inside[breaks]
+    ends = np.ones(len(data) + 1, bool)
+    ends[:-1] = ~inside | begins
+    starts = np.flatnonzero(begins)
+    stops = np.flatnonzero(ends[1:] & inside) + 1
+    up, down = (_UP, _DOWN) if len(data) <= BLOCK else (_powers(int(ODD), len(data)), _powers(pow(int(ODD), -1, 1 << 64), len(data)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    return starts, _mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
+def _joined(codes: np.ndarray, size: int) -> np.ndarray:
+    joined = np.full(len(codes) - size + 1, size, np.uint64)
     for k in range(size):
-        joined = joined * ODD + codes[k : n - size + 1 + k]
-    return np.unique(_mixed(joined).view(np.int64))
+        joined = joined * ODD + codes[k : len(codes) - size + 1 + k]
+    return _mixed(joined).view(np.int64)
+
+
+def _sets(codes: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; its words' codes lie between two cuts."""
+    ranges = [(a, b, b - SIZE + 1 if b - a >= SIZE else a) for a, b in itertools.pairwise(cuts.tolist())]
+    if len(codes) < SIZE:
+        joined, new = codes, codes
+    else:
+        joined = _joined(codes, SIZE)
+        for a, _, end in ranges:
+            joined[a:end].sort()
+        new = np.ones(len(joined), bool)
+        np.not_equal(joined[1:], joined[:-1], out=new[1:])
+        new[cuts[cuts < len(new)]] = True
+    return [joined[a:end][new[a:end]] if end > a else _joined(codes[a:b], b - a) if b > a else _NONE for a, b, end in ranges]
+
+
+def _long_set(data: np.ndarray) -> np.ndarray:
+    """The set of a text longer than a block, block by block, each cut after white space."""
+    spaces, codes, at = np.flatnonzero(_SPACE[data]), [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > BLOCK:
+            k = np.searchsorted(spaces, at + BLOCK)
+            if k and spaces[k - 1] >= at:
+                end = int(spaces[k - 1]) + 1
+            elif k < len(spaces):
+                end = int(spaces[k]) + 1
+        codes.append(_word_codes(data[at:end], np.zeros(1, np.int64))[1])
+        at = end
+    codes = np.concatenate(codes)
+    return _sets(codes, np.array([0, len(codes)]))[0]
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of every text: the sorted distinct 64-bit codes of its shingles, A-Z lower-cased; none without words.
+
+    Reads the texts' UTF-8 bytes where Arrow holds them, about a block at a time.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    sets: list[np.ndarray] = []
+    while len(sets) < len(texts):
+        first = len(sets)
+        last = int(np.searchsorted(bounds, bounds[first] + BLOCK, "right")) - 1
+        if last <= first:
+            sets.append(_long_set(data[bounds[first] : bounds[first + 1]]))
+            continue
+        last = min(last, len(texts))
+        at = bounds[first : last + 1] - bounds[first]
+        if not at[-1]:
+            sets += [_NONE] * (last - first)
+            continue
+        starts, codes = _word_codes(data[bounds[first] : bounds[last]], at[:-1][at[:-1] < at[-1]])
+        sets += _sets(codes, np.searchsorted(starts, at))
+    return sets
+
+
+def shingles(text: str) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.large_string()))[0]
 
 
 def node_of(codes: np.ndarray) -> int:
@@ -78,17 +154,17 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def bitmap(codes: np.ndarray) -> list[int]:
+def bitmap(codes: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, np.uint8)
     bits[(codes.view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+    return np.packbits(bits).view(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            yield part, part.column(column).to_pylist()
+            yield part, shingle_sets(part.column(column))
 
 
 def common_shingles(texts: DataFrame, most: int = COMMON) -> np.ndarray:
@@ -106,9 +182,8 @@ def common_shingles(texts: DataFrame, most: int = COMMON) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(codes[counts > 1]), pa.array(counts[counts > 1].astype(np.int64))], names=["shingle", "n"])
 
         for _, part in _batches(batches, 0):
-            for text in part:
-                held.append(shingles(text))
-                size += len(held[-1])
+            held += part
+            size += sum(map(len, part))
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -131,9 +206,9 @@ def nodes(texts: DataFrame, id_type: str) -> DataFrame:
     """(id, n, node, bits) of every row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in _batches(batches, 1):
-            sets = [shingles(t) for t in bodies]
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))]
+        for part, sets in _batches(batches, 1):
+            bits = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64), np.concatenate([bitmap(s) for s in sets]))
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), bits]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "bits"])
 
     return texts.mapInArrow(made, f"id {id_type}, n long, node long, bits array<long>")
@@ -147,10 +222,9 @@ def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, places = shared.value
         seen: set[int] = set()
-        for _, bodies in _batches(batches, 0):
+        for _, sets in _batches(batches, 0):
             keys, owners, sizes, places_in = [], [], [], []
-            for text in bodies:
-                s = shingles(text)
+            for s in sets:
                 node = node_of(s)
                 if not len(s) or node in seen:
                     continue
@@ -180,11 +254,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keep = []
-                for b, text_a, text_b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for k, (b, left) in enumerate(zip(part.column(1).to_pylist(), shingle_sets(part.column(2)))):
                     if b != last:
-                        last, right = b, shingles(text_b)
-                    left = shingles(text_a)
-                    keep.append(7 * len(np.intersect1d(left, right, assume_unique=True)) >= 3 * (len(left) + len(right)))
+                        last, right = b, shingle_sets(part.column(3).slice(k, 1))[0]
+                    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+                    keep.append(7 * np.count_nonzero(right[at] == left) >= 3 * (len(left) + len(right)))
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
@@ -241,8 +315,8 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     chosen = texts.join(sets.select("id").hint("merge"), "id", "left_semi")
 
     def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in _batches(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(shingles(t)) for t in bodies], pa.int64()), part.column(0)], names=["node", "text"])
+        for part, made in _batches(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], pa.int64()), part.column(0)], names=["node", "text"])
 
     bodies = written(chosen.select("text").mapInArrow(with_node, "node long, text string"), "jaccard-texts").dropDuplicates(["node"])
     edges = tested = None
