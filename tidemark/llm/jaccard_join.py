@@ -245,6 +245,24 @@ def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return texts.select("text").mapInArrow(posted, "shingle long, node long, n int, place int")
 
 
+def _bodies(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, text): one text for every node of `sets`. Each task sends a node once, so that a large group of copies isn't gathered."""
+
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part, made in _batches(batches, 0):
+            owners = [node_of(s) for s in made]
+            new = []
+            for node in owners:
+                new.append(node not in seen)
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), part.column(0)], names=["node", "text"]).filter(pa.array(new, pa.bool_()))
+
+    placed = texts.select("text").mapInArrow(with_node, "node long, text string")
+    return placed.join(sets.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of `pairs` whose sets link, by exact intersection; texts has (node, text), one row a node."""
 
@@ -312,13 +330,7 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     tiles = written(met.select("shingle", "node", "n", "place").distinct().withColumn("band", band), "jaccard-tiles")
     involved = tiles.select("node").distinct()
     sets = written(some.join(involved, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-sets")
-    chosen = texts.join(sets.select("id").hint("merge"), "id", "left_semi")
-
-    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, made in _batches(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], pa.int64()), part.column(0)], names=["node", "text"])
-
-    bodies = written(chosen.select("text").mapInArrow(with_node, "node long, text string"), "jaccard-texts").dropDuplicates(["node"])
+    bodies = written(_bodies(texts, sets), "jaccard-texts")
     edges = tested = None
     firsts = written(tiles.where(F.col("place") < FIRST).select("shingle", "band", "node"), "jaccard-firsts")
     labelled, labels = firsts.withColumn("label", F.col("node")), None
