@@ -288,3 +288,27 @@ def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and got.where("not round_trip").count() == 0
+
+
+def test_shingle_sets_over_blocks(monkeypatch):
+    import itertools
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    def plain(text):
+        found = [bytes(w) for w in (text or "").encode().lower().split()]
+        size = min(5, len(found))
+        return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} if found else set()
+
+    rnd = random.Random(7)
+    for block in (7, 20, 64):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        for _ in range(60):
+            texts = [rnd.choice([None, "".join(rnd.choices("aBbé \t\n z", k=rnd.choice([0, 1, 9, 40, 120])))]) for _ in range(rnd.randint(0, 9))]
+            got = jaccard_join.shingle_sets(pa.array([None, *texts], pa.string()).slice(1))
+            sets = [plain(t) for t in texts]
+            assert [len(s) for s in got] == [len(s) for s in sets]
+            for i, k in itertools.product(range(len(texts)), repeat=2):
+                assert len(np.intersect1d(got[i], got[k])) == len(sets[i] & sets[k])
