@@ -280,8 +280,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
-    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long")
+    # either text meets the pairs first: few pairs go to the texts, and a leader's many pairs are spread by both keys
+    left, right = (pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x) for x in "ab")
+    return left.join(right, ["b", "a"]).select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
