@@ -282,6 +282,28 @@ def test_secret_scan(spark, nothing):
     assert secret_scan.secret_scan(nothing).count() == 0
 
 
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+}
+
+
+@pytest.mark.parametrize("name", list(ALPHABETS))
+def test_secret_scan_adds_unassigned_tokens(spark, name):
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choices(ALPHABETS[name], k=40))
+    prose = "The international organisations communicate (extraordinarily) IMPORTANTINFORMATION on 20240131123059 ================ and "
+    rows = [(i, prose + f"token: {token()} end") for i in range(150)]
+    planted = [token() for _ in range(40)]
+    rows += [(1000 + i, prose + f"then {t} follows") for i, t in enumerate(planted)]
+    found = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in found.collect()}
+    at = len(prose) + len("then ")
+    assert all(got[1000 + i] == [(at, at + 40, "like_assign")] for i in range(40))
+    assert all([k for _, _, k in got[i]] == ["assign"] for i in range(150))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

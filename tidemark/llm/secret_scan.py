@@ -4,8 +4,11 @@ The base patterns mark assignments, access keys and hexadecimal strings. Their v
 the labelled credentials: a bounded sample of them builds a prefix tree over character classes, and states
 whose continuations are statistically compatible (Hoeffding bounds on every symbol, recursively) are merged
 into one probabilistic automaton a kind. Every other candidate string of a text is then scored by its
-log-likelihood per character under each automaton; one that is likelier than `min_mean` per character and beats
-a background of ordinary words by `min_gain` in total becomes a span of kind "like_<kind>".
+log-likelihood under each automaton; one that beats the background by `min_gain` in total becomes a span of kind
+"like_<kind>". The background is a Markov chain over the character classes, counted over the runs of all texts that are
+too short for candidates, so that ordinary words, numbers, capitals and rules of signs are likely under it and unknown
+credentials don't enter it. A format is judged by this ratio alone: a rich alphabet makes every single character
+unlikely, under any model.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -23,7 +27,6 @@ from tidemark.llm.common import whole
 
 SAMPLE = 2_000  # labelled credentials of a kind that the inference reads at most
 ALPHA = 0.05
-MIN_MEAN = -1.2
 MIN_GAIN = 8.0
 MIN_CANDIDATE = 16
 KINDS = ("assign", "access", "hex")
@@ -37,8 +40,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 HAS_DIGIT = re.compile("[0-9]")
 
 END = "$"
-#: Share of each class among the characters of ordinary words, for the background.
-BACKGROUND = {"v": 0.35, "l": 0.55, "U": 0.05, "d": 0.01, "h": 0.02, "s": 0.02}
+PAIRS = "pairs"
+#: Share of each class among the characters of ordinary words; half of it, and half of staying in the class, are what
+#: PRIOR characters after each class say, beside those of the texts.
+SHARES = {"v": 0.17, "l": 0.50, "h": 0.28, "U": 0.03, "d": 0.01, "s": 0.01}
+PRIOR = 20.0
+ORDER = "vlhUds"
 
 
 def classes(value: str) -> str:
@@ -130,37 +137,73 @@ class Automaton:
         return total
 
 
-def background(value: str) -> float:
-    return sum(math.log(BACKGROUND[c]) for c in classes(value))
+#: The place in ORDER of every Latin-1 character, len(ORDER) for those outside of candidates.
+CODES = np.array([ORDER.index(classes(c)) if re.fullmatch("[A-Za-z0-9+/_.=-]", c) else len(ORDER) for c in map(chr, range(256))], np.int64)
 
 
-def grouped_values(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most `sample` labelled credentials a kind: those of the smallest hash, the same on every run."""
+def class_pairs(text: str, base: list[tuple[int, int, str, str]]) -> np.ndarray:
+    """How often each class follows each one (the last stands for all that no candidate has), outside base spans and candidates."""
+    codes = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    for start, end in [s[:2] for s in base] + [m.span() for m in CANDIDATE.finditer(text)]:
+        codes[start:end] = len(ORDER)
+    size = len(ORDER) + 1
+    return np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
+
+
+class Background:
+    """Ordinary text: the likelihood of a string of a given length, class by class."""
+
+    def __init__(self, pairs: dict[int, int]):
+        size = len(ORDER) + 1
+        self.log: dict[str, float] = {}
+        for i, before in enumerate((*ORDER, "")):  # "" begins a string
+            prior = {c: 0.5 * SHARES[c] + 0.5 * (SHARES[c] if not before else c == before) for c in ORDER}
+            seen = {c: pairs.get(i * size + k, 0) + PRIOR * prior[c] for k, c in enumerate(ORDER)}
+            total = sum(seen.values())
+            self.log |= {before + c: math.log(n / total) for c, n in seen.items()}
+
+    def log_likelihood(self, value: str) -> float:
+        found = classes(value)
+        return self.log[found[0]] + sum(self.log[a + b] for a, b in zip(found, found[1:]))
+
+
+def learned(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[dict[str, list[str]], Background]:
+    """At most `sample` labelled credentials a kind: those of the smallest hash, the same on every run; the background."""
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, set] = defaultdict(set)
+        pairs = np.zeros((len(ORDER) + 1) ** 2, np.int64)
         for batch in batches:
             for body in batch["text"]:
-                for _, _, kind, value in base_spans(body):
+                base = base_spans(body)
+                pairs += class_pairs(body, base)
+                for _, _, kind, value in base:
                     kept[kind].add((hashlib.md5(value.encode()).hexdigest(), value))
             for kind in kept:  # what no task can need is dropped at once
                 kept[kind] = set(sorted(kept[kind])[:sample])
-        yield pd.DataFrame([(k, h, v) for k in sorted(kept) for h, v in sorted(kept[k])], columns=["kind", "h", "value"])
+        rows = [(k, h, v, 0) for k in sorted(kept) for h, v in sorted(kept[k])]
+        rows += [(PAIRS, "", str(k), int(n)) for k, n in enumerate(pairs) if n]
+        yield pd.DataFrame(rows, columns=["kind", "h", "value", "n"])
 
-    found = docs.select(whole(text).alias("text")).mapInPandas(values, "kind string, h string, value string").distinct()
-    first = found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where(F.col("n") <= sample)
+    found = docs.select(whole(text).alias("text")).mapInPandas(values, "kind string, h string, value string, n long")
+    found = found.groupBy("kind", "h", "value").agg(F.sum("n").alias("found"))
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where((F.col("n") <= sample) | (F.col("kind") == PAIRS))
     out: dict[str, list[str]] = {}
-    for row in first.select("kind", "value").collect():  # at most `sample` short strings a kind
-        out.setdefault(row["kind"], []).append(row["value"])
-    return out
+    counts: dict[int, int] = {}
+    for row in first.select("kind", "value", "found").collect():  # at most `sample` short strings a kind, and the class pairs
+        if row["kind"] == PAIRS:
+            counts[int(row["value"])] = row["found"]
+        else:
+            out.setdefault(row["kind"], []).append(row["value"])
+    return out, Background(counts)
 
 
 def infer(values: dict[str, list[str]], alpha: float = ALPHA) -> dict[str, Automaton]:
     return {kind: Automaton(values[kind]).merged(alpha) for kind in KINDS if values.get(kind)}
 
 
-def all_spans(text: str, automata: dict[str, Automaton], min_mean=MIN_MEAN, min_gain=MIN_GAIN) -> list[tuple[int, int, str]]:
-    """Base spans, and candidates outside them that an automaton finds likely."""
+def all_spans(text: str, automata: dict[str, Automaton], background: Background, min_gain=MIN_GAIN) -> list[tuple[int, int, str]]:
+    """Base spans, and candidates outside them that an automaton finds likelier than the background does."""
     base = [(s, e, kind) for s, e, kind, _ in base_spans(text)]
     added = []
     for m in CANDIDATE.finditer(text):
@@ -170,7 +213,7 @@ def all_spans(text: str, automata: dict[str, Automaton], min_mean=MIN_MEAN, min_
         scores = [(a.log_likelihood(value), kind) for kind, a in automata.items()]
         if scores:
             best, kind = max(scores)
-            if best / len(value) >= min_mean and best - background(value) >= min_gain:
+            if best - background.log_likelihood(value) >= min_gain:
                 added.append((m.start(), m.end(), f"like_{kind}"))
     order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
     return sorted(base + added, key=lambda s: (s[0], order[s[2]]))
@@ -179,17 +222,18 @@ def all_spans(text: str, automata: dict[str, Automaton], min_mean=MIN_MEAN, min_
 SPANS = "array<struct<start: long, end: long, kind: string>>"
 
 
-def secret_scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = SAMPLE, alpha=ALPHA, min_mean=MIN_MEAN, min_gain=MIN_GAIN) -> DataFrame:
+def secret_scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = SAMPLE, alpha=ALPHA, min_gain=MIN_GAIN) -> DataFrame:
     """(doc_id, spans) for every row; spans are (start, end, kind) in code points, end exclusive.
 
     A null or empty text has no spans; repeated rows are scanned each; an empty table, or one without any
     labelled credential, infers no automaton and only base spans are found. Other columns are ignored.
     """
-    automata = infer(grouped_values(docs, text, sample), alpha)
+    values, background = learned(docs, text, sample)
+    automata = infer(values, alpha)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t, automata, min_mean, min_gain)] for t in batch["text"]]
+            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t, automata, background, min_gain)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
 
     kind = docs.schema[doc_id].dataType
