@@ -304,6 +304,30 @@ def test_secret_scan_adds_unassigned_tokens(spark, name):
     assert all([k for _, _, k in got[i]] == ["assign"] for i in range(150))
 
 
+def test_secret_scan_scores_every_run(spark):
+    rng = random.Random(9)
+    token = lambda k, letters=ALPHABETS["base62"]: "".join(rng.choices(letters, k=k))
+    prose = "International organisations communicate extraordinarily. They see www.example.org/some-page.html and/or more, "
+    rows = [(i, prose + f"token: {token(40)}.{token(20)} end") for i in range(150)]
+    planted = {
+        "letters": "".join(a + b for a, b in zip(token(16, ALPHABETS["base62"][:26]), token(16, ALPHABETS["base62"][26:52]))),
+        "short": token(6) + "7Qx" + token(5),
+        "dotted": f"{token(10)}.{token(30)}.{token(14)}",
+        "around hex": f"{token(20)}Z{token(20, '0123456789abcdef')}Z{token(20)}",
+    }
+    rows += [(1000 + i, prose + f"then {t} follows") for i, t in enumerate(planted.values())]
+    value = token(30)
+    rows.append((2000, f"see my_secret={value} there"))
+    found = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in found.collect()}
+    at = len(prose) + len("then ")
+    for i, t in enumerate(planted.values()):
+        assert (at, at + len(t), "like_assign") in got[1000 + i] and sum(k.startswith("like") for _, _, k in got[1000 + i]) == 1
+    assert [k for _, _, k in got[1003]] == ["like_assign", "hex"]
+    assert got[2000] == [(7, 14 + len(value), "assign")]
+    assert all([k for _, _, k in got[i]] == ["assign"] for i in range(150))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

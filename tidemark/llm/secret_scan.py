@@ -6,8 +6,8 @@ whose continuations are statistically compatible (Hoeffding bounds on every symb
 into one probabilistic automaton a kind. Every other candidate string of a text is then scored by its
 log-likelihood under each automaton; one that beats the background by `min_gain` in total becomes a span of kind
 "like_<kind>". The background is a Markov chain over the character classes, counted over the runs of all texts that are
-too short for candidates, so that ordinary words, numbers, capitals and rules of signs are likely under it and unknown
-credentials don't enter it. A format is judged by this ratio alone: a rich alphabet makes every single character
+too short for candidates or plain (a word, capitals, a number, a rule of signs), so that unknown credentials don't enter
+it; a run that hardly changes its class is ordinary as well, whatever was counted. A format is judged by this ratio alone: a rich alphabet makes every single character
 unlikely, under any model.
 """
 
@@ -28,7 +28,7 @@ from tidemark.llm.common import whole
 SAMPLE = 2_000  # labelled credentials of a kind that the inference reads at most
 ALPHA = 0.05
 MIN_GAIN = 8.0
-MIN_CANDIDATE = 16
+MIN_CANDIDATE = 12  # the least of the labelled values' lengths
 KINDS = ("assign", "access", "hex")
 PREPEND = {"assign": 12, "access": 18, "hex": 16}  # least lengths
 
@@ -36,8 +36,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of hexadecimal digits is matched whole, so short runs never hide one
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
-HAS_DIGIT = re.compile("[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)  # maximal runs of what a labelled value may hold
+PLAIN = re.compile(r"[A-Z]?[a-z]+[.=-]*|[A-Z]+[.=-]*|[0-9]+[.=-]*|[+/_.=-]+")
 
 END = "$"
 PAIRS = "pairs"
@@ -45,6 +45,7 @@ PAIRS = "pairs"
 #: PRIOR characters after each class say, beside those of the texts.
 SHARES = {"v": 0.17, "l": 0.50, "h": 0.28, "U": 0.03, "d": 0.01, "s": 0.01}
 PRIOR = 20.0
+STAY = 0.9  # how likely a class is followed by itself in an ordinary run of capitals, digits or signs
 ORDER = "vlhUds"
 
 
@@ -142,9 +143,9 @@ CODES = np.array([ORDER.index(classes(c)) if re.fullmatch("[A-Za-z0-9+/_.=-]", c
 
 
 def class_pairs(text: str, base: list[tuple[int, int, str, str]]) -> np.ndarray:
-    """How often each class follows each one (the last stands for all that no candidate has), outside base spans and candidates."""
+    """How often each class follows each one (the last stands for all that no candidate has), outside base spans and candidates that are not plain."""
     codes = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-    for start, end in [s[:2] for s in base] + [m.span() for m in CANDIDATE.finditer(text)]:
+    for start, end in [s[:2] for s in base] + [m.span() for m in CANDIDATE.finditer(text) if not PLAIN.fullmatch(m[0])]:
         codes[start:end] = len(ORDER)
     size = len(ORDER) + 1
     return np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
@@ -164,7 +165,9 @@ class Background:
 
     def log_likelihood(self, value: str) -> float:
         found = classes(value)
-        return self.log[found[0]] + sum(self.log[a + b] for a, b in zip(found, found[1:]))
+        pairs = [*zip(found, found[1:])]
+        steady = sum(math.log(STAY if a == b else (1 - STAY) * SHARES[b]) for a, b in pairs)
+        return self.log[found[0]] + max(sum(self.log[a + b] for a, b in pairs), steady)
 
 
 def learned(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[dict[str, list[str]], Background]:
@@ -202,19 +205,29 @@ def infer(values: dict[str, list[str]], alpha: float = ALPHA) -> dict[str, Autom
     return {kind: Automaton(values[kind]).merged(alpha) for kind in KINDS if values.get(kind)}
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The runs that are not within a base span. An assignment is no part of a token: its name and value split the run."""
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        near = [b for b in base if b[0] < end and start < b[1]]
+        for s, e, kind in [*near, (end, end, "assign")]:
+            if kind == "assign":
+                if min(s, end) - start >= MIN_CANDIDATE and not any(b[0] <= start and min(s, end) <= b[1] for b in near):
+                    yield start, min(s, end)
+                start = max(start, e)
+
+
 def all_spans(text: str, automata: dict[str, Automaton], background: Background, min_gain=MIN_GAIN) -> list[tuple[int, int, str]]:
-    """Base spans, and candidates outside them that an automaton finds likelier than the background does."""
+    """Base spans, and candidates not within one of them that an automaton finds likelier than the background does."""
     base = [(s, e, kind) for s, e, kind, _ in base_spans(text)]
     added = []
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if not HAS_DIGIT.search(value) or any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
+    for start, end in candidates(text, base):
+        value = text[start:end]
         scores = [(a.log_likelihood(value), kind) for kind, a in automata.items()]
         if scores:
             best, kind = max(scores)
             if best - background.log_likelihood(value) >= min_gain:
-                added.append((m.start(), m.end(), f"like_{kind}"))
+                added.append((start, end, f"like_{kind}"))
     order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
     return sorted(base + added, key=lambda s: (s[0], order[s[2]]))
 
@@ -225,7 +238,8 @@ SPANS = "array<struct<start: long, end: long, kind: string>>"
 def secret_scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = SAMPLE, alpha=ALPHA, min_gain=MIN_GAIN) -> DataFrame:
     """(doc_id, spans) for every row; spans are (start, end, kind) in code points, end exclusive.
 
-    A null or empty text has no spans; repeated rows are scanned each; an empty table, or one without any
+    Every run of a labelled value's characters of `MIN_CANDIDATE` or more is scored, whatever its characters; one that
+    reaches beyond a base span is added beside it. A null or empty text has no spans; repeated rows are scanned each; an empty table, or one without any
     labelled credential, infers no automaton and only base spans are found. Other columns are ignored.
     """
     values, background = learned(docs, text, sample)
