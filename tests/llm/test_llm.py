@@ -186,6 +186,18 @@ def test_main_text(spark):
     assert wrapper_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_wrappers_and_deep_pages():
+    text = "The whole story of the day, told in one long line of words."
+    for wrapper in ("div class='content has-sidebar'", "div id='share-page'", "div class='post related-x'", "div class='sidebar'", "form"):
+        html = f"<body class='header-fixed no-comments'><{wrapper}><p>{text}</p><div class='page-footer'>foot</div></{wrapper.split()[0]}></body>"
+        assert wrapper_extract.extract(html, []) == text
+    beside = f"<main class='menu'><p>{text}</p></main><div class='sidebar'><p>{text * 3}</p></div>"
+    assert wrapper_extract.extract(beside, []) == text
+    deep = [wrapper_extract.outline(wrapper_extract.Page("<div>" * 5000 + f"notice<div>{text} {i}").root) for i in range(4)]
+    deep = [wrapper_extract.unpacked(wrapper_extract.packed(o)) for o in deep]
+    assert wrapper_extract.extract("<div>" * 5000 + f"notice<div>{text} 0", deep[1:]) == f"{text} 0"
+
+
 def test_jaccard_components(docs, nothing):
     rows = docs.collect()
 
