@@ -186,6 +186,21 @@ def test_main_text(spark):
     assert wrapper_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_is_aligned_around_articles(spark):
+    def teaser(i):
+        cards = "".join(f"<article><h2>Card {k}</h2></article>" for k in range(3))
+        return f"<body><div class='top'>Our daily paper</div><div class='text'><p>Long unmarked story number {i} goes on and on and on for a while</p></div>{cards}</body>"
+
+    def repeated(i):
+        return f"<article><h1>Title {i}</h1><div><p>Story {i} of the day is told here at some length</p></div><section><p>Write to us</p></section></article>"
+
+    rows = [(i, f"http://h.example/{i}", teaser(i)) for i in range(5)] + [(10 + i, f"http://g.example/{i}", repeated(i)) for i in range(5)]
+    got = wrapper_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert all(texts[i] == f"Long unmarked story number {i} goes on and on and on for a while" for i in range(5))
+    assert all(texts[10 + i] == f"Title {i} Story {i} of the day is told here at some length" for i in range(5))
+
+
 def test_main_text_of_wrappers_and_deep_pages():
     text = "The whole story of the day, told in one long line of words."
     for wrapper in ("div class='content has-sidebar'", "div id='share-page'", "div class='post related-x'", "div class='sidebar'", "form"):
