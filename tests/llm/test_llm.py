@@ -201,6 +201,21 @@ def test_main_text_is_aligned_around_articles(spark):
     assert all(texts[10 + i] == f"Title {i} Story {i} of the day is told here at some length" for i in range(5))
 
 
+def test_main_text_beside_groups_of_copies(spark):
+    def page(story, extra=""):
+        return f"<div class='top'>Our daily paper{extra}</div><div class='text'><p>{story}</p></div>"
+
+    same = "One long story that was published again and again under a lot of addresses of the host"
+    rows = [(i, f"http://h.example/{i}", page(same, "<br>" * (i % 3))) for i in range(40)]
+    rows += [(100 + i, f"http://h.example/s{i}", page(f"Story number {i} is long enough to be told apart from the others")) for i in range(4)]
+    rows += [(200 + i, f"http://h.example/l{i}", f"<ul class='links'><li>Contents</li></ul><h2>List {i} of the archive of this paper</h2>") for i in range(4)]
+    got = wrapper_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert len(texts) == len(rows) and all(texts[i] == same for i in range(40))
+    assert all(texts[100 + i] == f"Story number {i} is long enough to be told apart from the others" for i in range(4))
+    assert all(texts[200 + i] == f"List {i} of the archive of this paper" for i in range(4))
+
+
 def test_main_text_of_wrappers_and_deep_pages():
     text = "The whole story of the day, told in one long line of words."
     for wrapper in ("div class='content has-sidebar'", "div id='share-page'", "div class='post related-x'", "div class='sidebar'", "form"):
