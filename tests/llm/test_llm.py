@@ -305,6 +305,15 @@ def test_compression_classifier(spark, nothing):
     assert 0 <= zip_.Model(zip_.dictionary([]), zip_.dictionary([])).score((0.0, 1.0)) <= 1
 
 
+def test_compression_classifier_reads_whole_texts(spark):
+    late = "z" * 40_000 + "".join(f"the late part {i} " for i in range(4000))
+    assert any(b"late part" in p for p in zip_.pieces(late)) and len(zip_.pieces(late)) == zip_.PIECES
+    docs = spark.createDataFrame([(i, late, None, None, None) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    sample, _ = zip_.labelled_sample(docs, labels)
+    assert sample.count() > 0 and all(r["text"] == late for r in sample.collect())
+
+
 def test_secret_scan(spark, nothing):
     rng = random.Random(4)
     keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(60)]

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import whole
 
@@ -24,8 +25,7 @@ DICT_ROWS = 1_500  # labelled rows a class that build the dictionaries, at most
 FIT_ROWS = 1_500  # labelled rows a class that fit the curve, at most
 DICT_BYTES = 112_640
 PIECE = 1_024
-SAMPLE_CHARS = 8_192  # of one labelled text in a dictionary's sample, so that no text fills it alone
-FIT_CHARS = 32_768  # of one labelled text that the driver reads, so that its memory is bounded
+PIECES = 8  # of one labelled text in a dictionary's sample, from all over it by hash, so that no text fills it alone
 CHUNK = 2_048
 LEVEL = 3
 THRESHOLD = 0.7
@@ -37,29 +37,28 @@ def fold(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", rows: int = DICT_ROWS + FIT_ROWS) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """At most `rows` labelled texts a class, and how many usable labels each class has; by the smallest hash of the identifier, never of the held-out fold.
+def pieces(text: str, most: int = PIECES) -> list[bytes]:
+    """At most `most` pieces of the whole text, those of the smallest hash, in text order."""
+    data = text.encode("utf-8", "surrogatepass")
+    found = [(xxhash.xxh64_intdigest(data[i : i + PIECE], seed=i), i) for i in range(0, len(data), PIECE)]
+    return [data[i : i + PIECE] for i in sorted(i for _, i in sorted(found)[:most])]
 
-    Light queries choose identifiers; only the chosen texts (bounded by the parameter) come to the driver.
-    """
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", rows: int = DICT_ROWS + FIT_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """At most `rows` labelled whole texts a class (`n` numbers their identifiers), and how many usable labels each class has; by the smallest hash of the identifier, never of the held-out fold."""
     usable = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).where("__quality in (0, 1)")
     usable = usable.where(fold("__id") != HELD_OUT).groupBy("__id").agg(F.min("__quality").alias("__quality"))
-    chosen = [
-        usable.where(F.col("__quality") == q).select("__id", "__quality").orderBy(F.xxhash64("__id"), "__id").limit(rows) for q in (0, 1)
-    ]
-    picked = chosen[0].unionByName(chosen[1])  # at most 2 x rows identifiers, so it may be broadcast
-    texts = docs.select(F.col(doc_id).alias("__id"), whole(text).alias("__text")).join(F.broadcast(picked), "__id")
-    found = texts.select("__id", "__quality", F.left("__text", F.lit(FIT_CHARS)).alias("__text")).orderBy(F.xxhash64("__id"), "__id", "__text").collect()
-    counts = {r["__quality"]: r["n"] for r in usable.groupBy("__quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [(r["__quality"], r["__text"]) for r in found], counts
-
-
-def dictionary(texts: list[str], size: int = DICT_BYTES) -> zstandard.ZstdCompressionDict:
-    """Trained on pieces of the texts; where they are too few for that, their last bytes as they are."""
-    data = [t[:SAMPLE_CHARS].encode("utf-8", "surrogatepass") for t in texts]
-    pieces = [d[i : i + PIECE] for d in data for i in range(0, len(d), PIECE)]
+    numbered = usable.withColumn("n", F.row_number().over(Window.partitionBy("__quality").orderBy(F.xxhash64("__id"), "__id")))
+    picked = numbered.where(F.col("n") <= rows)  # at most 2 x rows identifiers, so it may be broadcast
+    texts = docs.select(F.col(doc_id).alias("__id"), whole(text).alias("text")).join(F.broadcast(picked), "__id")
+    counts = {r["__quality"]: r["c"] for r in usable.groupBy("__quality").agg(F.count(F.lit(1)).alias("c")).collect()}
+    return texts.select("__id", F.col("__quality").cast("int").alias("quality"), F.col("n").cast("int").alias("n"), "text"), counts
+
+
+def dictionary(data: list[bytes], size: int = DICT_BYTES) -> zstandard.ZstdCompressionDict:
+    """Trained on pieces of texts; where they are too few for that, their last bytes as they are."""
     try:
-        return zstandard.train_dictionary(size, pieces, k=256, d=8)
+        return zstandard.train_dictionary(size, data, k=256, d=8)
     except (zstandard.ZstdError, ValueError):
         return zstandard.ZstdCompressionDict(b"\n".join(data)[-size:] or b"\n\n\n\n\n\n\n\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
@@ -96,13 +95,29 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def train(sample: list[tuple[int, str]], counts: dict[int, int] | None = None, dict_rows: int = DICT_ROWS) -> Model:
-    """Alternate rows build dictionaries and fit the curve; `counts` are the classes' true numbers of rows."""
-    by_class = {q: [t for quality, t in sample if quality == q] for q in (0, 1)}
-    build = {q: texts[::2][:dict_rows] for q, texts in by_class.items()}
-    model = Model(dictionary(build[1]), dictionary(build[0]))
-    tools = model.compressors()
-    points = [(model.features(t, tools), q) for q, texts in by_class.items() for t in texts[1::2]]
+def train(sample: DataFrame, counts: dict[int, int] | None = None, dict_rows: int = DICT_ROWS) -> Model:
+    """Alternate texts build dictionaries and fit the curve; `counts` are the classes' true numbers of rows.
+
+    Whole texts stay in the tasks: a bounded number of pieces a text, or two numbers, come to the driver.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(q, n, i, p) for q, n, t in zip(batch["quality"], batch["n"], batch["text"]) for i, p in enumerate(pieces(t))]
+            yield pd.DataFrame(found, columns=["quality", "n", "i", "piece"])
+
+    build = sample.where((F.col("n") % 2 == 1) & (F.col("n") <= 2 * dict_rows)).mapInPandas(cut, "quality int, n int, i int, piece binary")
+    found = sorted((r["n"], r["i"], bytes(r["piece"]), r["quality"]) for r in build.collect())
+    model = Model(*(dictionary([p for _, _, p, quality in found if quality == q]) for q in (1, 0)))
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = model.compressors()
+        for batch in batches:
+            x = [model.features(t, tools) for t in batch["text"]]
+            yield pd.DataFrame({"quality": batch["quality"], "n": batch["n"], "a": [a for a, _ in x], "b": [b for _, b in x]})
+
+    fit = sample.where(F.col("n") % 2 == 0).mapInPandas(measured, "quality int, n int, a double, b double")
+    points = [((a, b), q) for q, _, a, b in sorted(tuple(r) for r in fit.collect())]
     if len({q for _, q in points}) == 2:
         fitted = Counter(q for _, q in points)
         model.weights = logistic(points, {q: ((counts or {}).get(q) or n) / n for q, n in fitted.items()})
