@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, piece_transducer, quality_rules, revisits, secret_scan, wrapper_extract
+from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_transducer, quality_rules, revisits, secret_scan, wrapper_extract
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op4_wrapper_extract(spark, sf_dir):
 def op6_revisits(spark, sf_dir):
     captures = revisits.page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return revisits.resolve_revisits(captures).withColumn("headers", revisits.header_text())
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
