@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_transducer, quality_rules, revisits, secret_scan, wrapper_extract
+from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_transducer, quality_rules, ranked_search, revisits, secret_scan, wrapper_extract
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op6_revisits(spark, sf_dir):
 def op12_periodic_runs(spark, sf_dir):
     docs = periodic_runs.with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
