@@ -177,3 +177,24 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
 SQL["op13_ranked_search"] = RANKED
+
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT row, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY g) AS n FROM strings) WHERE n > 1),
+islands AS (
+  SELECT row, i, sum(new::INT) OVER (PARTITION BY row ORDER BY i) AS island
+  FROM (SELECT row, i, i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i) + 400, -1) AS new FROM repeated)
+),
+spans AS (SELECT row, min(i) AS a, max(i) + 400 AS b FROM islands GROUP BY row, island),
+pieces AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS from_ FROM spans),
+cut AS (
+  SELECT row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept
+  FROM pieces JOIN d USING (row) GROUP BY row
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.row IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut c USING (row)
+"""
+SQL["op11_repeat_index"] = REPEATS

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_transducer, quality_rules, ranked_search, revisits, secret_scan, wrapper_extract
+from tidemark.llm import compression_classifier, exact_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_transducer, quality_rules, ranked_search, repeat_index, revisits, secret_scan, wrapper_extract
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op12_periodic_runs(spark, sf_dir):
 def op13_ranked_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query
+def op11_repeat_index(spark, sf_dir):
+    return repeat_index.digest(repeat_index.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
