@@ -184,10 +184,10 @@ def _texts(docs: DataFrame, tids: DataFrame, least: int) -> DataFrame:
 
 
 def _open(segments: DataFrame, name: str) -> DataFrame:
-    """The segments (key, n, again, ...) whose key may repeat something."""
-    segments = written(segments, name)
-    keys = segments.groupBy("key").agg(F.sum("n").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
-    return segments.join(written(keys, f"{name}-keys").hint("merge"), "key", "left_semi")
+    """The segments (key, again, ...; n of each, one if there is none) whose key may repeat something."""
+    n = F.sum("n") if "n" in segments.columns else F.count(F.lit(1))
+    keys = segments.groupBy("key").agg(n.alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
+    return segments.join(written(keys, name).hint("merge"), "key", "left_semi")
 
 
 def suffix_order(symbols: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def long_matches(segments: DataFrame, least: int, level: int = 0) -> DataFrame:
     found = _index(segments.join(hot, "key", "left_anti"), total["cold"], least)
     parts = written(_refined(segments.join(hot, "key", "left_semi"), grams[level + 1], least), "repeat-parts")
     finer = parts.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("again").alias("again"), F.first("segment").alias("segment"))
-    below = long_matches(written(_open(finer, "repeat-finer"), "repeat-segments"), least, level + 1)
+    below = long_matches(written(_open(written(finer, "repeat-finer"), "repeat-keys"), "repeat-segments"), least, level + 1)
     places = parts.select("key", "digest", "first", "of_key", "of_digest")
     lifted = places.join(written(below, "repeat-below"), ["key", "digest"]).select(
         F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), F.expr("transform(spans, s -> named_struct('start', s.start + first, 'stop', s.stop + first)) AS spans")
@@ -346,16 +346,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     anchored = written(anchored_texts(rows, least), "repeat-anchors")
-    parts = anchored.select("tid", F.inline("parts"))
-    segments = parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("tid", "first", "size")).alias("at"))
-    told = _open(segments, "repeat-distinct").groupBy("at.tid").agg(F.collect_list(F.struct("key", "digest", "n", "at.first", "at.size")).alias("wanted"))
+    parts = written(_open(anchored.select("tid", F.inline("parts")), "repeat-keys").drop("again"), "repeat-open")
+    segments = parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "first", "size")).alias("at"))
+    told = segments.groupBy("at.tid").agg(F.collect_list(F.struct("key", "digest", "n", "at.first", "at.size")).alias("wanted"))
     told = written(told, "repeat-wanted")
     texts = _texts(rows, told.select("tid"), least).join(told, "tid").select("text", F.inline("wanted"))
     cut = texts.select("key", "digest", "n", F.expr(f"substring(text, first + 1, size + {least - 1})").alias("segment"))
     marks = written(long_matches(written(cut, "repeat-segments"), least), "repeat-marks")
-    placed = parts.select("tid", "key", "digest", "first").join(marks.hint("merge"), ["key", "digest"]).select("tid", "first", F.inline("spans"))
-    spans = placed.groupBy("tid").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("stop") + F.col("first")).alias("stop"))).alias("spans"))
-    spans = written(spans, "repeat-spans")
+    placed = parts.select("tid", "key", "digest", "first").join(marks.hint("merge"), ["key", "digest"])
+    spans = written(placed.groupBy("tid").agg(F.collect_set(F.struct("first", "spans")).alias("found")), "repeat-spans")
     cleaned = written(_cleaned(_texts(rows, spans.select("tid"), least).join(spans, "tid")), "repeat-cleaned")
     every = anchored.select("doc_id", "n_bytes", "sha", "tid").join(cleaned.hint("merge"), "tid", "left")
     return every.select(
@@ -368,15 +367,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _cleaned(texts: DataFrame) -> DataFrame:
-    """(tid, spans, n_removed, kept) of texts (tid, text, spans): spans united, and the digest of what is left."""
+    """(tid, spans, n_removed, kept) of texts (tid, text, found): all segments' spans united, and the digest of what is left."""
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             found = {"spans": [], "n_removed": [], "kept": []}
             for k in range(batch.num_rows):
-                data, spans = batch.column(1)[k].as_buffer(), batch.column(2)[k].values
-                starts, stops = spans.field(0).to_numpy(), spans.field(1).to_numpy()
+                data, segments = batch.column(1)[k].as_buffer(), batch.column(2)[k].values
+                spans, numbers = segments.field(1).flatten(), pc.list_value_length(segments.field(1)).to_numpy()
+                starts, stops = (spans.field(x).to_numpy() + np.repeat(segments.field(0).to_numpy(), numbers) for x in (0, 1))
                 order = np.argsort(starts, kind="stable")
                 united = _united(starts[order], stops[order])
                 rest, at = hashlib.sha256(), 0
@@ -389,7 +389,7 @@ def _cleaned(texts: DataFrame) -> DataFrame:
                 found["kept"].append(rest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found["spans"], kind), pa.array(found["n_removed"], pa.int64()), pa.array(found["kept"])], names=["tid", *found])
 
-    return texts.select("tid", "text", "spans").mapInArrow(cleaned, f"tid binary, spans {SPANS}, n_removed long, kept string")
+    return texts.select("tid", "text", "found").mapInArrow(cleaned, f"tid binary, spans {SPANS}, n_removed long, kept string")
 
 
 def kept_bytes(text: str = "text", spans: str = "spans") -> Column:
