@@ -12,7 +12,7 @@ from tidemark.operators.rollups import pages_per_hour
 from tidemark.plans import page_sets, resume
 from tidemark.plans.archive import Archiver, FewerRows, NothingToArchive, archive_status
 from tidemark.plans.rebuild import ArchiveIncomplete, rebuild
-from tidemark.plans.restore import Restored, month_ranges, raw_from_day, restore
+from tidemark.plans.restore import HoursDone, first_raw_day, hour_differences, restore, restore_plan
 from tidemark.sources.archive import edits_by_day_and_lang, existing_hours, read_archive
 from tidemark.sources.tables import Tables
 
@@ -157,58 +157,94 @@ def test_rebuild_from_the_archive(archiver, tables, spark, tmp_path):
     assert per_minute(tables) == before
 
 
-def test_a_lost_store_comes_back(tables, spark, tmp_path):
+@pytest.fixture
+def lost(tables, spark, tmp_path):
+    """An archive of hours days apart, what the store held of them, and an empty store."""
     old = second(H0, 10) - timedelta(days=3)
-    dicts = archive_day() + [edit(old - timedelta(hours=2), seq=5000)] + rows(20, old, first_seq=6000)
-    store(tables, dicts, "day")
+    store(tables, archive_day() + [edit(old - timedelta(hours=2), seq=5000)] + rows(20, old, first_seq=6000), "day")
     archiver = Archiver(tables, str(tmp_path / "archive"))
-    written = {r.hour_s for r in archiver.run_once(ms(NOW)).results}
-    assert restore(tables, archiver.base, ms(NOW)).raw_hours == []  # raw rows: nothing lost
+    hours = sorted(r.hour_s for r in archiver.run_once(ms(NOW)).results)
+    return archiver.base, hours, Tables(spark, str(tmp_path / "empty")), tables
+
+
+def stored_state(t, hours):
+    ids = sorted(r["event_id"] for r in t.read("edits").select("event_id").collect())
+    return ids, [m for m in per_minute(t) if int(m[0].timestamp()) // HOUR_S * HOUR_S in hours], pages(t, set(hours))
 
-    def minutes(t):
-        return [m for m in per_minute(t) if int(m[0].timestamp()) // HOUR_S * HOUR_S in written]
 
-    def ids(t):
-        return sorted(r["event_id"] for r in t.read("edits").select("event_id").collect())
+def test_a_store_with_ingested_rows_has_lost_nothing(lost):
+    base, _, _, full = lost
+    assert restore_plan(full, base, ms(NOW)).isEmpty() and restore(full, base, ms(NOW)) == HoursDone()
 
-    before, sets = minutes(tables), pages(tables, written)
-    empty = Tables(spark, str(tmp_path / "empty"))
-    done = restore(empty, archiver.base, ms(NOW))
+
+def test_an_empty_store_comes_back_by_hours(lost):
+    base, hours, empty, full = lost
+    done = restore(empty, base, ms(NOW))
     raw_from = int(at(2026, 10, 5).timestamp())
-    assert set(done.rollup_hours) == {h for h in written if h < raw_from}
-    assert set(done.raw_hours) == {h for h in written if h >= raw_from}
-    assert minutes(empty) == before
-    assert pages(empty, written) == sets
-    assert len(ids(empty)) == done.raw_rows == 121
-    assert restore(empty, archiver.base, ms(NOW)) == Restored()
+    assert done.raw == tuple(h for h in hours if h >= raw_from) and done.counts == tuple(h for h in hours if h < raw_from)
+    ids, counted, sets = stored_state(empty, hours)
+    assert len(ids) == done.rows == 121
+    assert (counted, sets) == stored_state(full, hours)[1:]
+    assert {t for _, t in empty.hold("edits", empty.partitions("edits")).tokens} == {f"restored-{second(h, 0):%Y%m%d%H}" for h in done.raw}
+    assert restore(empty, base, ms(NOW)) == HoursDone()
 
     state = resume.resume_state(empty.read("edits"), empty.read("edits_per_minute"), ms(NOW)).first()
+    assert state == resume.resume_state(None, empty.read("edits_per_minute"), ms(NOW), ledger=empty.ledger()).first()
     assert state["start"] == "after_restore" and state["bookmark"] is None
     assert state["since_ms"] == ms(second(H2, 10 + 29 + 1) - timedelta(minutes=30))
     assert state["floor_ms"] == ms(at(2026, 10, 5))
 
-    # an interrupted restore is done again
-    part = empty.read("edits").where("dt = date'2026-10-06' AND hour(event_time) <> 4").drop("token")
-    empty.replace("edits", ["2026-10-06"], part, "restored")
-    assert len(ids(empty)) == 81
-    again = restore(empty, archiver.base, ms(NOW))
-    assert set(again.raw_hours) == set(done.raw_hours)
-    assert len(ids(empty)) == 121 and minutes(empty) == before
-
-
-def test_restore_helpers(tables, spark):
-    assert month_ranges(tables, date(2026, 9, 28), date(2026, 10, 2)) == [
-        (date(2026, 9, 28), date(2026, 10, 1)),
-        (date(2026, 10, 1), date(2026, 10, 2)),
-    ]
-    assert month_ranges(tables, date(2026, 12, 30), date(2027, 1, 2)) == [
-        (date(2026, 12, 30), date(2027, 1, 1)),
-        (date(2027, 1, 1), date(2027, 1, 2)),
-    ]
-    assert month_ranges(tables, date(2026, 10, 5), date(2026, 10, 5)) == []
+
+def test_what_a_cut_off_or_folded_run_left_is_completed(lost, monkeypatch):
+    from tidemark.plans import upkeep
+
+    base, hours, empty, full = lost
+    real = Tables.put
+
+    def cut_off(self, name, some, token):
+        if name == "edits_per_minute" and self is empty and self.partitions("edits"):
+            raise RuntimeError("executor lost")
+        return real(self, name, some, token)
+
+    monkeypatch.setattr(Tables, "put", cut_off)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        restore(empty, base, ms(NOW))
+    monkeypatch.setattr(Tables, "put", real)
+    again = restore(empty, base, ms(NOW))
+    want = stored_state(full, hours)[1:]
+    assert again.raw == () and stored_state(empty, hours)[1:] == want  # rows were whole, their counts weren't
+
+    # a fold puts hours under one token; then an hour is lost, one loses a row, one holds a row twice
+    day = "2026-10-06"
+    upkeep.compact(empty, "edits", day, ms(NOW))
+    upkeep.compact(empty, "edits_per_minute", "202610", ms(NOW))
+    held = empty.read("edits").where("dt = date'2026-10-06'").drop("token")
+    damaged = held.where(F.unix_seconds("event_time") >= H1)
+    one = damaged.where(F.unix_seconds("event_time") < H2).limit(1)
+    empty.replace("edits", [day], damaged.join(one.select("event_id"), "event_id", "left_anti").unionByName(held.where(F.unix_seconds("event_time") >= H2).limit(1)), "restored")
+    plan = {r["hour_s"]: r["target"] for r in restore_plan(empty, base, ms(NOW)).collect()}
+    assert plan == {H0: "raw", H1: "raw", H2: "raw"}
+    done = restore(empty, base, ms(NOW))
+    assert set(done.raw) == {H0, H1, H2} and len(stored_state(empty, hours)[0]) == 121
+    assert stored_state(empty, hours)[1:] == want
+    assert restore(empty, base, ms(NOW)) == HoursDone()
+
+
+def test_hours_differ_by_content_not_by_order(lost, spark):
+    base, _, _, _ = lost
+    files = read_archive(spark, base)
+    assert hour_differences(files, files.orderBy(F.desc("event_id"))).isEmpty()
+    renamed = files.withColumn("title", F.when(F.unix_seconds("event_time") >= H2, F.concat("title", F.lit("x"))).otherwise(F.col("title")))
+    assert {r["hour_s"] for r in hour_differences(files, renamed).collect()} == {H2}
+    twice = files.unionByName(files.where(F.unix_seconds("event_time") >= H2))
+    assert {r["hour_s"] for r in hour_differences(files, twice).collect()} == {H2}
+    assert hour_differences(files.where("false"), files).isEmpty()  # hours without files are none of its business
+
+
+def test_raw_rows_come_back_for_the_newest_days_that_are_kept():
     newest = int(at(2026, 10, 10, 9).timestamp())
-    assert raw_from_day(newest, ms(at(2026, 10, 10, 11))) == date(2026, 10, 9)
-    assert raw_from_day(int(at(2026, 10, 3, 9).timestamp()), ms(at(2026, 10, 10, 11))) == date(2026, 10, 4)
+    assert first_raw_day(newest, ms(at(2026, 10, 10, 11))) == date(2026, 10, 9)
+    assert first_raw_day(int(at(2026, 10, 3, 9).timestamp()), ms(at(2026, 10, 10, 11))) == date(2026, 10, 4)
 
 
 def test_restored_rows_carry_no_stream_id(archiver, spark):

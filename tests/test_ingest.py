@@ -129,7 +129,7 @@ def test_batch_tokens_tell_events_of_one_millisecond_apart(spark):
 def test_first_arrival_wins_and_known_ids_are_dropped(spark):
     kept = spark.createDataFrame([(5, "a", "late"), (1, "a", "first"), (2, "b", "x"), (3, "c", "y")], "position BIGINT, event_id STRING, title STRING")
     tail = spark.createDataFrame([("c",)], "event_id STRING")
-    got = seam.unseen(seam.first_arrivals(kept), tail, 10).orderBy("position").collect()
+    got = seam.unseen(seam.first_arrivals(kept), tail).orderBy("position").collect()
     assert [(r["event_id"], r["title"]) for r in got] == [("a", "first"), ("b", "x")]
     plan = seam.first_arrivals(kept)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan  # limited before the shuffle too
@@ -175,7 +175,7 @@ def assert_derived_match_raw(tables):
 
 def test_the_stream_stores_every_event_once(spark, tables, tmp_path):
     land, check = str(tmp_path / "landed"), str(tmp_path / "checkpoint")
-    ingest = Ingest(tables, Settings(seam_ids=50))
+    ingest = Ingest(tables)
     for first, last in ((0, 60), (60, 130), (130, 200)):
         messages(spark, first, last).coalesce(1).write.mode("append").parquet(land)
         query = ingest.start(landed_files(spark, land, max_files=1), check, available_now=True)
@@ -191,27 +191,27 @@ def test_the_stream_stores_every_event_once(spark, tables, tmp_path):
     assert totals["kept"] + totals["duplicate"] == 200
 
     # a new checkpoint over the same files finds everything stored already
-    again = Ingest(tables, Settings(seam_ids=1_000)).start(landed_files(spark, land), str(tmp_path / "checkpoint2"), available_now=True)
+    again = Ingest(tables).start(landed_files(spark, land), str(tmp_path / "checkpoint2"), available_now=True)
     again.awaitTermination()
     assert sorted(ids(tables)) == sorted(got)
     assert_derived_match_raw(tables)
 
 
 def test_a_replayed_batch_changes_nothing(spark, tables):
-    ingest = Ingest(tables, Settings(seam_ids=50))
+    ingest = Ingest(tables)
     first, second = messages(spark, 0, 60), messages(spark, 60, 120)
     ingest.write(first, "run", 0)
     ingest.write(second, "run", 1)
     stored = sorted((r["event_id"], r["ingest_seq"]) for r in tables.read("edits").collect())
     ingest.write(second, "run", 1)  # as after a crash before the checkpoint commit
-    Ingest(tables, Settings(seam_ids=1_000)).write(first, "other", 0)  # found among the last stored
+    Ingest(tables).write(first, "other", 0)
     assert sorted((r["event_id"], r["ingest_seq"]) for r in tables.read("edits").collect()) == stored
     assert {e for e, _ in stored} == truth(120)
     assert_derived_match_raw(tables)
 
 
 def test_an_interrupted_batch_is_completed_by_its_replay(spark, tables, monkeypatch):
-    ingest = Ingest(tables, Settings(seam_ids=50))
+    ingest = Ingest(tables)
     real = Tables.write_once
 
     def fails(self, name, rows_, token):
@@ -238,7 +238,7 @@ def test_a_retried_write_is_stored_once(tables):
 
 
 def test_a_batch_with_nothing_to_keep(spark, tables):
-    ingest = Ingest(tables, Settings(seam_ids=50))
+    ingest = Ingest(tables)
     ingest.write(landed(spark, [(1, "{broken", "[]"), (2, json.dumps(event(wiki="frwiki")), "[]")]), "run", 0)
     ingest.write(landed(spark, []), "run", 1)
     ingest.write(landed(spark, [(3, json.dumps(event()), "[]"), (4, json.dumps(event()), "[]")]), "run", 2)
@@ -285,3 +285,72 @@ def test_messages_without_a_place_in_the_stream_are_refused(spark, tables):
     with pytest.raises(ValueError, match="position"):
         Ingest(tables).write(unplaced, "run", 0)
     assert ids(tables) == []
+
+
+def test_a_repeat_is_known_after_any_number_of_events_and_a_restart(spark, tables):
+    """More than 20,000 ids between an event and its repeat, within one run and over a new checkpoint."""
+    body = (
+        "concat('{\"meta\":{\"id\":\"', format_string('00000000-0000-4000-8000-%012d', id), '\",\"dt\":\"', "
+        "date_format(timestamp_seconds(1791100000 + id), \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), '\",\"domain\":\"x\"},\"wiki\":\"enwiki\","
+        "\"type\":\"edit\",\"namespace\":0,\"title\":\"T', id % 9, '\"}')"
+    )
+
+    def sent(first, last, position):
+        return spark.range(first, last).selectExpr(
+            f"{position} + id AS position", "'[]' AS sse_id", f"{body} AS data", f"timestamp_seconds(1791100002 + {last}) AS received_at"
+        )
+
+    ingest = Ingest(tables)
+    ingest.write(sent(0, 3_000, 0), "one", 0)
+    ingest.write(sent(3_000, 30_000, 0), "one", 1)
+    ingest.write(sent(0, 500, 100_000), "one", 2)
+    Ingest(tables).write(sent(200, 40_000, 200_000), "two", 0)
+    stored = tables.read("edits")
+    assert stored.count() == stored.select("event_id").distinct().count() == 40_000
+    assert_derived_match_raw(tables)
+    totals = {r["outcome"]: r["n"] for r in tables.read("outcomes").groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert totals == {"kept": 40_000, "duplicate": 500 + 29_800}
+    seqs = stored.agg(F.count_distinct("ingest_seq")).first()[0]
+    assert seqs == 40_000
+
+
+def test_only_writes_of_the_same_minutes_are_opened(spark, tables):
+    ingest = Ingest(tables)
+    first, later = (messages(spark, 0, 6, start=T0 - timedelta(hours=h)) for h in (10, 2))
+    ingest.write(first, "run", 0)
+    assert ingest._stored(classify(later).where("outcome = 'kept'"), "run-000000001") is None
+    known = ingest._stored(classify(first).where("outcome = 'kept'"), "run-000000001")
+    assert {r["event_id"] for r in known.collect()} == truth(6)
+    assert ingest._stored(classify(first).where("outcome = 'kept'"), "run-000000000") is None  # its own rows don't count
+
+
+def test_the_ledger_adds_up_after_every_kind_of_write(spark, tables):
+    from tidemark.operators import hours, ledger
+    from tidemark.plans import upkeep
+
+    def agree():
+        edits, kept = tables.read("edits"), tables.ledger()
+        assert ledger.raw_span(kept).collect() == hours.raw_span(edits).collect()
+        assert ledger.head(kept).collect() == hours.head(edits).collect()
+        assert ledger.max_ingest_seq(kept).collect() == hours.max_ingest_seq(edits).collect()
+        assert ledger.ingest_mark(kept).collect() == hours.ingest_mark(edits).collect()
+        assert ledger.latest_bookmark(kept).collect() == seam.latest_bookmark(edits).collect()
+        assert tables.watermark_ms() == hours.raw_span(edits).first()["newest_ms"]
+        assert tables.oldest_ms() == hours.raw_span(edits).first()["oldest_ms"]
+
+    agree()
+    for k in range(4):
+        store(tables, rows(40, T0 + timedelta(hours=7 * k), first_seq=1 + 40 * k), f"run-{k:09d}")
+        agree()
+    day = tables.partitions("edits")[0]
+    upkeep.compact(tables, "edits", day, ms(T0))
+    agree()
+    upkeep.delete_rows(tables, "edits", day, F.col("title") == "Article 1", ms(T0) + 9 * 86_400_000)
+    agree()
+    tables.drop_partition("edits", day)
+    agree()
+    tables.files.remove(tables.path("edit_batches"))
+    assert tables.complete_ledger() > 0 and tables.complete_ledger() == 0
+    agree()
+    late = tables.stored_since(ms(T0 + timedelta(hours=21)))
+    assert late.count() == 40 and set(r["token"] for r in late.select("token").collect()) == {"run-000000003"}

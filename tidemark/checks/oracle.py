@@ -233,7 +233,7 @@ add(
     (inp.BASE, inp.EDITS, inp.MESSAGES, inp.CLASSIFIED),
     """SELECT event_id, position, 1000 + position AS ingest_seq, epoch_ms(event_time) AS event_ms FROM stored
       WHERE event_id NOT IN (SELECT concat('00000000-0000-4000-8000-', lpad(event_id, 12, '0')) FROM
-        (SELECT event_id FROM edits WHERE is_bot ORDER BY ingest_seq DESC LIMIT 20000))""",
+        (SELECT event_id FROM edits WHERE is_bot))""",
 )
 add("ingest_tail", _E, "SELECT event_id, sse_id, ingest_seq FROM edits ORDER BY ingest_seq DESC LIMIT 20000")
 add("latest_bookmark", _E, "SELECT arg_max(sse_id, ingest_seq) AS sse_id FROM edits HAVING arg_max(sse_id, ingest_seq) <> ''")
@@ -498,3 +498,17 @@ add(
       WHERE event_time::DATE >= now::DATE - 7 GROUP BY 1""",
 )
 add("reconnects_recorded_twice", (inp.BASE, inp.RECONNECTS), "SELECT reason, count(*) AS n FROM reconnects GROUP BY reason")
+
+for _name in ("restore_resumed", "restore_after_compaction"):
+    SQL[_name] = SQL["restored_edits"]
+SQL["restored_counts_after_compaction"] = SQL["rollup_per_minute"]
+SQL["repair_then_replay"] = SQL["stream_rollup"]
+add(
+    "delete_then_replay",
+    _M,
+    """SELECT event_id, epoch_ms(event_time) AS event_ms, lang, title, sse_id FROM stored
+      WHERE NOT (event_time::DATE = (SELECT max(event_time)::DATE FROM stored) AND title IN ('Article 7', 'Article 8'))""",
+)
+add("seam_restart", _M, "SELECT event_id, epoch_ms(event_time) AS event_ms, lang, title, namespace, is_bot FROM stored")
+for _name, _same in (("head", "head"), ("span", "raw_span"), ("bookmark", "latest_bookmark"), ("max_seq", "max_ingest_seq"), ("resume", "resume_state"), ("stored_lag", "stored_lag_last_hour")):
+    SQL[f"ledger_{_name}"] = SQL[_same]

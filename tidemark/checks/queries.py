@@ -376,13 +376,12 @@ def classified_rows(spark, sf_dir):
 
 @query
 def seam_dedup(spark, sf_dir):
-    """Messages once each: repeats inside the batch, then ids among the last 20,000 stored."""
+    """Messages once each: repeats inside the batch, then ids among those stored, however many."""
     kept = classify_ops.classify(given.messages(spark, sf_dir)).where("outcome = 'kept'")
     stored = given.edits(spark, sf_dir).withColumn(
         "event_id", F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad("event_id", 12, "0"))
     )
-    tail = seam.ingest_tail(stored.where(F.col("is_bot")), DEFAULTS.seam_ids)
-    fresh = seam.unseen(seam.first_arrivals(kept), tail, DEFAULTS.seam_ids)
+    fresh = seam.unseen(seam.first_arrivals(kept), stored.where(F.col("is_bot")))
     return seam.numbered(fresh, 1_000, 0).select("event_id", "position", "ingest_seq", times.ms("event_time").alias("event_ms"))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.checks.queries import Inputs, query
 from tidemark.config import HOUR_S, Settings
 from tidemark.functions import times
-from tidemark.operators import hours, rollups
-from tidemark.plans import logs, page_sets, reconcile, upkeep
+from tidemark.operators import hours, lag, ledger, rollups
+from tidemark.plans import logs, page_sets, reconcile, resume, upkeep
 from tidemark.plans.archive import Archiver
 from tidemark.plans.rebuild import rebuild
 from tidemark.plans.restore import restore
@@ -232,3 +232,156 @@ def reconnects_recorded_twice(spark, sf_dir):
         logs.record_reconnects(tables, given.reconnects(spark, sf_dir), "batch-1")
     rows = tables.read("ingest_reconnects")
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- restores that were cut off, folded or damaged -------------------------------------------------
+
+
+def _restored_edits(tables: Tables) -> DataFrame:
+    return tables.read("edits").select("event_id", "sse_id", "ingest_seq", times.ms("event_time").alias("event_ms"), "title")
+
+
+@query
+def restore_resumed(spark, sf_dir):
+    """Raw rows after a restore whose newest day lost every third hour and a row of each other one, and came back."""
+    i, base = Inputs(spark, sf_dir), _archived(spark, sf_dir)
+    tables = Tables(spark, work_path(spark, "restore-resumed"))
+    restore(tables, base, i.to_ms + QUIET_MS)
+    day = tables.partitions("edits")[-1]
+    held = tables.read("edits").where(F.col("dt") == F.lit(day).cast("date"))
+    left = held.where(F.hour("event_time") % 3 != 0).withColumn("nth", F.expr("row_number() OVER (PARTITION BY date_trunc('hour', event_time) ORDER BY event_id)"))
+    tables.replace("edits", [day], left.where("nth > 1").drop("nth", "token"), "restored")
+    restore(tables, base, i.to_ms + QUIET_MS)
+    return _restored_edits(tables)
+
+
+def _restored_folded(spark: SparkSession, sf_dir: str) -> Tables:
+    def build(path: str) -> None:
+        i, base, tables = Inputs(spark, sf_dir), _archived(spark, sf_dir), Tables(spark, path)
+        now_ms = i.to_ms + QUIET_MS
+        restore(tables, base, now_ms)
+        for name in ("edits", "edits_per_minute"):
+            for value in tables.partitions(name):
+                upkeep.compact(tables, name, value, now_ms)
+        day = tables.partitions("edits")[-1]
+        lost = tables.read("edits").where((F.col("dt") == F.lit(day).cast("date")) & (F.hour("event_time") % 2 == 0))
+        tables.replace("edits", [day], lost.drop("token"), "folded")
+        month = tables.partitions("edits_per_minute")[-1]
+        kept = tables.read("edits_per_minute").where((F.col("month") == int(month)) & (F.hour("minute") % 5 != 0))
+        tables.replace("edits_per_minute", [month], kept.drop("token"), "folded")
+        restore(tables, base, now_ms)
+
+    return Tables(spark, _once(spark, sf_dir, "restore-folded", build))
+
+
+@query
+def restore_after_compaction(spark, sf_dir):
+    """Raw rows after a restore was folded, lost half of a day's hours and came back."""
+    return _restored_edits(_restored_folded(spark, sf_dir))
+
+
+@query
+def restored_counts_after_compaction(spark, sf_dir):
+    """Counts of the same store, of which a fifth of the newest month's hours were lost as well."""
+    return _merged(_restored_folded(spark, sf_dir))
+
+
+# --- a batch that is replayed after a rewrite ------------------------------------------------------
+
+
+def _two_batches(spark: SparkSession, sf_dir: str, kind: str) -> tuple[Tables, Ingest, DataFrame]:
+    """Messages ingested as two batches, the second one not committed yet."""
+    messages = given.messages(spark, sf_dir)
+    cut = messages.agg(F.expr("max(position) div 2")).first()[0]
+    tables = Tables(spark, work_path(spark, kind))
+    ingest, second = Ingest(tables), messages.where(F.col("position") > cut)
+    ingest.write(messages.where(F.col("position") <= cut), "run", 0)
+    ingest.write(second, "run", 1)
+    return tables, ingest, second
+
+
+@query
+def repair_then_replay(spark, sf_dir):
+    """Counts after the last batch's were lost in part, its minutes were repaired, and the batch was replayed."""
+    tables, ingest, second = _two_batches(spark, sf_dir, "repair-replay")
+    month = tables.partitions("edits_per_minute")[-1]
+    kept = tables.read("edits_per_minute").where((F.col("month") == int(month)) & (F.minute("minute") % 2 == 0))
+    tables.replace("edits_per_minute", [month], kept.drop("token"), "damaged")
+    now_ms = tables.watermark_ms() + 3_600_000
+    reconcile.repair(tables, reconcile.find_mismatches(tables, now_ms), now_ms)
+    ingest.write(second, "run", 1)
+    return _merged(tables)
+
+
+@query
+def delete_then_replay(spark, sf_dir):
+    """Edits after an article's rows of the newest day were deleted and the batch that wrote them was replayed."""
+    tables, ingest, second = _two_batches(spark, sf_dir, "delete-replay")
+    now_ms = tables.watermark_ms() + 3_600_000
+    upkeep.delete_rows(tables, "edits", tables.partitions("edits")[-1], F.col("title").isin("Article 7", "Article 8"), now_ms)
+    ingest.write(second, "run", 1)
+    return tables.read("edits").select("event_id", times.ms("event_time").alias("event_ms"), "lang", "title", "sse_id")
+
+
+@query
+def seam_restart(spark, sf_dir):
+    """Edits after a second run, from a new checkpoint, was sent everything again."""
+    messages = given.messages(spark, sf_dir)
+    cut = messages.agg(F.expr("max(position) * 3 div 4")).first()[0]
+    tables = Tables(spark, work_path(spark, "seam-restart"))
+    Ingest(tables).write(messages.where(F.col("position") <= cut), "one", 0)
+    Ingest(tables).write(messages, "two", 0)
+    return tables.read("edits").select("event_id", times.ms("event_time").alias("event_ms"), "lang", "title", "namespace", "is_bot")
+
+
+# --- answers from the ledger of writes -------------------------------------------------------------
+
+WRITES = 5
+
+
+def _written_in_parts(spark: SparkSession, sf_dir: str) -> Tables:
+    """A store of several writes, one of its days folded."""
+    def build(path: str) -> None:
+        i, tables = Inputs(spark, sf_dir), Tables(spark, path)
+        edits = i.edits.withColumn("dt", F.to_date("event_time"))
+        last = edits.agg(F.max("ingest_seq")).first()[0]
+        for part in range(WRITES):
+            tables.write_once("edits", edits.where(F.expr(f"ingest_seq * {WRITES} div {last + 1}") == part), f"run-{part:09d}")
+        tables.write_once("edits_per_minute", rollups.with_month(i.rollup), "given")
+        upkeep.compact(tables, "edits", tables.partitions("edits")[0], i.now_ms)
+
+    return Tables(spark, _once(spark, sf_dir, "parts", build))
+
+
+@query
+def ledger_head(spark, sf_dir):
+    return ledger.head(_written_in_parts(spark, sf_dir).ledger())
+
+
+@query
+def ledger_span(spark, sf_dir):
+    return ledger.raw_span(_written_in_parts(spark, sf_dir).ledger())
+
+
+@query
+def ledger_bookmark(spark, sf_dir):
+    return ledger.latest_bookmark(_written_in_parts(spark, sf_dir).ledger())
+
+
+@query
+def ledger_max_seq(spark, sf_dir):
+    return ledger.max_ingest_seq(_written_in_parts(spark, sf_dir).ledger())
+
+
+@query
+def ledger_resume(spark, sf_dir):
+    """Where ingest picks up, without a look at raw rows."""
+    tables = _written_in_parts(spark, sf_dir)
+    return resume.resume_state(None, tables.read("edits_per_minute"), Inputs(spark, sf_dir).now_ms, ledger=tables.ledger())
+
+
+@query
+def ledger_stored_lag(spark, sf_dir):
+    """Lag of the rows stored in the last hour: only writes that hold some are opened."""
+    now_ms = Inputs(spark, sf_dir).now_ms
+    return lag.stored_lag(_written_in_parts(spark, sf_dir).stored_since(now_ms - 3_600_000), now_ms)

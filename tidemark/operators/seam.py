@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import batch_token
 
-# Above this many remembered ids the anti-join is left to the optimizer instead of broadcast.
-BROADCAST_IDS = 1_000_000
-
 
 def ingest_tail(edits: DataFrame, limit: int, floor_seq: int | None = None) -> DataFrame:
     """The last `limit` rows by ingest order. A floor only bounds the read (row-group statistics)."""
@@ -38,12 +35,9 @@ def first_arrivals(kept: DataFrame) -> DataFrame:
     return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def unseen(kept: DataFrame, tail_ids: DataFrame, max_ids: int) -> DataFrame:
-    """Rows whose id isn't among the remembered ones (at most `max_ids` of them)."""
-    ids = tail_ids.select("event_id")
-    if max_ids <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return kept.join(ids, "event_id", "left_anti")
+def unseen(kept: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose id isn't stored yet, however many are. Which side is broadcast, if any, is decided by its measured size."""
+    return kept.join(stored.select("event_id"), "event_id", "left_anti")
 
 
 def numbered(kept: DataFrame, first_seq: int, first_position: int) -> DataFrame:

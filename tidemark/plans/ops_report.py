@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, GAP_WINDOW_DAYS, LAG_WINDOW_S, RECONNECT_WINDOW_S, Settings
 from tidemark.functions import bookmark, status
 from tidemark.functions.times import at_ms, iso
+from tidemark.operators import ledger as batches
 from tidemark.operators.costs import cost_figure
 from tidemark.operators.gaps import gaps_with_total
 from tidemark.operators.hours import head
@@ -22,13 +23,17 @@ def _iso_ms(column: str):
     return iso(F.timestamp_millis(column))
 
 
-def ingest_section(edits: DataFrame, reconnects: DataFrame, now_ms: int, settings: Settings = DEFAULTS) -> DataFrame:
+def ingest_section(
+    edits: DataFrame, reconnects: DataFrame, now_ms: int, settings: Settings = DEFAULTS, ledger: DataFrame | None = None
+) -> DataFrame:
+    """With a ledger, `edits` need only be the rows stored in the last hour (`Tables.stored_since`)."""
     lag = stored_lag(edits, now_ms).select(
         F.struct(
             F.col("p50_ms").alias("p50"), F.col("p95_ms").alias("p95"), "events", F.lit(LAG_WINDOW_S).alias("window_s")
         ).alias("lag")
     )
-    position = latest_bookmark(edits).select(bookmark.shorten("sse_id").alias("bookmark"))
+    last = latest_bookmark(edits) if ledger is None else batches.latest_bookmark(ledger)
+    position = last.select(bookmark.shorten("sse_id").alias("bookmark"))
     # One entry per reason: a fixed vocabulary.
     reasons = reconnects_by_reason(reconnects, now_ms).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "reason", "n"))).alias("r")
@@ -40,7 +45,7 @@ def ingest_section(edits: DataFrame, reconnects: DataFrame, now_ms: int, setting
             F.map_from_entries(F.transform("r", lambda x: F.struct(x["reason"], x["n"]))).alias("by_reason"),
         ).alias("reconnects")
     )
-    return head(edits).select(
+    return (head(edits) if ledger is None else batches.head(ledger)).select(
         F.struct(
             status.ingest_state("newest_ms", "stored_ms", now_ms, settings.stale_after_s).alias("state"),
             _iso_ms("newest_ms").alias("newest_event_at"),
@@ -97,15 +102,16 @@ def ops_report(
     costs: DataFrame,
     now_ms: int,
     settings: Settings = DEFAULTS,
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
-    """One row, one struct a section. Sections are scalar subqueries and run side by side."""
+    """One row, one struct a section; `ledger` as in `ingest_section`. Sections are scalar subqueries and run side by side."""
     freshness = slo_report(samples, now_ms, settings.slo_target, settings.slo_threshold_s)
     money = cost_sections(costs, now_ms, settings).select(F.struct("*").alias("m")).scalar()
     return (
         edits.sparkSession.range(1)
         .select(
             iso(at_ms(now_ms)).alias("generated_at"),
-            ingest_section(edits, reconnects, now_ms, settings).scalar().alias("ingest"),
+            ingest_section(edits, reconnects, now_ms, settings, ledger).scalar().alias("ingest"),
             freshness.select(F.struct("*").alias("f")).scalar().alias("freshness"),
             gaps_section(gaps, now_ms).scalar().alias("gaps"),
             money.alias("m"),

@@ -68,6 +68,7 @@ def rebuild(
     else:
         require_unchanged(tables, mark)
     months = sorted({d.year * 100 + d.month for d in days})
+    tables.fence("edits_per_minute", months, f"rebuild-{now_ms}")
     held = tables.hold("edits_per_minute", months)
     live = tables.read_held(held)
     rebuilt = F.broadcast(archived.select(F.timestamp_seconds("hour_s").alias("h")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.times import yyyymm
-from tidemark.operators import hours, reconcile, rollups
+from tidemark.operators import ledger, reconcile, rollups
 from tidemark.plans import page_sets
 from tidemark.sources.tables import Tables
 
@@ -30,7 +30,7 @@ class Mark:
 
 
 def _mark(tables: Tables) -> Mark:
-    row = hours.ingest_mark(tables.read("edits")).first()
+    row = ledger.ingest_mark(tables.ledger()).first()
     return Mark(row["seq"], row["last_ms"], row["n"])
 
 
@@ -70,6 +70,7 @@ def repair(tables: Tables, mismatches: DataFrame, now_ms: int, settings: Setting
     mark = require_quiet(tables, now_ms, settings.quiet_s)
     days = [r["d"] for r in minutes.select(F.to_date(F.timestamp_seconds("minute_s")).alias("d")).distinct().collect()]
     edits = tables.read("edits").where(F.col("dt").isin(*days))
+    tables.fence("edits_per_minute", months, f"repair-{now_ms}")
     held = tables.hold("edits_per_minute", months)
     fixed = reconcile.repaired(edits, tables.read_held(held), minutes)
     tables.swap(held, rollups.with_month(fixed), f"repair-{now_ms}")

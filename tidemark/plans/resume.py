@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY_S, DEFAULTS, HOUR_S, MINUTE_S, RESTORE_MARGIN_S, Settings
+from tidemark.operators import ledger as batches
 from tidemark.operators.seam import latest_bookmark
 
 MINUTE_MS, HOUR_MS, DAY_MS = MINUTE_S * 1000, HOUR_S * 1000, DAY_S * 1000
@@ -15,9 +16,21 @@ def _floor(column: str, unit_ms: int):
     return F.expr(f"{column} div {unit_ms} * {unit_ms}")
 
 
-def stored_position(edits: DataFrame, edits_per_minute: DataFrame) -> DataFrame:
-    """One row: the stored rows' extent, the last row's stream id, the pre-aggregate's last minute."""
+def stored_position(edits: DataFrame | None, edits_per_minute: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """One row: the stored rows' extent, the last row's stream id, the pre-aggregate's last minute.
+
+    With a ledger no raw row is read.
+    """
     last_minute = edits_per_minute.agg(F.unix_millis(F.max("minute")).alias("m")).scalar()
+    if ledger is not None:
+        return batches.extent(ledger).select(
+            "newest_ms",
+            "oldest_ms",
+            F.col("stored_ms").alias("ingested_ms"),
+            F.coalesce("seq", F.lit(0)).alias("last_seq"),
+            last_minute.alias("rollup_ms"),
+            F.coalesce(batches.latest_bookmark(ledger).scalar(), F.lit("")).alias("sse_id"),
+        )
     return edits.agg(
         F.unix_millis(F.max("event_time")).alias("newest_ms"),
         F.unix_millis(F.min("event_time")).alias("oldest_ms"),
@@ -26,8 +39,10 @@ def stored_position(edits: DataFrame, edits_per_minute: DataFrame) -> DataFrame:
     ).withColumns({"rollup_ms": last_minute, "sse_id": F.coalesce(latest_bookmark(edits).scalar(), F.lit(""))})
 
 
-def resume_state(edits: DataFrame, edits_per_minute: DataFrame, now_ms: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row. `start` is one of
+def resume_state(
+    edits: DataFrame | None, edits_per_minute: DataFrame, now_ms: int, settings: Settings = DEFAULTS, ledger: DataFrame | None = None
+) -> DataFrame:
+    """One row, from the ledger if one is given. `start` is one of
 
     - first_boot: nothing stored; begin `first_boot_lookback_s` ago.
     - after_rollup: raw rows expired; begin after the pre-aggregate's last minute (a gap from it).
@@ -49,7 +64,7 @@ def resume_state(edits: DataFrame, edits_per_minute: DataFrame, now_ms: int, set
         .when(F.col("sse_id") == "", "after_restore")
         .otherwise("bookmark")
     )
-    rows = stored_position(edits, edits_per_minute).withColumn("start", start)
+    rows = stored_position(edits, edits_per_minute, ledger).withColumn("start", start)
 
     after_minute = F.col("rollup_ms") + MINUTE_MS
     hour_end = F.expr(f"(newest_ms + {HOUR_MS - 1}) div {HOUR_MS} * {HOUR_MS}")

@@ -58,6 +58,7 @@ def delete_rows(tables: Tables, name: str, value: str, doomed: Column, now_ms: i
     """Rewrite one partition without the rows `doomed` is true for, of those there are now."""
     tables.finish_replace(name)
     require_quiet(tables, now_ms, settings.quiet_s)
+    tables.fence(name, [value], f"deleted-{now_ms}")
     held = tables.hold(name, [value])
     kept = tables.read_held(held).where(~F.coalesce(doomed, F.lit(False)))
     tables.swap(held, kept.drop("token"), f"deleted-{now_ms}")

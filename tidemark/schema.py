@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
+    ArrayType,
     BooleanType,
     DateType,
     DoubleType,
@@ -21,6 +22,7 @@ _TYPES = {
     "INT": IntegerType(),
     "BIGINT": LongType(),
     "DOUBLE": DoubleType(),
+    "BIGINTS": ArrayType(LongType()),
 }
 
 
@@ -47,6 +49,13 @@ EDITS_PER_MINUTE = _ddl(
 PAGES_PER_MINUTE = _ddl(
     "minute TIMESTAMP, lang STRING, namespace INT, title STRING, dt DATE, token STRING"
 )
+# What each write of edits holds (operators/ledger.py); written with it, folded with it.
+EDIT_BATCHES = _ddl(
+    "rows BIGINT, first_time TIMESTAMP, last_time TIMESTAMP, first_stored TIMESTAMP, last_stored TIMESTAMP, "
+    "first_seq BIGINT, last_seq BIGINT, sse_id STRING, minutes BIGINTS, dt DATE, token STRING"
+)
+# Batches that a rewrite found and whose replay has to be checked against it.
+FENCES = _ddl("name STRING, part_value STRING, batch STRING, token STRING")
 OUTCOMES = _ddl("outcome STRING, n BIGINT, token STRING")
 
 ARCHIVE = _ddl(f"{EDIT_COLUMNS}, dt DATE, hour STRING")
@@ -72,6 +81,8 @@ TABLES = {
     "edits": (EDITS, ("dt", "token")),
     "edits_per_minute": (EDITS_PER_MINUTE, ("month", "token")),
     "pages_per_minute": (PAGES_PER_MINUTE, ("dt", "token")),
+    "edit_batches": (EDIT_BATCHES, ("dt", "token")),
+    "fences": (FENCES, ("token",)),
     "outcomes": (OUTCOMES, ("token",)),
     "archive_hours": (ARCHIVE_HOURS, ("token",)),
     "pages_filled": (PAGES_FILLED, ("token",)),

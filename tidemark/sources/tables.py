@@ -12,10 +12,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import ms
+from tidemark.operators import ledger
 from tidemark.schema import TABLES
 
 # Smaller row groups than Parquet's default: files are sorted by (language, time), so a window of
@@ -97,12 +97,18 @@ class Tables:
         return self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*found)
 
     def write_once(self, name: str, rows: DataFrame, token: str) -> None:
-        """Write rows under `token`; the same token again replaces the same rows.
+        """Write rows under `token`; the same token again replaces the same rows. Edits get their summary right after."""
+        self.put(name, rows, token)
+        if name == "edits":
+            self.summarize(self.read_token("edits", token), token)
+
+    def put(self, name: str, rows: DataFrame, token: str | Column) -> None:
+        """Write rows under `token` (a column gives rows tokens of their own), without a summary.
 
         Rows are rebalanced by partition, which also splits an oversized one across tasks.
         """
         schema, partitions = TABLES[name]
-        rows = rows.withColumn("token", F.lit(token)).select(*schema.fieldNames())
+        rows = rows.withColumn("token", F.lit(token) if isinstance(token, str) else token).select(*schema.fieldNames())
         if len(partitions) > 1:
             rows = rows.hint("rebalance", partitions[0])
         if name in _SORT:
@@ -116,27 +122,83 @@ class Tables:
             .parquet(self.path(name))
         )
 
+    def summarize(self, edits: DataFrame, token: str) -> None:
+        """Write the ledger rows of one token's edits."""
+        self.write_once("edit_batches", ledger.summaries(edits), token)
+
+    def ledger(self, days: Sequence[str] | None = None) -> DataFrame:
+        """Summaries of the stored edits, of some days if given: only their folders are listed."""
+        if days is None:
+            return self.read("edit_batches")
+        schema, _ = TABLES["edit_batches"]
+        folders = [f for f in (f"{self.path('edit_batches')}/dt={day}" for day in days) if self.files.exists(f)]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path("edit_batches")).parquet(*folders)
+
+    def complete_ledger(self) -> int:
+        """Summarize writes of edits that have no summary (cut off between the two, or older than the ledger)."""
+        days = self.partitions("edits")
+        known = set(self.hold("edit_batches", days).tokens)
+        lacking = [t for t in self.hold("edits", days).tokens if t not in known]
+        if lacking:
+            rows = ledger.summaries(self.read_held(Held("edits", tuple(lacking))))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "token").parquet(self.path("edit_batches"))
+        return len(lacking)
+
+    def read_listed(self, name: str, writes: DataFrame) -> DataFrame:
+        """The rows of the writes in a (dt, token) list, opening only their folders."""
+        listed = writes.select(F.col("dt").cast("string"), "token").distinct().collect()
+        return self.read_held(Held(name, tuple((r["dt"], r["token"]) for r in listed)))
+
+    def stored_since(self, since_ms: int) -> DataFrame:
+        """Edits of the writes that may hold rows stored after a time."""
+        return self.read_listed("edits", ledger.stored_since(self.ledger(), since_ms))
+
+    def batches(self) -> list[str]:
+        """The newest batch of every stream: it may be replayed, as its commit can't be seen here."""
+        newest: dict[str, str] = {}
+        for _, token in self.hold("edits", self.partitions("edits")).tokens:
+            if batch := _BATCH.fullmatch(token):
+                newest[batch[1]] = max(token, newest.get(batch[1], ""))
+        return sorted(newest.values())
+
+    def fence(self, name: str, values: Sequence[str], token: str) -> None:
+        """Note, before a rewrite of these partitions, the batches whose replay it would undo or double."""
+        batches = self.batches()
+        if batches:
+            noted = [(name, str(value), batch) for value in values for batch in batches]
+            self.write_once("fences", self.spark.createDataFrame(noted, "name STRING, part_value STRING, batch STRING"), f"{name}-{token}")
+
+    def fenced(self, batch: str) -> dict[str, set[str]]:
+        """The partitions of each table that were rewritten since a batch was first written."""
+        if not self.files.exists(self.path("fences")):
+            return {}
+        found: dict[str, set[str]] = {}
+        for row in self.read("fences").where(F.col("batch") == batch).select("name", "part_value").distinct().collect():
+            found.setdefault(row["name"], set()).add(row["part_value"])
+        return found
+
     def partitions(self, name: str) -> list[str]:
         """Values of the first partition column (days or months: bounded by retention)."""
         _, partitions = TABLES[name]
         return self.files.children(self.path(name), partitions[0])
 
-    def _edge_ms(self, days: list[str], aggregate) -> int | None:
-        """An aggregate event time of the first of `days` that has rows."""
+    def _edge_ms(self, days: list[str], column: str) -> int | None:
+        """A column of the extent of the first of `days` that has rows."""
         for day in days:
-            rows = self.read("edits").where(F.col("dt") == F.lit(day).cast("date"))
-            found = rows.agg(ms(aggregate("event_time")).alias("edge")).first()["edge"]
+            found = ledger.extent(self.ledger([day])).first()[column]
             if found is not None:
                 return found
         return None
 
     def watermark_ms(self) -> int | None:
-        """Newest event time, from the newest day that has rows: older days aren't opened."""
-        return self._edge_ms(self.partitions("edits")[::-1], F.max)
+        """Newest event time, from the newest day's summaries: neither raw rows nor older days are opened."""
+        return self._edge_ms(self.partitions("edit_batches")[::-1], "newest_ms")
 
     def oldest_ms(self) -> int | None:
-        """Oldest event time, from the oldest day that has rows."""
-        return self._edge_ms(self.partitions("edits"), F.min)
+        """Oldest event time, from the oldest day's summaries."""
+        return self._edge_ms(self.partitions("edit_batches"), "oldest_ms")
 
     def hold(self, name: str, values: Sequence[str] | None = None, settled: bool = False) -> Held:
         """The token partitions there are now, of the partitions `values` (all of a log's if none).
@@ -209,9 +271,14 @@ class Tables:
         self.write_once(name, self.spark.read.schema(schema).parquet(stage), token)
         for row in note:
             if row["old_token"] is not None:
-                self.files.remove(self._folder(name, row["part_value"], row["old_token"]))
+                self._remove(name, row["part_value"], row["old_token"])
         self.files.remove(stage)
 
+    def _remove(self, name: str, value: str | None, token: str) -> None:
+        self.files.remove(self._folder(name, value, token))
+        if name == "edits":
+            self.files.remove(self._folder("edit_batches", value, token))
+
     def keep(self, name: str, rows: DataFrame) -> DataFrame:
         """Write an intermediate result beside the tables and read it back, cutting its lineage."""
         path = f"{self.root}/_work/{name}"
@@ -221,3 +288,5 @@ class Tables:
     def drop_partition(self, name: str, value: str) -> None:
         _, partitions = TABLES[name]
         self.files.remove(f"{self.path(name)}/{partitions[0]}={value}")
+        if name == "edits":
+            self.files.remove(f"{self.path('edit_batches')}/{partitions[0]}={value}")
