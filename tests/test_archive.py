@@ -10,7 +10,7 @@ from tidemark.config import HOUR_S, Settings
 from tidemark.operators.hours import restored_rows
 from tidemark.operators.rollups import pages_per_hour
 from tidemark.plans import page_sets, resume
-from tidemark.plans.archive import Archiver, FewerRows, NothingToArchive, archive_status
+from tidemark.plans.archive import Archiver, Refused, archive_status, behind, hour_states
 from tidemark.plans.rebuild import ArchiveIncomplete, rebuild
 from tidemark.plans.restore import HoursDone, first_raw_day, hour_differences, restore, restore_plan
 from tidemark.sources.archive import edits_by_day_and_lang, existing_hours, read_archive
@@ -42,7 +42,7 @@ def archiver(tables, tmp_path):
 
 
 def counts(archiver):
-    got = read_archive(archiver.spark, archiver.base).groupBy("dt", "hour").count().collect()
+    got = read_archive(archiver.tables.spark, archiver.base).groupBy("dt", "hour").count().collect()
     return {(str(r["dt"]), r["hour"]): r["count"] for r in got}
 
 
@@ -51,82 +51,120 @@ def pages(tables, hours_):
     return {(r["hour_s"], r["lang"]): r["pages"] for r in got}
 
 
-def outcome(run):
-    return [(r.hour_s, r.result, r.rows) for r in run.results if r.hour_s in (H0, H1, H2)]
+def outcomes(run):
+    return {r.hour_s: (r.result, r.rows) for r in run if r.hour_s in (H0, H1, H2)}
 
 
-def test_archive_life(archiver, tables):
-    first = archiver.run_once(ms(NOW))
-    assert outcome(first) == [(H0, "written", 50), (H1, "written", 40), (H2, "written", 30)]
-    assert first.behind == []
+def decisions(tables, base, now_ms=ms(NOW), **settings):
+    found = hour_states(tables, base, now_ms, Settings(**settings)).where(F.col("hour_s").isin(H0, H1, H2)).collect()
+    return {r["hour_s"]: r["decision"] for r in found}
+
+
+def damage(folder):
+    for part in folder.glob("*.parquet"):
+        crc = folder / f".{part.name}.crc"
+        if crc.exists():
+            crc.write_bytes(b"")
+            crc.unlink()
+        part.write_bytes(b"not parquet")
+
+
+def test_hours_are_written_once_and_again_when_rows_come_late(archiver, tables):
+    assert decisions(tables, archiver.base) == {H0: "write", H1: "write", H2: "write"}
+    run = archiver.run_once(ms(NOW))
+    assert outcomes(run) == {H0: ("written", 50), H1: ("written", 40), H2: ("written", 30)} and behind(run) == []
     assert counts(archiver)[("2026-10-06", "03")] == 50
-    assert archiver.run_once(ms(NOW)).results == []
+    assert decisions(tables, archiver.base) == {H0: "none", H1: "none", H2: "none"} and archiver.run_once(ms(NOW)) == []
 
-    # ordered, nine columns, ids and times unchanged
-    stored = read_archive(archiver.spark, archiver.base).where("hour = '03'").drop("dt", "hour")
-    assert len(stored.columns) == 9
-    assert [r["event_time"] for r in stored.collect()] == sorted(r["event_time"] for r in stored.collect())
+    rows_ = read_archive(tables.spark, archiver.base).where("hour = '03'").drop("dt", "hour")
+    times_ = [r["event_time"] for r in rows_.collect()]
+    assert len(rows_.columns) == 9 and times_ == sorted(times_)
 
-    # a late event in the hour's last half second rewrites that hour only
     store(tables, [edit(second(H0, 3599.455), title="Late", seq=500)], "late")
-    again = archiver.run_once(ms(NOW) + 1)
-    assert outcome(again) == [(H0, "written", 51)]
-    assert counts(archiver)[("2026-10-06", "03")] == 51
-    assert archiver.run_once(ms(NOW) + 2).results == []
-
+    assert decisions(tables, archiver.base) == {H0: "write", H1: "none", H2: "none"}
+    assert outcomes(archiver.run_once(ms(NOW) + 1)) == {H0: ("written", 51)}
     status = {r["hour_s"]: (r["rows"], r["in_file"], r["due"]) for r in archive_status(tables, archiver.base, ms(NOW)).collect()}
     assert status[H0] == (51, 51, False)
-
-    table = edits_by_day_and_lang(read_archive(archiver.spark, archiver.base), date(2026, 10, 6)).collect()
+    table = edits_by_day_and_lang(read_archive(tables.spark, archiver.base), date(2026, 10, 6)).collect()
     assert [(str(r["dt"]), r["lang"], r["edits"]) for r in table] == [("2026-10-06", "en", 121)]
 
 
-def test_a_file_is_never_replaced_by_fewer_rows(archiver, tables, spark, tmp_path):
+def test_fuller_files_are_recorded_and_never_overwritten_unless_forced(archiver, tables, spark, tmp_path):
     archiver.run_once(ms(NOW))
     thin = Tables(spark, str(tmp_path / "thin"))
     store(thin, [r for r in archive_day() if not second(H0) <= r["event_time"] < second(H0, 30)], "day")
     other = Archiver(thin, archiver.base)
-    assert outcome(other.run_once(ms(NOW))) == []
-    assert other.plan(ms(NOW)).archived[H0] == 50  # adopted: read once and recorded
+    assert decisions(thin, archiver.base) == {H0: "record", H1: "record", H2: "record"}
+    assert outcomes(other.run_once(ms(NOW))) == {H0: ("recorded", 50), H1: ("recorded", 40), H2: ("recorded", 30)}
+    assert counts(archiver)[("2026-10-06", "03")] == 50
     assert page_sets.unfilled_hours(thin, archiver.base, ms(NOW)).count() == 0
     assert pages(thin, [H0]) == pages(tables, [H0])  # completed from the fuller file
 
-    with pytest.raises(FewerRows):
-        other.archive_hour(H0, ms(NOW), floor=60)
-    with pytest.raises(FewerRows):  # its own record is older than what the file holds
-        other.archive_hour(H0, ms(NOW), floor=10)
-    assert counts(archiver)[("2026-10-06", "03")] == 50
-    with pytest.raises(NothingToArchive):
-        other.archive_hour(H0 - HOUR_S, ms(NOW), manual=True)
-    rewritten = other.archive_hour(H0, ms(NOW), manual=True)
-    assert (rewritten.result, rewritten.rows) == ("written", 30)
+    # a record older than the file: raw has more than the record says, but not more than the file
+    thin.files.remove(thin.path("archive_hours"))
+    from tidemark.plans.logs import record_archived
+    from tidemark.operators.hours import hours_frame
+
+    record_archived(thin, hours_frame(spark, [H0]).withColumn("rows", F.lit(10).cast("bigint")), ms(NOW), "old")
+    assert decisions(thin, archiver.base)[H0] == "record"
 
+    with pytest.raises(Refused):
+        other.force(H0 - HOUR_S, ms(NOW))
+    forced = other.force(H0, ms(NOW))
+    assert (forced.result, forced.rows) == ("written", 30) and counts(archiver)[("2026-10-06", "03")] == 30
+    assert outcomes(archiver.run_once(ms(NOW) + 1)) == {}  # its own record still covers raw: a lost file is not looked for
 
-def test_planning_rules(tables, tmp_path):
+
+def test_which_hours_are_looked_at(tables, tmp_path):
     base = str(tmp_path / "archive")
     start = second(H0)
     store(tables, [edit(start + timedelta(seconds=0.5), seq=1), edit(second(H1, 60), seq=2), edit(second(H2, 400), seq=3)], "a")
-    # rows begin half a second into H0; H2 is inside the settle window
-    assert Archiver(tables, base).plan(ms(NOW)).due == [H1]
-    # the look-back cuts part way into H1
-    assert Archiver(tables, base, Settings(lookback_s=3600)).plan(ms(second(H2, 1800))).due == []
-    assert Archiver(Tables(tables.spark, base + "-none"), base).plan(ms(NOW)).due == []
+    assert decisions(tables, base) == {H1: "write"}  # rows begin half a second into H0; ingest may still add to H2
+    assert decisions(tables, base, ms(second(H2, 1800)), lookback_s=3600) == {}  # the look-back cuts part way into H1
+    assert decisions(Tables(tables.spark, base + "-none"), base) == {}
 
 
-def test_an_unreadable_file_is_reported_not_overwritten(archiver, tables, spark, tmp_path):
+def test_an_unreadable_file_holds_up_no_other_hour(archiver, tables, spark, tmp_path):
     archiver.run_once(ms(NOW))
     fresh = Tables(spark, str(tmp_path / "fresh"))
     store(fresh, archive_day(), "day")
-    folder = tmp_path / "archive" / "dt=2026-10-06" / "hour=04"
-    for part in folder.glob("*.parquet"):
-        crc = folder / f".{part.name}.crc"
-        if crc.exists():
-            crc.write_bytes(b"")
-            crc.unlink()
-        part.write_bytes(b"not parquet")
-    plan = Archiver(fresh, archiver.base).plan(ms(NOW))
-    assert plan.unreadable == [H1]
-    assert H1 not in plan.due and plan.archived[H0] == 50
+    damage(tmp_path / "archive" / "dt=2026-10-06" / "hour=04")
+    from tidemark.sources.archive import file_states
+
+    assert {r["hour_s"]: (r["in_file"], r["readable"]) for r in file_states(spark, archiver.base, [H0, H1, H2]).collect()} == {H0: (50, True), H1: (0, False), H2: (30, True)}
+    run = Archiver(fresh, archiver.base).run_once(ms(NOW))
+    assert outcomes(run) == {H0: ("recorded", 50), H1: ("unreadable", 0), H2: ("recorded", 30)} and behind(run) == [H1]
+    assert Archiver(fresh, archiver.base).force(H1, ms(NOW)).rows == 40
+
+
+def test_pages_are_completed_from_the_fuller_side(archiver, tables):
+    archiver.run_once(ms(NOW))
+    want = pages(tables, [H0, H1, H2])
+    for name in ("pages_filled", "pages_per_minute"):
+        tables.files.remove(tables.path(name))
+    assert decisions(tables, archiver.base) == {H0: "fill", H1: "fill", H2: "fill"}
+    held = tables.read("edits").where(F.unix_seconds("event_time") % 2 == 0).drop("token")
+    tables.replace("edits", tables.partitions("edits"), held, "thinned")
+    run = archiver.run_once(ms(NOW))
+    assert outcomes(run) == {H0: ("filled", 50), H1: ("filled", 40), H2: ("filled", 30)}
+    assert pages(tables, [H0, H1, H2]) == want
+
+
+def test_a_failing_hour_is_found_by_halving(archiver, monkeypatch):
+    from tidemark.plans import archive
+
+    real = archive.write_hours
+
+    def fails(rows_, base):
+        if not rows_.where((F.unix_seconds("event_time") >= H1) & (F.unix_seconds("event_time") < H2)).isEmpty():
+            raise RuntimeError("executor lost")
+        return real(rows_, base)
+
+    monkeypatch.setattr(archive, "write_hours", fails)
+    run = archiver.run_once(ms(NOW))
+    assert outcomes(run) == {H0: ("written", 50), H1: ("error", 0), H2: ("written", 30)} and behind(run) == [H1]
+    monkeypatch.setattr(archive, "write_hours", real)
+    assert outcomes(archiver.run_once(ms(NOW) + 1)) == {H1: ("written", 40)}
 
 
 def test_rebuild_from_the_archive(archiver, tables, spark, tmp_path):
@@ -163,7 +201,7 @@ def lost(tables, spark, tmp_path):
     old = second(H0, 10) - timedelta(days=3)
     store(tables, archive_day() + [edit(old - timedelta(hours=2), seq=5000)] + rows(20, old, first_seq=6000), "day")
     archiver = Archiver(tables, str(tmp_path / "archive"))
-    hours = sorted(r.hour_s for r in archiver.run_once(ms(NOW)).results)
+    hours = sorted(r.hour_s for r in archiver.run_once(ms(NOW)))
     return archiver.base, hours, Tables(spark, str(tmp_path / "empty")), tables
 
 

@@ -142,7 +142,7 @@ def archive_run(spark, sf_dir):
     path = work_path(spark, "archive-run")
     tables = _fill(Tables(spark, f"{path}/tables"), i)
     run = Archiver(tables, f"{path}/archive").run_once(i.to_ms + QUIET_MS)
-    rows = spark.createDataFrame([(r.hour_s, r.result) for r in run.results], "hour_s BIGINT, result STRING")
+    rows = spark.createDataFrame([(r.hour_s, r.result) for r in run], "hour_s BIGINT, result STRING")
     recorded = hours.recorded_counts(tables.read("archive_hours"))
     filled = hours.filled_hours(tables.read("pages_filled")).withColumn("filled", F.lit(True))
     return rows.join(recorded, "hour_s", "left").join(filled, "hour_s", "left")

@@ -48,11 +48,16 @@ def read_archive(
 
 def existing_hours(spark: SparkSession, base: str, days: Sequence[date] | None = None) -> DataFrame:
     """Hours that have a file, from listing alone (of some days only): no content is read."""
+    return listed_files(spark, base, days).select("hour_s").distinct()
+
+
+def listed_files(spark: SparkSession, base: str, days: Sequence[date] | None = None) -> DataFrame:
+    """(hour_s, path) of every file, from listing alone."""
     files = Files(spark)
     paths = [base] if days is None else [f"{base}/dt={day}" for day in days]
     paths = [p for p in paths if files.exists(p)]
     if not paths:
-        return spark.createDataFrame([], "hour_s BIGINT")
+        return spark.createDataFrame([], "hour_s BIGINT, path STRING")
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
@@ -60,7 +65,33 @@ def existing_hours(spark: SparkSession, base: str, days: Sequence[date] | None =
         .load(paths)
         .select("path")
     )
-    return listed.select(seconds(hour_of_path("path")).alias("hour_s")).where("hour_s IS NOT NULL").distinct()
+    return listed.select(seconds(hour_of_path("path")).alias("hour_s"), "path").where("hour_s IS NOT NULL")
+
+
+def file_states(spark: SparkSession, base: str, hours: Sequence[int]) -> DataFrame:
+    """(hour_s, in_file, readable) of the listed hours that have files.
+
+    A file is readable if it gives rows, all from inside its hour. Corrupt ones are passed over by the read and missed
+    in the join with the listing, so one bad file fails no job.
+    """
+    if not hours:
+        return spark.createDataFrame([], "hour_s BIGINT, in_file BIGINT, readable BOOLEAN")
+    days = sorted({datetime.fromtimestamp(h, timezone.utc).date() for h in hours})
+    listed = listed_files(spark, base, days).where(F.col("hour_s").isin(list(hours))).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    folders = [r["p"] for r in listed.select(F.expr("substring_index(path, '/', -3)").alias("p")).distinct().collect()]
+    folders = sorted({f"{base}/{p.rsplit('/', 1)[0]}" for p in folders})
+    if not folders:
+        return spark.createDataFrame([], "hour_s BIGINT, in_file BIGINT, readable BOOLEAN")
+    schema = StructType([ARCHIVE["event_time"], ARCHIVE["dt"], ARCHIVE["hour"]])
+    rows = spark.read.schema(schema).option("basePath", base).option("ignoreCorruptFiles", "true").parquet(*folders)
+    start = F.unix_seconds(F.to_timestamp(F.concat_ws(" ", F.col("dt").cast("string"), "hour"), "yyyy-MM-dd HH"))
+    given = rows.select(start.alias("hour_s"), F.col("_metadata.file_name").alias("file"), seconds("event_time").alias("s")).groupBy("hour_s", "file").agg(
+        F.count(F.lit(1)).alias("n"), ((F.min("s") >= F.col("hour_s")) & (F.max("s") < F.col("hour_s") + 3_600)).alias("inside")
+    )
+    beside = listed.select("hour_s", "file").join(given, ["hour_s", "file"], "left")
+    return beside.groupBy("hour_s").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("in_file"), F.bool_and(F.coalesce("inside", F.lit(False))).alias("readable")
+    )
 
 
 def days_of(from_s: int, to_s: int) -> list[date]:
