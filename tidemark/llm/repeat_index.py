@@ -301,20 +301,33 @@ def _index(segments: DataFrame, size: int, least: int) -> DataFrame:
 
 
 def _refined(segments: DataFrame, gram: int, least: int) -> DataFrame:
-    """The segments dealt anew by a longer anchor: (key, digest, first, size, again, segment, n, of_key, of_digest)."""
+    """The segments dealt anew by a longer anchor: (key, digest, firsts, again, segment, n, of_key, of_digest).
+
+    Equal ones of one segment (a text that repeats a line has as many as it has lines) are one row with all their places.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(3).cast(pa.large_binary())
             for k, parts in _segmented(texts, gram, least):
                 data = texts[k].as_py()
-                pieces = [data[f : f + n + least - 1] for f, n in zip(parts[2].tolist(), parts[3].tolist())]
-                same = [pa.array([batch.column(c)[k].as_py()] * len(pieces), pa.int64()) for c in (2, 0, 1)]
-                columns = [*(pa.array(p, kind) for p, kind in zip(parts, _PART)), pa.array(pieces, pa.binary()), *same]
-                yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "segment", "n", "of_key", "of_digest"])
+                places: dict[tuple[int, int], list[int]] = {}
+                about = {}
+                for key, code, f, n, again in zip(*(p.tolist() for p in parts)):
+                    places.setdefault((key, code), []).append(f)
+                    about.setdefault((key, code), (again, data[f : f + n + least - 1]))
+                columns = [
+                    pa.array([p[0] for p in places], pa.int64()),
+                    pa.array([p[1] for p in places], pa.int64()),
+                    pa.array(places.values(), pa.list_(pa.int32())),
+                    pa.array([a for a, _ in about.values()], pa.bool_()),
+                    pa.array([s for _, s in about.values()], pa.binary()),
+                    *(pa.array([batch.column(c)[k].as_py()] * len(places), pa.int64()) for c in (2, 0, 1)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "digest", "firsts", "again", "segment", "n", "of_key", "of_digest"])
 
     rows = segments.select("key", "digest", "n", "segment")
-    return rows.mapInArrow(dealt, f"{PARTS}, segment binary, n long, of_key long, of_digest long")
+    return rows.mapInArrow(dealt, "key long, digest long, firsts array<int>, again boolean, segment binary, n long, of_key long, of_digest long")
 
 
 def long_matches(segments: DataFrame, least: int, level: int = 0) -> DataFrame:
@@ -327,11 +340,11 @@ def long_matches(segments: DataFrame, least: int, level: int = 0) -> DataFrame:
         return _index(segments, segments.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0], least)
     found = _index(segments.join(hot, "key", "left_anti"), total["cold"], least)
     parts = written(_refined(segments.join(hot, "key", "left_semi"), grams[level + 1], least), "repeat-parts")
-    finer = parts.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("again").alias("again"), F.first("segment").alias("segment"))
+    finer = parts.groupBy("key", "digest").agg(F.sum(F.col("n") * F.size("firsts")).alias("n"), F.max("again").alias("again"), F.first("segment").alias("segment"))
     below = long_matches(written(_open(written(finer, "repeat-finer"), "repeat-keys"), "repeat-segments"), least, level + 1)
-    places = parts.select("key", "digest", "first", "of_key", "of_digest")
+    places = parts.select("key", "digest", "firsts", "of_key", "of_digest")
     lifted = places.join(written(below, "repeat-below"), ["key", "digest"]).select(
-        F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), F.expr("transform(spans, s -> named_struct('start', s.start + first, 'stop', s.stop + first)) AS spans")
+        F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), F.expr("flatten(transform(firsts, f -> transform(spans, s -> named_struct('start', s.start + f, 'stop', s.stop + f)))) AS spans")
     )
     return found.union(lifted)
 
