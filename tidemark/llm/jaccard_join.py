@@ -3,18 +3,18 @@
 Two documents link when 100 * |A & B| >= 75 * |A | B| over their distinct shingles of five words. Equal sets are
 one node. Tiles are (prefix shingle, size band): in one order of all shingles, linked sets share one of their first
 |A| - ceil(0.75 |A|) + 1, and their sizes differ by a third at most, so they meet in the tile of a shared prefix
-shingle and of the larger one's band or the one below. Any order gives whole results; shingles that repeat within a
-partition are put last, so that a passage shared by many documents seldom opens a tile.
+shingle and of the larger one's band or the one below. Any order gives whole results; shingles are ordered by how often they
+occur (counted in a sketch of fixed size), so that a passage shared by many documents opens no tile.
 
 Inside tiles pairs are tested in two steps, so that a group of g near copies costs g tests and not g squared:
 
-1. stars: each set against the leaders, in the tiles of its first few prefix shingles, that it shares most of these with;
+1. stars: each set against the leaders, in the tiles of the last few shingles of its prefix, that it shares most of these with;
 2. the rest: all pairs of a tile, of whole prefixes, that the links found so far do not connect already, and whose places in
    both prefixes leave room for the intersection (they do at the first shingle that a linked pair shares).
 
 A pair is first bounded by bitmaps (every bit that A has and B lacks is a shingle that B lacks), then its sorted
 shingle arrays are intersected exactly. Connected components are found by label propagation on written tables.
-Nothing of the documents is gathered on the driver; it only holds the shared shingles' order (`common` numbers).
+Nothing of the documents is gathered on the driver; it only holds the sketch, a byte for each of 2^24 buckets.
 """
 
 from __future__ import annotations
@@ -25,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import whole, without, written
 
 SIZE = 5
 BITS = 2_048
-COMMON = 300_000  # shared shingles, at most, that are put last in the order, the most repeated ones at the end
-FIRST = 8  # places of a prefix that look for leaders
-ROUNDS = 3
-LEADERS = 3
+SKETCH_BITS = 24  # buckets that shingles are counted in, for the order of the prefixes: 16 MB
+CHUNK = 4_096
+LAST = 8  # places of a prefix that look for leaders
+ROUNDS = 4
+LEADS = 4  # leaders of a tile in a round
+LEADERS = 8  # that a set is tested against in a round
 FLUSH = 4_000_000
 BLOCK = 1 << 18  # bytes of text that are coded at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,39 +169,66 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield part, shingle_sets(part.column(column))
 
 
-def common_shingles(texts: DataFrame, most: int = COMMON) -> np.ndarray:
-    """The shingles that repeat within partitions, most repeated last: those above the lowest power of two that leaves `most` at most.
+def frequency_classes(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How often shingles occur, by their leading `bits`: a class of about a sixteenth of a power of two for each bucket.
 
-    They only order the prefixes. The result of the join doesn't depend on them, its cost does. The driver gets a table of at
-    most 64 rows, and then at most `most` shingles.
+    They only order the prefixes. The result of the join doesn't depend on them, its cost does. A task counts each of its distinct sets
+    once and sends what its buckets hold, by chunk; chunks are added up as they come in, and the driver gets one byte a bucket,
+    16 MB whatever the data's size.
     """
+    chunk = min(CHUNK, 1 << bits)
+    chunks = (1 << bits) // chunk
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes[counts > 1]), pa.array(counts[counts > 1].astype(np.int64))], names=["shingle", "n"])
-
-        for _, part in _batches(batches, 0):
-            held += part
-            size += sum(map(len, part))
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    found = texts.select("text").mapInArrow(repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = written(found.withColumn("power", F.floor(F.log2("n")).cast("int")), "jaccard-repeats")
-    left, lowest = most, 64
-    for row in sorted(found.groupBy("power").count().collect(), reverse=True):
-        left -= row["count"]
-        if left < 0:
-            break
-        lowest = row["power"]
-    rows = found.where(F.col("power") >= lowest).select("n", "shingle").toPandas()
-    return rows["shingle"].to_numpy(np.int64)[np.lexsort((rows["shingle"], rows["n"]))]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, np.uint8)
+        seen: set[int] = set()
+        for _, sets in _batches(batches, 0):
+            new = []
+            for s in sets:
+                node = node_of(s)
+                if len(s) and node not in seen:
+                    new.append(s)
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+            if new:
+                at, n = np.unique(_buckets(np.concatenate(new), bits), return_counts=True)
+                held[at] = np.minimum(held[at] + n, 255)
+        for first in range(0, chunks, 256):
+            packed = [_packed(held[k * chunk : (k + 1) * chunk]) for k in range(first, min(first + 256, chunks))]
+            rows = [k for k, p in enumerate(packed) if p]
+            yield pa.RecordBatch.from_arrays([pa.array([first + k for k in rows], pa.int32()), pa.array([packed[k] for k in rows], pa.binary())], names=["chunk", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _unpack(counts, sums.setdefault(k, np.zeros(chunk, np.int64)))
+        classes = [np.minimum(16 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(classes, pa.binary())], names=["chunk", "classes"])
+
+    held = texts.select("text").mapInArrow(counted, "chunk int, counts binary").repartition("chunk").mapInArrow(added, "chunk int, classes binary")
+    classes = np.zeros((chunks, chunk), np.uint8)
+    for row in held.toLocalIterator():
+        classes[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
+    return classes.ravel()
+
+
+def _buckets(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a chunk: those above 0 with their places, or all of them, whichever is shorter."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 3 * len(at) >= len(counts) else at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
+def _unpack(packed: bytes, sums: np.ndarray) -> None:
+    if len(packed) == len(sums):
+        sums += np.frombuffer(packed, np.uint8)
+    else:
+        n = len(packed) // 3
+        sums[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint8, n, 2 * n)
 
 
 def nodes(texts: DataFrame, id_type: str) -> DataFrame:
@@ -214,13 +243,13 @@ def nodes(texts: DataFrame, id_type: str) -> DataFrame:
     return texts.mapInArrow(made, f"id {id_type}, n long, node long, bits array<long>")
 
 
-def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shingle, node, n, place): the prefix of every set, in the order uncommon by code, then common by count."""
-    by_code = np.argsort(common)
-    shared = texts.sparkSession.sparkContext.broadcast((common[by_code], by_code))
+def prefix_postings(texts: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(shingle, node, n, place): the prefix of every set, rare classes first, by code in a class."""
+    bits = len(classes).bit_length() - 1
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, places = shared.value
+        of = shared.value
         seen: set[int] = set()
         for _, sets in _batches(batches, 0):
             keys, owners, sizes, places_in = [], [], [], []
@@ -230,10 +259,7 @@ def prefix_postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                if len(codes):
-                    at = np.minimum(np.searchsorted(codes, s), len(codes) - 1)
-                    rank = np.where(codes[at] == s, places[at] + 1, 0)
-                    s = s[np.argsort(rank, kind="stable")]
+                s = s[np.argsort(of[_buckets(s, bits)], kind="stable")]
                 first = s[: prefix_length(len(s))]
                 keys.append(first)
                 owners.append(np.full(len(first), node, np.int64))
@@ -312,7 +338,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: int = COMMON) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing; fewer than five words are one
@@ -324,7 +350,7 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     texts = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text"))
     rows = written(nodes(texts, kind), "jaccard-nodes")
     some = rows.where("n > 0")
-    postings = prefix_postings(texts, common_shingles(texts, common))
+    postings = prefix_postings(texts, frequency_classes(texts, sketch_bits))
     tile = Window.partitionBy("shingle")
     met = postings.select("*", F.min("node").over(tile).alias("least"), F.max("node").over(tile).alias("most")).where("least <> most")
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
@@ -333,24 +359,29 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     sets = written(some.join(involved, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-sets")
     bodies = written(_bodies(texts, sets), "jaccard-texts")
     edges = tested = None
-    firsts = written(tiles.where(F.col("place") < FIRST).select("shingle", "band", "node"), "jaccard-firsts")
-    labelled, labels = firsts.withColumn("label", F.col("node")), None
+    # a copy's own changes come first in its order, what it shares with its group comes last
+    last = F.col("place") >= F.expr("n - (3L * n + 3) div 4 + 1") - LAST
+    firsts = written(tiles.where(last).select("shingle", "band", "node", "place"), "jaccard-firsts")
+    labelled, labels, open_tiles = firsts.withColumn("label", F.col("node")), None, tiles
     for turn in range(ROUNDS):
-        stars = labelled.join(
-            labelled.groupBy("shingle", "band").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("lead")), ["shingle", "band"]
-        ).where("label <> lead.label")
+        leads = F.array(*[F.min_by(F.struct("node", "label"), _lead(turn * LEADS + k)) for k in range(LEADS)])
+        leads = labelled.groupBy("shingle", "band").agg(F.array_distinct(leads).alias("leads")).select("shingle", "band", F.explode("leads").alias("lead"))
+        stars = labelled.join(leads, ["shingle", "band"]).where("label <> lead.label")
         counted = stars.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+        if tested is not None:
+            done = tested.union(tested.select("b", "a"))
+            counted = counted.join(done, ["a", "b"], "left_anti")
         best = Window.partitionBy("a").orderBy(F.desc("k"), "b")
         pairs = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if step := _tested(pairs, sets, bodies, edges, tested):
             edges, tested = step
             labels = components(edges)
-            labelled = written(_labelled(firsts, labels), "jaccard-labelled")
-        else:
+        elif turn:
             break
-    across = Window.partitionBy("shingle")
-    labelled = _labelled(tiles, labels).select("*", F.min("label").over(across).alias("least"), F.max("label").over(across).alias("most"))
-    labelled = written(labelled.where("least <> most").select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
+        across = Window.partitionBy("shingle")
+        labelled = _labelled(open_tiles, labels).select("*", F.min("label").over(across).alias("least"), F.max("label").over(across).alias("most"))
+        labelled = written(labelled.where("least <> most").select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
+        open_tiles = labelled.drop("label")
     lower = labelled.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     x = lower.select("shingle", "band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("label").alias("label_x"))
     # at the first shingle that a linked pair shares, either set still holds the whole intersection
@@ -368,6 +399,11 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", common: in
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _lead(turn: int) -> Column:
+    """Leaders come first by this: the set with the fewest changes of its own before the shingle, later any, so mostly one of the largest component."""
+    return F.struct("place", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node"))
+
+
 def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The tiles with the component of every node, so far."""
     if labels is None:
