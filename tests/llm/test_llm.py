@@ -409,3 +409,52 @@ def test_shingle_sets_over_blocks(monkeypatch):
             assert [len(s) for s in got] == [len(s) for s in sets]
             for i, k in itertools.product(range(len(texts)), repeat=2):
                 assert len(np.intersect1d(got[i], got[k])) == len(sets[i] & sets[k])
+
+
+def linked_groups(rows):
+    """Groups of row numbers that the links of their five-word sets join; rows without words are alone."""
+    sets = []
+    for _, text in rows:
+        ws = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set()))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_dedup_keeps_one_row_of_each_group_by_text(spark, docs):
+    rng = random.Random(8)
+    prose = [" ".join(rng.choices([f"v{i}" for i in range(500)], k=40)) for _ in range(6)]
+    rows = [(None, prose[0]), (None, prose[1]), (5, prose[2]), (5, prose[3]), (None, "null"), (6, None), (6, None), (7, prose[2] + " tail"), (9, prose[4]), (8, prose[4])]
+    rows += [(None, prose[5]), (None, prose[5])]
+    rows += [(r["doc_id"], r["text"]) for r in docs.collect()]
+    frame = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], "doc_id long, text string, own string, __key string, n int")
+    kept = jaccard_join.near_dedup(frame)
+    assert kept.columns == frame.columns
+    group = linked_groups(rows)
+    want = []
+    for g in sorted(set(group)):
+        members = [rows[k] for k in range(len(rows)) if group[k] == g]
+        best = min((m[0] is None, m[0] or 0) for m in members)
+        want.append((None if best[0] else best[1], {m[1] for m in members}))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert len(got) == len(want)
+    for g in want:  # each group gives one row, of its smallest identifier
+        mine = [r for r in got if r[1] in g[1] and r[0] == g[0]]
+        assert mine, g
+    string_ids = frame.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    assert jaccard_join.near_dedup(string_ids).count() == len(want)
+
+
+def test_stages_leave_the_columns_as_they_are(spark, docs):
+    clashing = docs.withColumns({c: F.lit(c) for c in ("size", "__key", "__n", "__sha", "row", "key", "n", "draws", "id", "own")})
+    for stage in (mixing.mixed, exact_dedup.exact_dedup, jaccard_join.near_dedup):
+        got = stage(clashing)
+        assert got.columns == clashing.columns
+        rows = got.collect()
+        assert rows and all(r[c] == c for r in rows for c in ("size", "__key", "__n", "__sha", "row", "key", "n", "draws", "id", "own"))
+    assert sorted(map(repr, mixing.mixed(docs).collect())) == sorted(map(repr, mixing.mixed(clashing).select(*docs.columns).collect()))

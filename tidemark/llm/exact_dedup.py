@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import squeezed, whole, without, written
+from tidemark.llm.common import squeezed, whole, written
 
 SALTS = 64
 HEAD_CHARS = 32
@@ -75,12 +75,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their own columns."""
-    stays = exact_groups(docs, doc_id, text).where("kept").select(_key("doc_id"), F.col("text_sha256").alias("__sha"))
-    rows = without(docs, ["__key", "__sha"]).select("*", _key(doc_id), F.sha2(squeezed(text), 256).alias("__sha"))
-    same = Window.partitionBy("__key", "__sha").orderBy(F.desc(F.length(whole(text))), F.col(text))
-    return rows.join(stays, ["__key", "__sha"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__key", "__sha", "__n")
+    """The rows of `docs` that stay, with their own columns, whatever their names.
+
+    Null texts and identifiers, repeated rows and empty tables as in `exact_groups`: one row of each group stays.
+    """
+    stays = exact_groups(docs, doc_id, text).where("kept").select(_key("doc_id"), F.col("text_sha256").alias("sha"))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole_row, _key(doc_id), F.sha2(squeezed(text), 256).alias("sha"))
+    given = F.col("row").getField(text)
+    same = Window.partitionBy("key", "sha").orderBy(F.desc(F.length(whole(given))), given)
+    return rows.join(stays, ["key", "sha"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select("row.*")
 
 
 def _key(doc_id: str):
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("__key")
+    return F.coalesce(F.concat(F.lit("s"), F.col(doc_id).cast("string")), F.lit("n")).alias("key")

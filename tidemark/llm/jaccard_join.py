@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import whole, without, written
+from tidemark.llm.common import whole, written
 
 SIZE = 5
 BITS = 2_048
@@ -422,9 +422,16 @@ def _tested(pairs: DataFrame, sets: DataFrame, bodies: DataFrame, edges: DataFra
 
 
 def near_dedup(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the one whose identifier names it."""
-    found = jaccard_components(docs, doc_id, text).where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")).distinct()
-    rows = without(docs, ["__key", "__n"]).withColumn("__key", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    same = Window.partitionBy("__key").orderBy(F.col(text))
-    stays = rows.join(found, "__key", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
-    return stays.drop("__key", "__n")
+    """The rows of `docs` that stay, with their own columns, whatever their names: of each component one row with the smallest identifier.
+
+    Rows are told apart by identifier and text, so rows that share an identifier, or have none, stay unless their texts link. Null identifiers
+    come last. Texts without words link with nothing, so all such rows stay; of equal rows with words one stays. An empty table gives an
+    empty result.
+    """
+    own = F.struct(F.col(doc_id).isNull().alias("lacks"), F.col(doc_id).alias("id"), F.xxhash64(whole(text)).alias("text")).alias("own")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own)
+    found = jaccard_components(rows.select("own", F.col("row").getField(text).alias("text")), "own")
+    stays = found.where("doc_id = component_id").select(F.to_json("doc_id").alias("key"), (F.col("n_shingles") > 0).alias("some")).distinct()
+    same = Window.partitionBy("key").orderBy(F.lit(0))
+    kept = rows.withColumn("key", F.to_json("own")).join(stays, "key").withColumn("n", F.row_number().over(same))
+    return kept.where("n = 1 OR NOT some").select("row.*")

@@ -34,12 +34,20 @@ def mix_plan(docs: DataFrame, doc_id="doc_id", source="source", text="text", blo
     one, so repeated rows and identifiers are several rows. An empty table gives an empty result.
     Columns of `docs` named like an added one are replaced.
     """
-    sized = (
-        docs.withColumn("__size", F.size(words(text)).cast("long"))
-        .withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
-        .withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(blocks)).cast("int"))
-    )
-    sized = without(sized, [n for n in ADDED if n not in ("__key", "__block")]).withColumnRenamed("__size", "size")
+    own = without(docs, [*ADDED, "__size"])
+    return _planned(own.select("*", *_dealt(docs, doc_id, source, text, blocks, seed)), doc_id, shards, seed)
+
+
+def _dealt(docs: DataFrame, doc_id: str, source: str, text: str, blocks: int, seed: int) -> list[Column]:
+    """Size, source key and block of a row."""
+    return [
+        F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"),
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n")).alias("__key"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")), F.lit(blocks)).cast("int").alias("__block"),
+    ]
+
+
+def _planned(sized: DataFrame, doc_id: str, shards: int, seed: int) -> DataFrame:
     totals = sized.groupBy("__key", "__block").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.lit(seed + 1), F.col(doc_id)), doc_id, "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -53,12 +61,16 @@ def mix_plan(docs: DataFrame, doc_id="doc_id", source="source", text="text", blo
 
 
 def mixed(docs: DataFrame, doc_id="doc_id", source="source", text="text", **settings) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row for each time it is taken, ordered at random in each shard."""
+    """The mix itself: the columns of `docs`, a row for each time it is taken, ordered at random in each shard.
+
+    Null texts and sources, repeated rows and empty tables as in `mix_plan`; all columns come back as they were, whatever their names.
+    """
     seed = settings.get("seed", SEED)
-    rows = mix_plan(docs, doc_id, source, text, **settings).withColumn("__draw", F.explode("draws"))
-    rows = rows.withColumn("__shuffle", F.xxhash64(F.lit(seed + 2), F.col(doc_id), F.col("__draw.pass")))
-    spread = rows.repartitionByRange(F.col("__draw.shard"), F.col("__shuffle"))
-    return spread.sortWithinPartitions("__draw.shard", "__shuffle").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole_row, F.col(doc_id).alias("id"), *_dealt(docs, doc_id, source, text, settings.get("blocks", BLOCKS), seed))
+    drawn = _planned(rows, "id", settings.get("shards", SHARDS), seed).withColumn("draw", F.explode("draws"))
+    drawn = drawn.withColumn("shuffle", F.xxhash64(F.lit(seed + 2), "id", "draw.pass"))
+    return drawn.repartitionByRange(F.col("draw.shard"), F.col("shuffle")).sortWithinPartitions("draw.shard", "shuffle").select("row.*")
 
 
 def source_targets(totals: DataFrame) -> DataFrame:
