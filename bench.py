@@ -21,8 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tidemark.config import LANGS, TOP_N, WINDOWS_S  # noqa: E402
-from tidemark.operators import classify, costs, hours, lag, reconcile, rollups, seam, series, slo, windows  # noqa: E402
-from tidemark.plans import activity, ops_report, snapshot  # noqa: E402
+from tidemark.operators import classify, costs, hours, lag, ledger, reconcile, rollups, series, slo, windows  # noqa: E402
+from tidemark.plans import activity, ops_report, page_sets, snapshot  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
 from tidemark.sources import generator, given_tables as given  # noqa: E402
 from tidemark.sources.tables import Tables  # noqa: E402
@@ -51,11 +51,11 @@ def store(tables: Tables, edits) -> None:
     tables.write_once("edits", edits.withColumn("dt", F.to_date("event_time")), "bench")
     stored = tables.read("edits")
     tables.write_once("edits_per_minute", rollups.with_month(rollups.per_minute(stored)), "bench")
-    tables.write_once("pages_per_minute", rollups.with_day(rollups.pages_per_minute(stored)), "bench")
+    page_sets.add_pages(tables, stored, "bench")
 
 
 def window_cases(tables: Tables) -> dict:
-    edits, minutes, pages = (tables.read(n) for n in ("edits", "edits_per_minute", "pages_per_minute"))
+    edits, minutes, pages = tables.read("edits"), tables.read("edits_per_minute"), tables.page_sets()
     to_ms = tables.watermark_ms()
     now_ms = to_ms + 30_000
 
@@ -73,10 +73,10 @@ def window_cases(tables: Tables) -> dict:
         "activity_3d": ask("3d"),
         "activity_7d": ask("7d"),
         "activity_7d_raw": lambda: windows.window_totals(edits, to_ms, WINDOWS_S["7d"], LANGS).collect(),
-        "ops_lag_last_hour": lambda: lag.stored_lag(edits, now_ms).collect(),
-        "ops_bookmark": lambda: seam.latest_bookmark(edits).collect(),
-        "ops_head": lambda: hours.head(edits).collect(),
-        "resume_max_seq": lambda: hours.max_ingest_seq(edits).collect(),
+        "ops_lag_last_hour": lambda: lag.stored_lag(tables.stored_since(now_ms - 3_600_000), now_ms).collect(),
+        "ops_bookmark": lambda: ledger.latest_bookmark(tables.ledger()).collect(),
+        "ops_head": lambda: ledger.head(tables.ledger()).collect(),
+        "resume_max_seq": lambda: ledger.max_ingest_seq(tables.ledger()).collect(),
         "resume_last_20k": lambda: stored_tail(edits, 20_000).collect(),
     }
 
@@ -100,7 +100,7 @@ def report_cases(tables: Tables) -> dict:
         "recent_gaps": lambda: series.recent_gaps(gaps, to_ms, 60).collect(),
         "ops_freshness_30d": lambda: slo.freshness(samples, 60.0, end_s - 30 * 86_400, end_s).collect(),
         "snapshot": lambda: snapshot.to_document(snapshot.snapshot(edits, minutes, gaps, now_ms, to_ms=tables.watermark_ms())).collect(),
-        "ops_report": lambda: snapshot.to_document(ops_report.ops_report(edits, drops, samples, gaps, attempts, now_ms)).collect(),
+        "ops_report": lambda: snapshot.to_document(ops_report.ops_report(tables.stored_since(now_ms - 3_600_000), drops, samples, gaps, attempts, now_ms, ledger=tables.ledger())).collect(),
         "reconcile": lambda: reconcile.mismatches(edits, minutes, *span).collect(),
         "hour_counts": lambda: hours.hour_counts(edits).collect(),
         "rollup_build": lambda: rollups.per_minute(edits).write.format("noop").mode("overwrite").save(),

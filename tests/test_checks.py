@@ -26,7 +26,7 @@ def test_the_flagship_query_runs(spark):
 
 
 def test_queries_agree_with_sql(spark):
-    results = compare(spark, SF)
+    results = compare(spark, SF, QUERIES)  # text operators' queries are compared in their own tests
     assert {n: r for n, r in results.items() if not r.startswith("ok")} == {}
 
 

@@ -512,3 +512,34 @@ add(
 add("seam_restart", _M, "SELECT event_id, epoch_ms(event_time) AS event_ms, lang, title, namespace, is_bot FROM stored")
 for _name, _same in (("head", "head"), ("span", "raw_span"), ("bookmark", "latest_bookmark"), ("max_seq", "max_ingest_seq"), ("resume", "resume_state"), ("stored_lag", "stored_lag_last_hour")):
     SQL[f"ledger_{_name}"] = SQL[_same]
+
+for _name in ("24h", "3d", "7d"):
+    SQL[f"window_from_tree_{_name}"] = SQL[f"window_from_rollup_{_name}"]
+add(
+    "page_tree_hours",
+    _E,
+    "SELECT DISTINCT CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_s, lang, namespace, title FROM edits",
+)
+add("page_tree_days", _E, "SELECT DISTINCT CAST(event_time::DATE AS VARCHAR) AS dt, lang, namespace, title FROM edits")
+
+_LOOKED_AT = """(SELECT CAST(ceil(greatest((SELECT epoch_ms(min(event_time)) FROM edits), epoch_ms(t) + 120000 - 604800000) / 3600000.0) AS BIGINT) * 3600 AS lo,
+          (epoch_ms(t) // 1000 - 300) // 3600 * 3600 AS hi FROM head)"""
+add(
+    "archive_adopted",
+    (*_EH, _RAW_HOURS),
+    f"""SELECT hour_s, CASE WHEN hour_s // 3600 % 3 = 0 THEN 'written' ELSE 'recorded' END AS result, rows, rows AS recorded
+      FROM raw_hours, {_LOOKED_AT} WHERE hour_s >= lo AND hour_s < hi""",
+)
+add(
+    "archive_late_fill",
+    (*_EH, _RAW_HOURS),
+    f"""SELECT CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_s, lang, count(DISTINCT (namespace, title)) AS pages
+      FROM edits, {_LOOKED_AT} WHERE epoch(date_trunc('hour', event_time)) >= lo AND epoch(date_trunc('hour', event_time)) < hi GROUP BY 1, 2""",
+)
+add(
+    "archive_states",
+    (*_EH, _RAW_HOURS),
+    f"""SELECT hour_s, rows, CASE WHEN hour_s // 3600 % 3 = 0 THEN 0 ELSE rows END AS in_file, hour_s // 3600 % 3 = 0 AS due,
+      CASE WHEN hour_s // 3600 % 3 = 0 THEN 'write' ELSE 'record' END AS decision
+      FROM raw_hours, {_LOOKED_AT} WHERE hour_s >= lo AND hour_s < hi""",
+)

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.checks.queries import Inputs, query
-from tidemark.config import HOUR_S, Settings
+from tidemark.checks.queries import Inputs, query, register
+from tidemark.config import HOUR_S, LANGS, WINDOWS_S, Settings
 from tidemark.functions import times
-from tidemark.operators import hours, lag, ledger, rollups
+from tidemark.operators import hours, lag, ledger, page_tree, rollups, windows
 from tidemark.plans import logs, page_sets, reconcile, resume, upkeep
-from tidemark.plans.archive import Archiver
+from tidemark.plans.archive import Archiver, archive_status
 from tidemark.plans.rebuild import rebuild
 from tidemark.plans.restore import restore
 from tidemark.session import work_path
@@ -385,3 +385,88 @@ def ledger_stored_lag(spark, sf_dir):
     """Lag of the rows stored in the last hour: only writes that hold some are opened."""
     now_ms = Inputs(spark, sf_dir).now_ms
     return lag.stored_lag(_written_in_parts(spark, sf_dir).stored_since(now_ms - 3_600_000), now_ms)
+
+
+# --- windows over the tree of page sets ------------------------------------------------------------
+
+
+def _page_store(spark: SparkSession, sf_dir: str) -> Tables:
+    """Counts and page sets of several writes; some days folded."""
+    def build(path: str) -> None:
+        i, tables = Inputs(spark, sf_dir), Tables(spark, path)
+        last = i.edits.agg(F.max("ingest_seq")).first()[0]
+        for part in range(WRITES):
+            page_sets.add_pages(tables, i.edits.where(F.expr(f"ingest_seq * {WRITES} div {last + 1} IN ({part}, {part + 1})")), f"w{part}")
+        tables.write_once("edits_per_minute", rollups.with_month(i.rollup), "given")
+        for day in tables.partitions("pages_per_day")[::3]:
+            for name in ("pages_per_minute", "pages_per_hour", "pages_per_day"):
+                upkeep.compact(tables, name, day, i.now_ms)
+
+    return Tables(spark, _once(spark, sf_dir, "pages", build))
+
+
+def _from_tree(name: str):
+    def run(spark, sf_dir):
+        tables, to_ms = _page_store(spark, sf_dir), Inputs(spark, sf_dir).to_ms
+        pages = page_tree.pages_in_window(tables.page_sets(), to_ms, WINDOWS_S[name], LANGS)
+        return windows.totals_with_pages(tables.read("edits_per_minute"), pages, to_ms, WINDOWS_S[name], LANGS)
+
+    return run
+
+
+for _name in ("24h", "3d", "7d"):
+    register(f"window_from_tree_{_name}", _from_tree(_name))
+
+
+@query
+def page_tree_hours(spark, sf_dir):
+    """Members of every hour's set."""
+    rows = _page_store(spark, sf_dir).page_sets().hours
+    return rows.select(times.seconds("hour").alias("hour_s"), *page_tree.MEMBER).distinct()
+
+
+@query
+def page_tree_days(spark, sf_dir):
+    rows = _page_store(spark, sf_dir).page_sets().days
+    return rows.select(F.col("dt").cast("string").alias("dt"), *page_tree.MEMBER).distinct()
+
+
+# --- archive passes over what is there already -----------------------------------------------------
+
+
+@query
+def archive_adopted(spark, sf_dir):
+    """A pass of a store that has no record of files someone else wrote: those of every third hour lack."""
+    i = Inputs(spark, sf_dir)
+    path = work_path(spark, "archive-adopted")
+    tables = _fill(Tables(spark, f"{path}/tables"), i)
+    write_hours(i.edits.where(F.expr("unix_seconds(event_time) div 3600 % 3 <> 0")), f"{path}/archive")
+    run = Archiver(tables, f"{path}/archive").run_once(i.to_ms + QUIET_MS)
+    rows = spark.createDataFrame([(r.hour_s, r.result, r.rows) for r in run], "hour_s BIGINT, result STRING, rows BIGINT")
+    return rows.join(hours.recorded_counts(tables.read("archive_hours")).withColumnRenamed("rows", "recorded"), "hour_s", "left")
+
+
+@query
+def archive_late_fill(spark, sf_dir):
+    """Pages per hour after a pass found every hour archived and no page set filled."""
+    i = Inputs(spark, sf_dir)
+    path = work_path(spark, "archive-late")
+    tables = _fill(Tables(spark, f"{path}/tables"), i)
+    archiver, now_ms = Archiver(tables, f"{path}/archive"), i.to_ms + QUIET_MS
+    archiver.run_once(now_ms)
+    for name in ("pages_filled", "pages_per_minute", "pages_per_hour", "pages_per_day"):
+        tables.files.remove(tables.path(name))
+    archiver.run_once(now_ms + 1)
+    return rollups.pages_per_hour(rollups.merge_pages(tables.read("pages_per_minute")))
+
+
+@query
+def archive_states(spark, sf_dir):
+    """What a pass would decide where files of every third hour lack and every fourth has a record that is short by one."""
+    i = Inputs(spark, sf_dir)
+    path = work_path(spark, "archive-states")
+    tables = _fill(Tables(spark, f"{path}/tables"), i)
+    write_hours(i.edits.where(F.expr("unix_seconds(event_time) div 3600 % 3 <> 0")), f"{path}/archive")
+    counts = hours.hour_counts(i.edits).where(F.expr("hour_s div 3600 % 4 = 0")).withColumn("rows", F.col("rows") - 1)
+    logs.record_archived(tables, counts, i.now_ms, "short")
+    return archive_status(tables, f"{path}/archive", i.to_ms + QUIET_MS)

@@ -51,6 +51,8 @@ RAW_RESTORE_DAYS = 2
 RETENTION_DAYS = {
     "edits": 7,
     "pages_per_minute": 14,
+    "pages_per_hour": 14,
+    "pages_per_day": 14,
     "pages_filled": 14,
     "edits_per_minute": 90,
     "ingest_gaps": 90,

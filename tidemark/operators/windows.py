@@ -82,22 +82,23 @@ def window_totals(edits: DataFrame, to_ms: int, window_s: int, langs: Sequence[s
 
 def window_totals_preaggregated(
     edits_per_minute: DataFrame,
-    pages_per_minute: DataFrame,
+    pages: DataFrame,
     to_ms: int,
     window_s: int,
     langs: Sequence[str],
 ) -> DataFrame:
     """The same totals from minute sums and minute page sets. A language without sets has 0 pages."""
+    counted = recent_minutes(pages, to_ms, window_s, langs).groupBy("lang").agg(F.count_distinct("namespace", "title").alias("pages"))
+    return totals_with_pages(edits_per_minute, counted, to_ms, window_s, langs)
+
+
+def totals_with_pages(edits_per_minute: DataFrame, pages: DataFrame, to_ms: int, window_s: int, langs: Sequence[str]) -> DataFrame:
+    """Minute sums of a window beside its distinct pages (lang, pages)."""
     edits = (
         recent_minutes(edits_per_minute, to_ms, window_s, langs)
         .groupBy("lang")
         .agg(F.sum("edits").alias("edits"), F.sum("bot_edits").alias("bot_edits"))
     )
-    pages = (
-        recent_minutes(pages_per_minute, to_ms, window_s, langs)
-        .groupBy("lang")
-        .agg(F.count_distinct("namespace", "title").alias("pages"))
-    )
     # Both sides hold one row per requested language.
     return edits.join(F.broadcast(pages), "lang", "left").select(
         "lang", "edits", F.coalesce("pages", F.lit(0)).alias("pages"), "bot_edits"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.config import PAGES_KEPT_S, PREAGGREGATED_WINDOWS, WINDOWS_S
 from tidemark.functions.ratios import share
 from tidemark.functions.times import at_ms, iso
-from tidemark.operators.windows import newest_ms, window_totals, window_totals_preaggregated
+from tidemark.operators.page_tree import PageSets, pages_in_window
+from tidemark.operators.windows import newest_ms, totals_with_pages, window_totals, window_totals_preaggregated
 
 
 class BadRequest(ValueError):
@@ -39,13 +40,14 @@ def parse_request(lang: str | None, window: str | None, allowed: Sequence[str])
 def activity(
     edits: DataFrame,
     per_minute: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageSets,
     request: Request,
     now_ms: int,
     to_ms: int | None = None,
 ) -> DataFrame:
     """One row, for the window ending at `to_ms` (the newest event, read here if not given). Windows up to a day read raw rows; 3 and 7 days read the pre-aggregates.
 
+    Given the tree of page sets, a window is covered by whole days, hours and minutes; given minute sets alone, by minutes.
     Pages are unknown (NULL) when a pre-aggregated window starts before the page sets are kept.
     """
     to_ms = newest_ms(edits) if to_ms is None else to_ms
@@ -54,7 +56,10 @@ def activity(
     if to_ms is None:
         totals = edits.sparkSession.createDataFrame([], "lang STRING, edits BIGINT, pages BIGINT, bot_edits BIGINT")
     elif preaggregated:
-        totals = window_totals_preaggregated(per_minute, pages, to_ms, window_s, request.langs)
+        if isinstance(pages, PageSets):
+            totals = totals_with_pages(per_minute, pages_in_window(pages, to_ms, window_s, request.langs), to_ms, window_s, request.langs)
+        else:
+            totals = window_totals_preaggregated(per_minute, pages, to_ms, window_s, request.langs)
     else:
         totals = window_totals(edits, to_ms, window_s, request.langs)
     expired = preaggregated and to_ms is not None and to_ms - window_s * 1000 < now_ms - PAGES_KEPT_S * 1000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import RETENTION_DAYS
 from tidemark.functions.times import at_ms, day_start_of, hour
 from tidemark.operators.hours import filled_hours, missing_hours
+from tidemark.operators import page_tree
 from tidemark.operators.rollups import pages_per_minute, with_day
 from tidemark.schema import ARCHIVE_PAGE_COLUMNS
 from tidemark.sources.archive import days_of, existing_hours, read_archive
@@ -17,10 +18,27 @@ from tidemark.sources.tables import Tables
 
 
 def add_pages(tables: Tables, edits: DataFrame, token: str) -> None:
-    """Add the pages of these edits. Sets only add: a page already there changes nothing."""
+    """Add the pages of these edits (or minute sets) to their minutes, hours and days. Sets only add: a page already there changes nothing.
+
+    Minutes come last, so a minute's page is in its hour and day, or will be when the write that was cut off is done again.
+    """
+    tables.write_once("pages_per_day", page_tree.per_day(edits), token)
+    tables.write_once("pages_per_hour", page_tree.per_hour(edits).withColumn("dt", F.to_date("hour")), token)
     tables.write_once("pages_per_minute", with_day(pages_per_minute(edits)), token)
 
 
+def complete_tree(tables: Tables) -> int:
+    """Build hours and days of writes that have minute sets only (written before there was a tree). Returns how many writes."""
+    days = tables.partitions("pages_per_minute")
+    known = set(tables.hold("pages_per_day", days).tokens)
+    lacking = sorted({t for v, t in tables.hold("pages_per_minute", days).tokens if (v, t) not in known})
+    for token in lacking:
+        minutes = tables.read_token("pages_per_minute", token)
+        tables.write_once("pages_per_hour", page_tree.per_hour(minutes).withColumn("dt", F.to_date("hour")), token)
+        tables.write_once("pages_per_day", page_tree.per_day(minutes), token)
+    return len(lacking)
+
+
 def of_hours(edits: DataFrame, hours: DataFrame) -> DataFrame:
     """Rows of the listed hours (a planner's list, bounded by retention)."""
     listed = hours.select(F.timestamp_seconds("hour_s").alias("h"))

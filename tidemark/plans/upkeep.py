@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
-from tidemark.operators import rollups
+from tidemark.operators import page_tree, rollups
 from tidemark.plans.reconcile import require_quiet
 from tidemark.sources.tables import Tables
 
@@ -16,6 +16,8 @@ _MERGED = {
     "edits": lambda rows: rows.drop("token"),
     "edits_per_minute": lambda rows: rollups.with_month(rollups.merge_counts(rows)),
     "pages_per_minute": lambda rows: rollups.with_day(rollups.merge_pages(rows)),
+    "pages_per_hour": lambda rows: rows.select("hour", *page_tree.MEMBER, "dt").distinct(),
+    "pages_per_day": lambda rows: rows.select(*page_tree.MEMBER, "dt").distinct(),
 }
 _TIME = {
     "ingest_gaps": "detected_at",

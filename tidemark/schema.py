@@ -49,6 +49,9 @@ EDITS_PER_MINUTE = _ddl(
 PAGES_PER_MINUTE = _ddl(
     "minute TIMESTAMP, lang STRING, namespace INT, title STRING, dt DATE, token STRING"
 )
+PAGES_PER_HOUR = _ddl("hour TIMESTAMP, lang STRING, namespace INT, title STRING, dt DATE, token STRING")
+PAGES_PER_DAY = _ddl("lang STRING, namespace INT, title STRING, dt DATE, token STRING")
+
 # What each write of edits holds (operators/ledger.py); written with it, folded with it.
 EDIT_BATCHES = _ddl(
     "rows BIGINT, first_time TIMESTAMP, last_time TIMESTAMP, first_stored TIMESTAMP, last_stored TIMESTAMP, "
@@ -81,6 +84,8 @@ TABLES = {
     "edits": (EDITS, ("dt", "token")),
     "edits_per_minute": (EDITS_PER_MINUTE, ("month", "token")),
     "pages_per_minute": (PAGES_PER_MINUTE, ("dt", "token")),
+    "pages_per_hour": (PAGES_PER_HOUR, ("dt", "token")),
+    "pages_per_day": (PAGES_PER_DAY, ("dt", "token")),
     "edit_batches": (EDIT_BATCHES, ("dt", "token")),
     "fences": (FENCES, ("token",)),
     "outcomes": (OUTCOMES, ("token",)),

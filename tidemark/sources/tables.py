@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
+from tidemark.operators.page_tree import PageSets
 from tidemark.schema import TABLES
 
 # Smaller row groups than Parquet's default: files are sorted by (language, time), so a window of
@@ -26,6 +27,8 @@ _SORT = {
     "edits": ("lang", "event_time"),
     "edits_per_minute": ("lang", "minute"),
     "pages_per_minute": ("lang", "namespace", "title"),
+    "pages_per_hour": ("lang", "namespace", "title"),
+    "pages_per_day": ("lang", "namespace", "title"),
 }
 
 
@@ -88,6 +91,10 @@ class Tables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def page_sets(self) -> PageSets:
+        """The page sets of minutes, hours and days."""
+        return PageSets(self.read("pages_per_minute"), self.read("pages_per_hour"), self.read("pages_per_day"))
+
     def read_token(self, name: str, token: str) -> DataFrame:
         """The rows one write produced, listing only its own directories."""
         schema, partitions = TABLES[name]

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import DEFAULTS, SEAM_WINDOW_NS, Settings
 from tidemark.functions.times import yyyymm
-from tidemark.operators import ledger, reconcile, rollups, seam
+from tidemark.operators import ledger, page_tree, reconcile, rollups, seam
 from tidemark.operators.classify import classify, count_outcomes
 from tidemark.operators.hours import max_ingest_seq
 from tidemark.sources.tables import Held, Tables
@@ -120,11 +120,14 @@ class Ingest:
                 tables.put("edits", fresh, token)
                 written = tables.read_token("edits", token)
             counts, pages = rollups.per_minute(written), rollups.pages_per_minute(written)
+            hours = page_tree.per_hour(written).withColumn("dt", F.to_date("hour"))
             _at_once(
                 tables.spark,
                 lambda: tables.summarize(tables.read_token("edits", token), token),
                 lambda: self._recount(written, token, fences) if fences else tables.write_once("edits_per_minute", rollups.with_month(counts), token),
                 lambda: tables.write_once("pages_per_minute", rollups.with_day(pages), token),
+                lambda: tables.write_once("pages_per_hour", hours, token),
+                lambda: tables.write_once("pages_per_day", page_tree.per_day(written), token),
                 lambda: tables.write_once("outcomes", _settled(count_outcomes(outcomes), written), token),
                 lambda: self._note_last(first_seq + bounds["last"] - bounds["first"], run, batch_id),
             )
