@@ -14,7 +14,7 @@ Inside tiles pairs are tested in two steps, so that a group of g near copies cos
 
 A pair is first bounded by bitmaps (every bit that A has and B lacks is a shingle that B lacks), then its sorted
 shingle arrays are intersected exactly. Connected components are found by label propagation on written tables.
-Nothing of the documents is gathered on the driver; it only holds the sketch, a byte for each of 2^24 buckets.
+Nothing of the documents is gathered on the driver; it only holds the sketch, a byte for each of 2^22 buckets.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from tidemark.llm.common import whole, written
 
 SIZE = 5
 BITS = 2_048
-SKETCH_BITS = 24  # buckets that shingles are counted in, for the order of the prefixes: 16 MB
+SKETCH_BITS = 22  # buckets that shingles are counted in, for the order of the prefixes: 4 MB
 CHUNK = 4_096
 LAST = 8  # places of a prefix that look for leaders
-ROUNDS = 4
+ROUNDS = 3
 LEADS = 4  # leaders of a tile in a round
 LEADERS = 8  # that a set is tested against in a round
 FLUSH = 4_000_000
@@ -174,7 +174,7 @@ def frequency_classes(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
     They only order the prefixes. The result of the join doesn't depend on them, its cost does. A task counts each of its distinct sets
     once and sends what its buckets hold, by chunk; chunks are added up as they come in, and the driver gets one byte a bucket,
-    16 MB whatever the data's size.
+    4 MB whatever the data's size.
     """
     chunk = min(CHUNK, 1 << bits)
     chunks = (1 << bits) // chunk
@@ -208,8 +208,9 @@ def frequency_classes(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
     held = texts.select("text").mapInArrow(counted, "chunk int, counts binary").repartition("chunk").mapInArrow(added, "chunk int, classes binary")
     classes = np.zeros((chunks, chunk), np.uint8)
-    for row in held.toLocalIterator():
-        classes[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
+    rows = held.toArrow()
+    for k, one in zip(rows.column(0).to_pylist(), rows.column(1)):
+        classes[k] = np.frombuffer(one.as_buffer(), np.uint8)
     return classes.ravel()
 
 
