@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import compression_classifier as zip_, exact_dedup, jaccard_join, license_scan, mixing, piece_transducer as pt
 from tidemark.llm import quality_rules, revisits, secret_scan, wrapper_extract
-from tidemark.llm.queries import piece_model
+from tidemark.llm.queries import QUERIES, piece_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +65,47 @@ def test_quality_measures_and_scores(spark, docs, nothing):
     assert quality_rules.quality_rules(nothing, trusted).count() == 0
 
 
+def test_quality_score_against_brute_force(spark, docs):
+    trusted_ids = {9, 12, 20, 24}
+    rows, n = docs.collect(), 50
+
+    def part(doc_id):
+        return 0 if doc_id is None else int(hashlib.md5(str(doc_id).encode()).hexdigest()[0], 16)
+
+    def buckets(text):
+        codes = [zlib.crc32(w.encode()) for w in WORDS.findall(text or "")]
+        return [c % n for c in codes] + [(a * quality_rules.PAIR + b) % n for a, b in zip(codes, codes[1:])]
+
+    def weights(fold):
+        t, r = Counter(), Counter()
+        for row in rows:
+            if part(row["doc_id"]) != fold:
+                r.update(buckets(row["text"]))
+                t.update(buckets(row["text"]) if row["doc_id"] in trusted_ids else ())
+        rate = sum(t.values()) / sum(r.values())
+        return [math.log((t[b] + quality_rules.SMOOTH) / (r[b] * rate + quality_rules.SMOOTH)) for b in range(n)]
+
+    by_fold = {f: weights(f) for f in {part(r["doc_id"]) for r in rows}}
+    trusted = spark.createDataFrame([(i,) for i in trusted_ids], "doc_id long")
+    judged = quality_rules.quality_rules(docs, trusted, buckets=n, min_score=-0.01).collect()
+    assert len({r["kept"] for r in judged if not r["base_failed"]}) == 2
+    for r in judged:
+        found = [by_fold[part(r["doc_id"])][b] for b in buckets(r["text"])]
+        assert r["n_grams"] == len(found)
+        if found:
+            mean = sum(found) / len(found)
+            assert abs(r["score"] - mean) < 2e-6
+            assert abs(mean + 0.01) < 2e-6 or r["kept"] == (not r["base_failed"] and mean >= -0.01)
+
+
+def test_quality_verdict_agrees_with_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    judged = QUERIES["op1_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in judged.where("NOT base_failed").groupBy("quality", "kept").count().collect()}
+    assert n[0, True] <= 0.1 * (n[0, True] + n[0, False])
+    assert n[1, False] < 0.01 * (n[1, True] + n[1, False])
+
+
 def test_exact_dedup(docs, nothing):
     rows = docs.collect()
     groups = {}

@@ -22,24 +22,32 @@ codes AS (
 
 QUALITY = rf"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+folds AS (SELECT row, coalesce(('0x' || left(md5(doc_id::VARCHAR), 1))::INTEGER, 0) AS fold FROM docs),
 occ AS (SELECT row, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS pos FROM docs),
 {CRC},
 coded AS (SELECT row, pos, w, code, lag(code) OVER (PARTITION BY row ORDER BY pos) AS before FROM occ JOIN codes USING (w)),
 grams AS (
-  SELECT row, code % {quality.BUCKETS} AS bucket FROM coded
-  UNION ALL SELECT row, (before * {quality.PAIR} + code) % {quality.BUCKETS} FROM coded WHERE before IS NOT NULL
+  SELECT row, fold, bucket FROM (
+    SELECT row, code % {quality.BUCKETS} AS bucket FROM coded
+    UNION ALL SELECT row, (before * {quality.PAIR} + code) % {quality.BUCKETS} FROM coded WHERE before IS NOT NULL
+  ) JOIN folds USING (row)
 ),
 trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 counts AS (
-  SELECT bucket, count(*) AS r, count(t.doc_id) AS t
-  FROM grams JOIN docs USING (row) LEFT JOIN trusted t ON t.doc_id = docs.doc_id GROUP BY bucket
+  SELECT fold, bucket, count(*) AS r, count(t.doc_id) AS t
+  FROM grams JOIN docs USING (row) LEFT JOIN trusted t ON t.doc_id = docs.doc_id GROUP BY fold, bucket
 ),
-sums AS (SELECT coalesce(sum(r), 0) AS r, coalesce(sum(t), 0) AS t FROM counts),
+every AS (SELECT f.range AS fold, b.range AS bucket FROM range({quality.FOLDS}) f, range({quality.BUCKETS}) b),
+others AS (
+  SELECT fold, bucket, (sum(coalesce(t, 0)) OVER w - coalesce(t, 0))::DOUBLE AS t, (sum(coalesce(r, 0)) OVER w - coalesce(r, 0))::DOUBLE AS r
+  FROM every LEFT JOIN counts USING (fold, bucket) WINDOW w AS (PARTITION BY bucket)
+),
+sums AS (SELECT fold, sum(t) AS t, sum(r) AS r FROM others GROUP BY fold),
 weights AS (
-  SELECT bucket, round((ln((c.t + 1) / (s.t + {quality.BUCKETS})) - ln((c.r + 1) / (s.r + {quality.BUCKETS}))) * {quality.UNIT})::BIGINT AS weight
-  FROM counts c, sums s
+  SELECT o.fold, o.bucket, round(ln((o.t + {quality.SMOOTH}) / (CASE WHEN s.r > 0 THEN o.r * s.t / s.r ELSE 0 END + {quality.SMOOTH})) * {quality.UNIT})::BIGINT AS weight
+  FROM others o JOIN sums s USING (fold)
 ),
-scored AS (SELECT row, sum(weight)::BIGINT AS total, count(*) AS n FROM grams JOIN weights USING (bucket) GROUP BY row),
+scored AS (SELECT row, sum(weight)::BIGINT AS total, count(*) AS n FROM grams JOIN weights USING (fold, bucket) GROUP BY row),
 windows AS (
   SELECT row, pos, count(*) OVER (PARTITION BY row, g) AS n
   FROM (SELECT row, pos, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g FROM occ WINDOW o AS (PARTITION BY row ORDER BY pos))

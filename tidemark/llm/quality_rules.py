@@ -6,7 +6,11 @@ over its n-grams of log(trusted / all), divided by the number of its n-grams, an
 reaches a fixed threshold. Bucket weights are whole millionths, so sums don't depend on the order of
 addition and the verdict is the same on every run.
 
-Only the bucket weights (`buckets` numbers) reach every task; texts move once, when the trusted documents
+No document is judged by counts it raised itself: documents fall into `FOLDS` parts by a hash of their identifier, and
+each part's weights are counted over the other parts. Both multinomials are smoothed by the same number of trusted
+occurrences a bucket, so an n-gram that is too rare to tell weighs about 0, whatever the size of the corpus.
+
+Only the bucket weights (`FOLDS * buckets` numbers) reach every task; texts move once, when the trusted documents
 are marked. That join is a sort-merge join at every size: the list of trusted documents grows with the data,
 so it is never broadcast.
 """
@@ -18,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.common import WORD, whole, without, words
 
 BUCKETS = 10_000
-# Natural log, mean per n-gram. A trusted document raises the counts of its own n-grams, so clean documents outside the
-# trusted ones score lower, on few documents down to -0.2; text of other kinds is near -1.
-MIN_SCORE = -0.25
+FOLDS = 16  # by the first hexadecimal digit of the identifier's MD5
+SMOOTH = 30  # trusted occurrences added to each bucket
+# Natural log, mean per n-gram, set on documents with labels at three sizes; tests/llm hold the shares that stay and go.
+MIN_SCORE = -0.05
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
@@ -42,21 +47,32 @@ def pair_code(first: str, second: str) -> str:
     return f"({first} * {PAIR} + {second})"
 
 
+def fold(doc_id: str) -> Column:
+    """The part of the corpus a document belongs to; null identifiers share the first."""
+    digit = F.substring(F.md5(F.col(doc_id).cast("string").cast("binary")), 1, 1)
+    return F.coalesce(F.conv(digit, 16, 10).cast("int"), F.lit(0))
+
+
 def bucket_weights(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, weight) for every bucket: millionths of log(trusted share / overall share), add-one smoothed."""
+    """(fold, bucket, weight) for every bucket: millionths of log(trusted share / overall share) in the other folds."""
     marks = trusted.select(F.col(trusted.columns[0]).alias("__id"), F.lit(1).alias("__trusted")).distinct()
     marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marks.hint("merge"), "__id", "left")
-    coded = marked.select("__trusted", word_codes("__text").alias("c"))
-    pairs = coded.select("__trusted", F.explode(F.arrays_zip("c", F.expr("if(size(c) > 1, slice(c, 2, greatest(size(c) - 1, 1)), cast(array() as array<bigint>))"))).alias("p"))
-    pairs = pairs.select("__trusted", F.col("p.c").alias("x"), F.col("p.`1`").alias("y"))
+    coded = marked.select("__trusted", fold("__id").alias("fold"), word_codes("__text").alias("c"))
+    pairs = coded.select("__trusted", "fold", F.explode(F.arrays_zip("c", F.expr("if(size(c) > 1, slice(c, 2, greatest(size(c) - 1, 1)), cast(array() as array<bigint>))"))).alias("p"))
+    pairs = pairs.select("__trusted", "fold", F.col("p.c").alias("x"), F.col("p.`1`").alias("y"))
     codes = F.array(F.col("x"), F.expr(pair_code("x", "y")))
-    grams = pairs.select("__trusted", F.explode(codes).alias("code")).select("__trusted", F.pmod("code", F.lit(buckets)).cast("int").alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("__trusted").alias("t"), F.count(F.lit(1)).alias("r"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counts, "bucket", "left").select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
-    share = [F.log((F.col(c) + 1) / (F.sum(c).over(Window.partitionBy()) + buckets)) for c in ("t", "r")]
-    weight = share[0] - share[1]
-    return full.select("bucket", F.round(weight * UNIT).cast("long").alias("weight"))
+    grams = pairs.select("__trusted", "fold", F.explode(codes).alias("code"))
+    grams = grams.where("code IS NOT NULL").select("__trusted", "fold", F.pmod("code", F.lit(buckets)).cast("int").alias("bucket"))
+    counts = grams.groupBy("fold", "bucket").agg(F.count("__trusted").alias("t"), F.count(F.lit(1)).alias("r"))
+    # from here on FOLDS * buckets rows, whatever the corpus
+    every = docs.sparkSession.range(FOLDS * buckets).selectExpr(f"cast(id div {buckets} as int) AS fold", f"cast(id % {buckets} as int) AS bucket")
+    full = every.join(counts, ["fold", "bucket"], "left").na.fill(0, ["t", "r"])
+    others = [(F.sum(c).over(Window.partitionBy("bucket")) - F.col(c)).cast("double").alias(c) for c in ("t", "r")]
+    full = full.select("fold", "bucket", *others)
+    all_t, all_r = (F.sum(c).over(Window.partitionBy("fold")) for c in ("t", "r"))
+    expected = F.when(all_r > 0, F.col("r") * all_t / all_r).otherwise(F.lit(0.0))
+    weight = F.log((F.col("t") + SMOOTH) / (expected + SMOOTH))
+    return full.select("fold", "bucket", F.round(weight * UNIT).cast("long").alias("weight"))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,11 +115,12 @@ def quality_rules(
     `trusted` names the trusted documents by its first column; repeated and unknown identifiers there count
     once or not at all. A null text has no words, so it fails the base rules; null identifiers are never
     trusted. Repeated rows are judged one by one, an empty table gives an empty result, and columns of
-    `docs` named like an added one are replaced. Without trusted documents all n-grams weigh alike.
+    `docs` named like an added one are replaced. Without trusted documents all n-grams weigh nothing.
     """
-    weights = bucket_weights(docs, trusted, doc_id, text, buckets).agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
+    found = bucket_weights(docs, trusted, doc_id, text, buckets).groupBy("fold").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
+    by_fold = found.select("fold", F.expr("transform(w, x -> x.weight)").alias("w")).agg(F.sort_array(F.collect_list(F.struct("fold", "w"))).alias("w"))
     rows = without(measured(docs, text), ADDED[len(MEASURES):])
-    rows = rows.withColumn("__weights", weights.select(F.expr("transform(w, x -> x.weight)")).scalar())
+    rows = rows.withColumn("__weights", F.get(by_fold.select(F.expr("transform(w, x -> x.w)")).scalar(), fold(doc_id)))
     rows = rows.withColumn("n_grams", F.expr("n_words + greatest(n_words - 1, 0)"))
     pair = f"if(i > 0, __weights[pmod({pair_code('__codes[greatest(i - 1, 0)]', 'x')}, {buckets})], 0L)"
     one = f"transform(__codes, (x, i) -> __weights[pmod(x, {buckets})] + {pair})"
