@@ -438,6 +438,13 @@ add(
     """SELECT event_id, epoch_ms(event_time) AS event_ms, epoch_ms(ingested_at) AS ingested_ms, wiki, lang, type,
       namespace, title, is_bot, sse_id FROM stored""",
 )
+add("resumed_edits", _M, "SELECT event_id, epoch_ms(event_time) AS event_ms, lang, title, sse_id FROM stored")
+add(
+    "resume_gap_recorded",
+    _E,
+    """SELECT t + 691260000 AS detected_ms, t // 60000 * 60000 AS gap_from_ms, t + 691260000 - 3600000 AS gap_to_ms, 'retention' AS reason
+      FROM (SELECT epoch_ms(max(event_time)) AS t FROM edits)""",
+)
 add(
     "stream_rollup",
     _M,

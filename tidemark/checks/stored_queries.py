@@ -23,6 +23,7 @@ from tidemark.sources.archive import days_of, edits_by_day_and_lang, existing_ho
 from tidemark.sources.stream import landed_files
 from tidemark.sources.tables import Tables
 from tidemark.streaming.ingest import Ingest
+from tidemark.streaming.restart import pick_up, resume_ingest
 
 _done: dict[tuple[str, str, str], str] = {}
 
@@ -97,6 +98,40 @@ def stream_outcomes(spark, sf_dir):
     return _streamed(spark, sf_dir).read("outcomes").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
+def _resumed(spark: SparkSession, sf_dir: str) -> Tables:
+    """A third of the messages by one checkpoint, then all that landed by a fresh one that begins at the bookmark."""
+    def build(path: str) -> None:
+        tables, messages = Tables(spark, f"{path}/tables"), given.messages(spark, sf_dir)
+        last = messages.agg(F.max("position")).first()[0]
+        for k, part in enumerate((F.col("position") <= last / 3, F.col("position") > last / 3)):
+            messages.where(part).write.mode("append").parquet(f"{path}/landed")
+            if k == 0:
+                Ingest(tables).start(landed_files(spark, f"{path}/landed"), f"{path}/first", available_now=True).awaitTermination()
+        now_ms = tables.watermark_ms() + QUIET_MS
+        resume_ingest(tables, f"{path}/landed", f"{path}/second", now_ms, available_now=True).awaitTermination()
+
+    return Tables(spark, f"{_once(spark, sf_dir, 'resumed', build)}/tables")
+
+
+@query
+def resumed_edits(spark, sf_dir):
+    """What is stored after a restart with a fresh checkpoint: every message once."""
+    return _resumed(spark, sf_dir).read("edits").select("event_id", times.ms("event_time").alias("event_ms"), "lang", "title", "sse_id")
+
+
+@query
+def resume_gap_recorded(spark, sf_dir):
+    """The one gap left by two starts after the source has forgotten the newest event."""
+    path, now_ms = work_path(spark, "resume-gap"), Inputs(spark, sf_dir).to_ms + 8 * 86_400_000
+    tables = Tables(spark, f"{path}/tables")
+    tables.write_once("edits", given.edits(spark, sf_dir).withColumn("dt", F.to_date("event_time")), "all")
+    for k in range(2):
+        pick_up(tables, f"{path}/checkpoint-{k}", now_ms + k * 60_000)
+    return tables.read("ingest_gaps").select(
+        times.ms("detected_at").alias("detected_ms"), times.ms("gap_from").alias("gap_from_ms"), times.ms("gap_to").alias("gap_to_ms"), "reason"
+    )
+
+
 # --- a store filled from the given tables --------------------------------------------------------
 
 
