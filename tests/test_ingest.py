@@ -354,3 +354,19 @@ def test_the_ledger_adds_up_after_every_kind_of_write(spark, tables):
     agree()
     late = tables.stored_since(ms(T0 + timedelta(hours=21)))
     assert late.count() == 40 and set(r["token"] for r in late.select("token").collect()) == {"run-000000003"}
+
+
+def test_larger_inputs_land_in_more_files(spark, tmp_path, monkeypatch):
+    """One file is read by one task: a landing's files grow with its messages, and hold the same messages."""
+    from tidemark.checks import stored_queries
+    from tidemark.sources import given_tables as given
+
+    monkeypatch.setattr(stored_queries, "MESSAGES_PER_FILE", 20)
+    sf, landed = str(tmp_path / "sf"), str(tmp_path / "landed")
+    spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "concat('{\"k\": ', id, '}') AS props"
+    ).write.parquet(f"{sf}/events.parquet")
+    files = stored_queries._land(spark, sf, landed)
+    written = spark.read.parquet(landed)
+    assert files == 11 and len(written.inputFiles()) > stored_queries.LANDINGS * stored_queries.FILES_PER_LANDING
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, given.messages(spark, sf).collect()))

@@ -28,7 +28,8 @@ from tidemark.streaming.restart import pick_up, resume_ingest
 _done: dict[tuple[str, str, str], str] = {}
 
 LANDINGS = 3
-FILES_PER_LANDING = 4
+FILES_PER_LANDING = 4  # at least
+MESSAGES_PER_FILE = 50_000  # a file is read by one task, so larger inputs land in more files, not in larger ones
 QUIET_MS = 120_000
 
 
@@ -42,19 +43,36 @@ def _once(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
     return _done[key]
 
 
-def _land(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Messages as a connector lands them: a few times, in arrival order."""
-    messages = given.messages(spark, sf_dir)
-    last = messages.agg(F.max("position")).first()[0]
+def files_for(messages: int) -> int:
+    return max(FILES_PER_LANDING, -(-messages // MESSAGES_PER_FILE))
+
+
+def _land_part(arrivals: DataFrame, path: str, files: int) -> None:
+    """Dealt evenly before the texts are made, while rows are narrow."""
+    given.as_messages(arrivals.repartition(files, "position")).write.mode("append").parquet(path)
+
+
+def _extent(arrivals: DataFrame) -> tuple[int, int]:
+    """Highest position and number of arrivals."""
+    found = arrivals.agg(F.max("position").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    return found["last"], found["n"]
+
+
+def _land(spark: SparkSession, sf_dir: str, path: str) -> int:
+    """Messages as a connector lands them: a few times, in arrival order. Returns the files of a landing."""
+    arrivals = given.arrivals(spark, sf_dir)
+    last, n = _extent(arrivals)
+    files = files_for(-(-n // LANDINGS))
     for i in range(LANDINGS):
         part = F.expr(f"position * {LANDINGS} div {last + 1}") == i
-        messages.where(part).repartition(FILES_PER_LANDING).write.mode("append").parquet(path)
+        _land_part(arrivals.where(part), path, files)
+    return files
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> Tables:
     def build(path: str) -> None:
-        _land(spark, sf_dir, f"{path}/landed")
-        source = landed_files(spark, f"{path}/landed", max_files=FILES_PER_LANDING)
+        files = _land(spark, sf_dir, f"{path}/landed")
+        source = landed_files(spark, f"{path}/landed", max_files=files)
         run = Ingest(Tables(spark, f"{path}/tables")).start(source, f"{path}/checkpoint", available_now=True)
         run.awaitTermination()
 

@@ -38,13 +38,23 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` in the order they arrive, by `position`; every twentieth id arrives a second time, 500 arrivals later."""
+    once = base(spark, sf_dir).withColumn("position", F.expr("event_id * 2"))
+    again = once.where("(position div 2) % 20 = 0").withColumn("position", F.col("position") + 1001)
+    return once.unionByName(again)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as landed stream messages, some of them broken on purpose (by `event_id % 50`).
+    """`events` as landed stream messages, some of them broken on purpose (by `event_id % 50`)."""
+    return as_messages(arrivals(spark, sf_dir))
 
-    Arrival order is `position`; every twentieth id arrives a second time, 500 arrivals later.
-    """
-    broken = base(spark, sf_dir).selectExpr(
+
+def as_messages(arrived: DataFrame) -> DataFrame:
+    """The messages of these arrivals, row by row."""
+    broken = arrived.selectExpr(
         "event_id",
+        "position",
         "et",
         "event_id % 50 AS c",
         "concat('00000000-0000-4000-8000-', lpad(CAST(event_id AS STRING), 12, '0')) AS uid",
@@ -67,14 +77,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"title":"', CASE c WHEN 7 THEN '' ELSE title END,
         '","bot":', CASE c WHEN 6 THEN '"false"' WHEN 11 THEN 'null' ELSE bot END, '}') END
     """
-    once = broken.selectExpr(
-        "event_id * 2 AS position",
+    return broken.selectExpr(
+        "position",
         "concat('[{\"topic\":\"eqiad.x\",\"partition\":0,\"timestamp\":', CAST(unix_millis(et) AS STRING), '}]') AS sse_id",
         f"{text} AS data",
         "timestamp_millis(unix_millis(et) + 200 + (event_id * 7919) % 1800) AS received_at",
     )
-    again = once.where("(position div 2) % 20 = 0").withColumn("position", F.col("position") + 1001)
-    return once.unionByName(again)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
