@@ -119,10 +119,10 @@ def stream_outcomes(spark, sf_dir):
 def _resumed(spark: SparkSession, sf_dir: str) -> Tables:
     """A third of the messages by one checkpoint, then all that landed by a fresh one that begins at the bookmark."""
     def build(path: str) -> None:
-        tables, messages = Tables(spark, f"{path}/tables"), given.messages(spark, sf_dir)
-        last = messages.agg(F.max("position")).first()[0]
+        tables, arrivals = Tables(spark, f"{path}/tables"), given.arrivals(spark, sf_dir)
+        last, n = _extent(arrivals)
         for k, part in enumerate((F.col("position") <= last / 3, F.col("position") > last / 3)):
-            messages.where(part).write.mode("append").parquet(f"{path}/landed")
+            _land_part(arrivals.where(part), f"{path}/landed", files_for(n * (k + 1) // 3))
             if k == 0:
                 Ingest(tables).start(landed_files(spark, f"{path}/landed"), f"{path}/first", available_now=True).awaitTermination()
         now_ms = tables.watermark_ms() + QUIET_MS
