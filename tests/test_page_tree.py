@@ -85,3 +85,18 @@ def test_pages_expire_at_every_level(tables, spark, spread):
     page_sets.add_pages(tables, frame(spark, spread), "w")
     dropped = upkeep.expire(tables, ms(T0 + timedelta(days=16)))
     assert dropped["pages_per_day"] == dropped["pages_per_hour"] == dropped["pages_per_minute"] != []
+
+
+def test_folding_many_days_takes_one_swap_and_pages_read_edits_once(spark, tables, spread, monkeypatch):
+    for part in range(2):
+        page_sets.add_pages(tables, frame(spark, spread), f"w{part}")
+    assert not tables.files.glob(f"{tables.root}/_work/*")
+    before = {n: sorted(map(tuple, tables.read(n).drop("token").distinct().collect())) for n in ("pages_per_minute", "pages_per_hour", "pages_per_day")}
+    swaps, swap = [], type(tables).swap
+    monkeypatch.setattr(type(tables), "swap", lambda self, held, rows, token: (swaps.append(held.name), swap(self, held, rows, token))[1])
+    for name in before:
+        upkeep.compact_all(tables, name, tables.partitions(name), 1)
+    assert sorted(swaps) == sorted(before) and len(tables.partitions("pages_per_day")) > 1
+    for name, rows in before.items():
+        assert sorted(map(tuple, tables.read(name).drop("token").collect())) == rows
+        assert all(t == "compacted-1" for _, t in tables.hold(name, tables.partitions(name)).tokens)

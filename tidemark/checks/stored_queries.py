@@ -451,9 +451,9 @@ def _page_store(spark: SparkSession, sf_dir: str) -> Tables:
         for part in range(WRITES):
             page_sets.add_pages(tables, i.edits.where(F.expr(f"ingest_seq * {WRITES} div {last + 1} IN ({part}, {part + 1})")), f"w{part}")
         tables.write_once("edits_per_minute", rollups.with_month(i.rollup), "given")
-        for day in tables.partitions("pages_per_day")[::3]:
-            for name in ("pages_per_minute", "pages_per_hour", "pages_per_day"):
-                upkeep.compact(tables, name, day, i.now_ms)
+        days = tables.partitions("pages_per_day")[::3]
+        for name in ("pages_per_minute", "pages_per_hour", "pages_per_day"):
+            upkeep.compact_all(tables, name, days, i.now_ms)
 
     return Tables(spark, _once(spark, sf_dir, "pages", build))
 

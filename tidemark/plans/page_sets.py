@@ -22,9 +22,11 @@ def add_pages(tables: Tables, edits: DataFrame, token: str) -> None:
 
     Minutes come last, so a minute's page is in its hour and day, or will be when the write that was cut off is done again.
     """
-    tables.write_once("pages_per_day", page_tree.per_day(edits), token)
-    tables.write_once("pages_per_hour", page_tree.per_hour(edits).withColumn("dt", F.to_date("hour")), token)
-    tables.write_once("pages_per_minute", with_day(pages_per_minute(edits)), token)
+    minutes = tables.keep(f"pages-{token}", pages_per_minute(edits))  # edits are read once; hours and days come from their members
+    tables.write_once("pages_per_day", page_tree.per_day(minutes), token)
+    tables.write_once("pages_per_hour", page_tree.per_hour(minutes).withColumn("dt", F.to_date("hour")), token)
+    tables.write_once("pages_per_minute", with_day(minutes), token)
+    tables.drop_kept(f"pages-{token}")
 
 
 def complete_tree(tables: Tables) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, Settings
 from tidemark.operators import page_tree, rollups
 from tidemark.plans.reconcile import require_quiet
-from tidemark.sources.tables import Tables
+from tidemark.sources.tables import Held, Tables
 
 _MERGED = {
     "edits": lambda rows: rows.drop("token"),
@@ -34,9 +36,16 @@ def compact(tables: Tables, name: str, value: str, now_ms: int) -> None:
     Ingest may go on meanwhile: only the tokens read are removed, and each stream's newest batch
     is left for the next time.
     """
+    compact_all(tables, name, [value], now_ms)
+
+
+def compact_all(tables: Tables, name: str, values: Sequence[str], now_ms: int) -> None:
+    """Fold each of these days (or months) in one swap: its jobs don't grow with their number, and all are worked on at once."""
     tables.finish_replace(name)
-    held = tables.hold(name, [value], settled=True)
-    if len(held.tokens) > 1:
+    held = tables.hold(name, values, settled=True)
+    writes = Counter(value for value, _ in held.tokens)
+    held = Held(name, tuple((v, t) for v, t in held.tokens if writes[v] > 1))
+    if held.tokens:
         tables.swap(held, _MERGED[name](tables.read_held(held)), f"compacted-{now_ms}")
 
 

@@ -292,6 +292,9 @@ class Tables:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def drop_kept(self, name: str) -> None:
+        self.files.remove(f"{self.root}/_work/{name}")
+
     def drop_partition(self, name: str, value: str) -> None:
         _, partitions = TABLES[name]
         self.files.remove(f"{self.path(name)}/{partitions[0]}={value}")
