@@ -262,8 +262,7 @@ def compacted_rollup(spark, sf_dir):
     for part in range(3):
         some = i.edits.where(F.expr("ingest_seq div 1000 % 3") == part)
         tables.write_once("edits_per_minute", rollups.with_month(rollups.per_minute(some)), f"w{part}")
-    for month in tables.partitions("edits_per_minute"):
-        upkeep.compact(tables, "edits_per_minute", month, i.now_ms)
+    upkeep.compact_all(tables, "edits_per_minute", tables.partitions("edits_per_minute"), i.now_ms)
     rows = tables.read("edits_per_minute")  # read as stored: already one row a minute
     return rows.select(times.seconds("minute").alias("minute_s"), "lang", "edits", "bot_edits")
 
@@ -314,8 +313,7 @@ def _restored_folded(spark: SparkSession, sf_dir: str) -> Tables:
         now_ms = i.to_ms + QUIET_MS
         restore(tables, base, now_ms)
         for name in ("edits", "edits_per_minute"):
-            for value in tables.partitions(name):
-                upkeep.compact(tables, name, value, now_ms)
+            upkeep.compact_all(tables, name, tables.partitions(name), now_ms)
         day = tables.partitions("edits")[-1]
         lost = tables.read("edits").where((F.col("dt") == F.lit(day).cast("date")) & (F.hour("event_time") % 2 == 0))
         tables.replace("edits", [day], lost.drop("token"), "folded")
