@@ -258,6 +258,21 @@ def test_main_text_beside_groups_of_copies(spark):
     assert all(texts[200 + i] == f"List {i} of the archive of this paper" for i in range(4))
 
 
+def test_main_text_of_a_host_with_many_layouts(spark):
+    def page(kind, i):
+        return f"<div class='lay{kind}'><div class='top{kind}'>Our daily {kind}</div><div class='text{kind}'><p>Story {i} of kind {kind} goes on and on for a long while</p></div></div>"
+
+    kinds = "abcdefghijkl"
+    rows = [(10 * n + i, f"http://h.example/{kind}{i}", page(kind, i)) for n, kind in enumerate(kinds) for i in range(4)]
+    rows += [(1000 + i, f"http://g.example/{i}", page("z", i)) for i in range(4)] + [(2000, None, page("y", 0)), (2001, "http://h.example/none", None)]
+    got = wrapper_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows)
+    assert all(texts[10 * n + i] == f"Story {i} of kind {kind} goes on and on for a long while" for n, kind in enumerate(kinds) for i in range(4))
+    assert all(texts[1000 + i] == f"Story {i} of kind z goes on and on for a long while" for i in range(4))
+    assert texts[2000].startswith("Our daily y") and texts[2001] == ""
+
+
 def test_main_text_of_wrappers_and_deep_pages():
     text = "The whole story of the day, told in one long line of words."
     for wrapper in ("div class='content has-sidebar'", "div id='share-page'", "div class='post related-x'", "div class='sidebar'", "form"):

@@ -11,7 +11,8 @@ A page that is mostly the same as another (a copy) says nothing about the templa
 
 A host offers the outlines of a few pages: of its layouts in turn, and of each layout pages whose longest text differs, so
 that a group of copies, whatever its size, takes one place while there are others. They travel as outlines with hashed texts. They meet the pages by a sort-merge join on the
-host, whose large partitions Spark splits, so a host with a third of all pages is no single task.
+host, whose large partitions Spark splits, so a host with a third of all pages is no single task. Where a host has more to offer than that, its pages
+are told apart by layout first and get the outlines of their own layout as well, so no layout goes without mates, however many a host has.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.common import whole, written
 
 MATES = 3
-POOL = 8  # outlines a host offers to its pages, of which each takes the first `MATES` that are no copies of it, its own layout first
+POOL = 8  # outlines that a host, and each layout of a host with more, offers to its pages: each takes the first `MATES` that are no copies of it, its own layout first
 AGREE = 2  # so many mates must have a node's text for it to be template
 COPY_SHARE = 0.5  # a mate that has more of a page's text than this is a copy of it
 
@@ -335,12 +336,30 @@ def main_text(pages: DataFrame, page_id="page_id", url="url", html="html") -> Da
     offered = Window.partitionBy("host").orderBy("turn", "layout")
     chosen = outlines.withColumn("same", F.row_number().over(copies)).where("same = 1").withColumn("copy", F.row_number().over(stories))
     chosen = chosen.withColumn("turn", F.row_number().over(layouts)).where(F.col("turn") <= POOL)
-    chosen = chosen.withColumn("k", F.row_number().over(offered)).where(F.col("k") <= POOL + 1)
-    mates = chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "h", "outline"))).alias("mates"))
-    joined = rows.withColumn("h", F.xxhash64("page_id", "html")).join(written(mates, "page-mates").hint("merge"), "host", "left")
+    chosen = chosen.withColumn("k", F.row_number().over(offered)).select("host", "layout", "turn", "k", "h", "outline")
+    chosen = written(chosen, "page-mates")
+    mates = chosen.where(F.col("k") <= POOL + 1).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "h", "outline"))).alias("mates"))
+    rows = rows.withColumn("h", F.xxhash64("page_id", "html"))
     kind = pages.schema[page_id].dataType.simpleString()
-    others = F.transform(F.filter("mates", lambda m: m["h"] != F.col("h")), lambda m: m["outline"])
-    asked = joined.select("page_id", "url", "html", F.coalesce(F.slice(others, 1, POOL), F.array().cast("array<string>")).alias("mates"))
+
+    def others(mates: str) -> Column:
+        found = F.transform(F.filter(mates, lambda m: m["h"] != F.col("h")), lambda m: m["outline"])
+        return F.coalesce(F.slice(found, 1, POOL), F.array().cast("array<string>"))
+
+    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(layout=[layout(outline(Page(page).root)) for page in batch["html"]])
+
+    crowded = chosen.where(F.col("k") > POOL + 1).select("host").distinct()  # hosts that have more to offer than their pages are given
+    if crowded.isEmpty():
+        asked = rows.join(mates.hint("merge"), "host", "left").select("page_id", "url", "html", others("mates").alias("mates"))
+    else:
+        asked = rows.join(crowded, "host", "left_anti").join(mates.hint("merge"), "host", "left").select("page_id", "url", "html", others("mates").alias("mates"))
+        told = rows.join(crowded, "host", "left_semi").select("page_id", "url", "host", "h", "html")
+        told = told.mapInPandas(laid_out, f"page_id {kind}, url string, host string, h long, html string, layout long")
+        own = chosen.join(crowded, "host", "left_semi").groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.struct("turn", "h", "outline"))).alias("own"))
+        told = told.join(own.hint("merge"), ["host", "layout"], "left").join(mates.hint("merge"), "host", "left")
+        asked = asked.unionByName(told.select("page_id", "url", "html", F.array_distinct(F.concat(others("own"), others("mates"))).alias("mates")))
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = functools.lru_cache(maxsize=2_000)(unpacked)
