@@ -307,6 +307,42 @@ def test_jaccard_components(docs, nothing):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_the_rest_of_a_tile_gives_each_pair_once(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    common = " ".join(f"c{k}" for k in range(30))
+    texts = []
+    for g in range(6):  # groups of near copies, some too far apart, that all share a passage
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(60 + 8 * g)]
+        for _ in range(14):
+            own = list(words)
+            for k in rng.sample(range(len(own)), rng.randint(0, 3)):
+                own[k] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(own) + " " + common)
+    seen = []
+    rest = jaccard_join._rest
+    monkeypatch.setattr(jaccard_join, "_rest", lambda tiles: seen.append((tiles, rest(tiles))) or seen[-1][1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    tiles, pairs = seen[0]
+    sets = {jaccard_join.node_of(s): set(s.tolist()) for s in map(jaccard_join.shingles, texts)}
+    label = {r["node"]: r["label"] for r in tiles.collect()}
+    linked = {frozenset((a, b)) for a in sets for b in sets if a != b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    found = [frozenset(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and all(len(sets[x]) <= len(sets[y]) for x, y in pairs.collect())
+    assert {p for p in linked if len({label.get(x, x) for x in p}) == 2} <= set(found)
+    assert len(found) < 3 * len(linked)
+    nodes = [jaccard_join.node_of(jaccard_join.shingles(t)) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(nodes):
+            for j, b in enumerate(nodes):
+                if a == b or frozenset((a, b)) in linked:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want))
+
+
 def test_jaccard_on_nothing(nothing):
     kept = jaccard_join.near_dedup(nothing)
     assert kept.columns == nothing.columns and kept.count() == 0

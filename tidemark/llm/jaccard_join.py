@@ -10,7 +10,8 @@ Inside tiles pairs are tested in two steps, so that a group of g near copies cos
 
 1. stars: each set against the leaders, in the tiles of the last few shingles of its prefix, that it shares most of these with;
 2. the rest: all pairs of a tile, of whole prefixes, that the links found so far do not connect already, and whose places in
-   both prefixes leave room for the intersection (they do at the first shingle that a linked pair shares).
+   both prefixes leave room for the intersection (they do at the first shingle that a linked pair shares), judged at the first
+   shingle that a pair shares and not again where one of the last few before it is shared.
 
 A pair is first bounded by bitmaps (every bit that A has and B lacks is a shingle that B lacks), then its sorted
 shingle arrays are intersected exactly. Connected components are found by label propagation on written tables.
@@ -37,6 +38,8 @@ LAST = 8  # places of a prefix that look for leaders
 ROUNDS = 3
 LEADS = 4  # leaders of a tile in a round
 LEADERS = 8  # that a set is tested against in a round
+EARLIER = 16  # shingles before its own that a row of an open tile knows
+FOLDED = 8  # words of its bitmap that it knows
 FLUSH = 4_000_000
 BLOCK = 1 << 18  # bytes of text that are coded at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -383,11 +386,7 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", sketch_bit
         labelled = _labelled(open_tiles, labels).select("*", F.min("label").over(across).alias("least"), F.max("label").over(across).alias("most"))
         labelled = written(labelled.where("least <> most").select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
         open_tiles = labelled.drop("label")
-    lower = labelled.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    x = lower.select("shingle", "band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("label").alias("label_x"))
-    # at the first shingle that a linked pair shares, either set still holds the whole intersection
-    holds = "7L * least(n_x - place_x, n - place) >= 3L * (n_x + n)"
-    rest = x.join(labelled, ["shingle", "band"]).where(f"label_x <> label and {holds}")
+    rest = _rest(written(_with_hints(labelled, sets), "jaccard-rest"))
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     if step := _tested(rest, sets, bodies, edges, tested):
         edges = step[0]
@@ -412,6 +411,32 @@ def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _with_hints(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """What a row of a tile knows of its set: the open shingles just before its own, and its bitmap folded."""
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1)
+    fold = F.array(*[F.expr(" | ".join(f"bits[{k}]" for k in range(j, BITS // 64, FOLDED))) for j in range(FOLDED)])
+    return tiles.withColumn("earlier", F.collect_list("shingle").over(before)).join(sets.select("node", fold.alias("fold")), "node")
+
+
+def _rest(tiles: DataFrame) -> DataFrame:
+    """(x, node) of each tile's pairs of unlike labels that may link, the smaller set first; as rows of a pair as few as can be told here.
+
+    At the first shingle that a linked pair shares, either set still holds the whole intersection, so the smaller one is in the first
+    seventh of its order. A pair that shares one of the shingles before was judged there. Folded bitmaps bound pairs as whole ones do.
+    """
+    own = ["n", "place", "label", "earlier", "fold"]
+    smaller = tiles.where("7L * place <= n").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    x = smaller.select("shingle", "band", F.col("node").alias("x"), *[F.col(c).alias(f"{c}_x") for c in own])
+    lacks = [" + ".join(f"bit_count({a}[{k}] & ~{b}[{k}])" for k in range(FOLDED)) for a, b in (("fold_x", "fold"), ("fold", "fold_x"))]
+    may = [
+        "label_x <> label and (n_x < n or n_x = n and x < node)",
+        "7L * least(n_x - place_x, n - place) >= 3L * (n_x + n)",
+        f"7L * least(n_x - ({lacks[0]}), n - ({lacks[1]})) >= 3L * (n_x + n)",
+        "not arrays_overlap(earlier_x, earlier)",
+    ]
+    return x.join(tiles, ["shingle", "band"]).where(" and ".join(f"({m})" for m in may)).select("x", "node")
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, bodies: DataFrame, edges: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
     """Test the pairs that were not tested before: all links and all tested pairs so far; none if nothing was left to test."""
     fresh = bounded(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
