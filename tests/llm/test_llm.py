@@ -196,6 +196,35 @@ def test_encoding_matches_the_library(spark, docs, nothing):
     assert pt.encode_texts(nothing, model).count() == 0
 
 
+def test_a_word_is_searched_once_whatever_follows_it(monkeypatch):
+    machine, searched = pt.Transducer(piece_model()), []
+    search = machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda cut: searched.append(cut) or search(cut))
+    ends = [c for c in "!?$;:§~^" if "r" + c not in machine.neighbours]
+    text = " ".join(["onwhor", *(f"onwhor{c}" for c in ends)] * 2)
+    assert len(ends) > 2 and machine.decode(machine.encode(text)) == text
+    assert searched.count("▁onwhor") == 1 and len(searched) <= 1 + len(ends)
+
+
+def test_cuts_still_in_use_are_kept_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(pt, "REMEMBERED", 20)
+    machine, other, searched = pt.Transducer(piece_model()), pt.Transducer(piece_model()), []
+    search = machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda cut: searched.append(cut) or search(cut))
+    for k in range(100):
+        assert machine.encode(f"onwhor w{k}") == other.encode(f"onwhor w{k}")
+    assert searched.count("▁onwhor") == 1 and len(machine.by_cut) + len(machine.older) <= 40
+
+
+def test_decoding_bytes_between_pieces():
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -1.0, 1), ("a", -2.0, 1), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    machine = pt.Transducer.of(pieces, pt.MERGES)
+    byte = {b: 4 + b for b in range(256)}
+    assert machine.decode([2, 3, byte[0xC3], byte[0xA9], 3]) == "aéa"
+    assert machine.decode([2, byte[0xC3], 3, byte[0xA9], byte[0x0A]]) == "\ufffda\ufffd\n"
+    assert machine.decode([2, byte[0xC3], 1, byte[0xA9], 0]) == "\ufffd\ufffd ⁇ "
+
+
 def test_unigram_shortest_path_is_the_best_of_all():
     pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -2.2, 1), ("▁", -1.5, 1), ("ba", -2.1, 1)]
     machine = pt.Transducer.of(pieces, pt.UNIGRAM)

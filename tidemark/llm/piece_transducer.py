@@ -12,7 +12,8 @@ Three machines are compiled from a model file and composed with each input while
   is infinite otherwise, and that is learned pair by pair as inputs need it.
 
 The result is the shortest path in the tropical semiring (sums along a path, minimum over paths). Inputs are cut
-where no piece can cross, before each run of marks, so paths are short and repeated cuts are looked up.
+where no piece can cross, before each run of marks, so paths are short and repeated cuts are looked up. A merge model's
+new cut is cut further between characters that are neighbours in no piece, so a word is searched once, whatever follows it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, MERGES = 1, 2
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 500_000  # cuts and pairs a worker remembers before it begins anew
+REMEMBERED = 500_000  # cuts and pairs a worker remembers before it begins anew; cuts it still needs it takes over
 INFINITE = math.inf
 
 
@@ -109,8 +112,16 @@ class Transducer:
         self.worst = min([self.scores[i] for i in self.ids.values()], default=0.0) - UNKNOWN_PENALTY
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cuts = re.compile(".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-        self.by_cut: dict[str, list[int]] = {}
-        self.by_pair: dict[tuple[str, str], bool] = {}
+        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.shown = [bytes([self.byte_of[i]]) if i in self.byte_of else self._shown(i) for i in range(len(pieces))]
+        self.by_cut: dict[str, bytes] = {}  # int32 ids
+        self.older: dict[str, bytes] = {}
+        self.by_pair: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+
+    def _shown(self, i: int) -> bytes | None:
+        text = "" if i in self.silent else " ⁇ " if i == self.unknown else self.texts[i]
+        return text.encode("utf-8", "replace") or None
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -120,47 +131,75 @@ class Transducer:
         return text.replace(" ", MARK) if self.escape else text
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.by_cut
-        for cut in self.cuts.findall(self.normalised(text)):
-            ids = known.get(cut)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[cut] = self._emit(self.shortest_path(cut))
-            out += ids
-        return out
+        return self.coded(text).tolist()
+
+    def coded(self, text: str) -> np.ndarray:
+        cuts = self.cuts.findall(self.normalised(text))
+        found = list(map(self.by_cut.get, cuts))
+        if None in found:
+            found = [self._learned(cut) if ids is None else ids for cut, ids in zip(cuts, found)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _learned(self, cut: str) -> bytes:
+        """The ids of a cut, remembered; those of its parts, between which no piece can cross, too."""
+        ids = self.by_cut.get(cut) or self.older.get(cut)
+        if ids is None:
+            parts = self._parts(cut)
+            ids = array("i", self._emit(self.shortest_path(cut))).tobytes() if len(parts) == 1 else b"".join(map(self._learned, parts))
+        if len(self.by_cut) >= REMEMBERED:
+            self.by_cut, self.older = {}, self.by_cut
+        self.by_cut[cut] = ids
+        return ids
+
+    def _parts(self, cut: str) -> list[str]:
+        joined = self.neighbours
+        if self.kind != MERGES or joined.issuperset(map(str.__add__, cut, cut[1:])):
+            return [cut]
+        ends = [k for k in range(1, len(cut)) if cut[k - 1 : k + 1] not in joined]
+        return [cut[a:b] for a, b in zip([0, *ends], [*ends, len(cut)])]
 
     def shortest_path(self, cut: str) -> list[str]:
         """The pieces along the lightest path through the composed machine."""
         return (self._only_path(cut) if self.kind == MERGES else None) or self._lightest_path(cut)
 
-    def _ends(self, cut: str, i: int) -> Iterator[int]:
-        """Where arcs from i lead, longest piece first; every single character has an arc."""
-        node, j, found = self.trie, i, [i + 1]
-        while j < len(cut) and (node := node.get(cut[j])) is not None:
+    def _ends(self, cut: str, i: int) -> list[int]:
+        """Where arcs from i lead, longest piece last; every single character has an arc."""
+        j = i + 1
+        node, found = self.trie.get(cut[i]), [j]
+        for c in cut[j:]:
+            node = node.get(c) if node else None
+            if node is None:
+                break
             j += 1
-            if "" in node and j > i + 1:
+            if "" in node:
                 found.append(j)
-        return reversed(found)
+        return found
 
     def _only_path(self, cut: str) -> list[str] | None:
         """Of a merge model one path has a finite weight, and so has each of its beginnings: the merges of a text's
-        beginning end in one last piece. So a search in depth may drop a place for good once it leads nowhere."""
-        ends, open_arcs, dead = [0], [self._ends(cut, 0)], set()
-        while ends and ends[-1] < len(cut):
-            i = ends[-1]
-            last = cut[ends[-2] : i] if i else ""
-            for j in open_arcs[-1]:
-                if j not in dead and self._side_by_side(last, cut[i:j]):
+        beginning end in one last piece. So a search in depth, longest pieces first, may drop a place for good once it leads nowhere."""
+        n, known = len(cut), self.by_pair
+        ends, path, open_arcs, dead = [0], [""], [self._ends(cut, 0)], set()
+        while ends and ends[-1] < n:
+            i, last, arcs = ends[-1], path[-1], open_arcs[-1]
+            after = known.get(last) or self._after(last)
+            while arcs:
+                j = arcs.pop()
+                if j in dead:
+                    continue
+                piece = cut[i:j]
+                fits = after.get(piece)
+                if self._side_by_side(last, piece) if fits is None else fits:
                     ends.append(j)
-                    open_arcs.append(self._ends(cut, j) if j < len(cut) else iter(()))
+                    path.append(piece)
+                    open_arcs.append(self._ends(cut, j) if j < n else [])
                     break
             else:
                 dead.add(i)
                 ends.pop()
+                path.pop()
                 open_arcs.pop()
-        return [cut[a:b] for a, b in zip(ends, ends[1:])] or None
+        return path[1:] or None
 
     def _lightest_path(self, cut: str) -> list[str]:
         """Forward over the places of the cut; with a merge model the state is the last piece of the best path."""
@@ -196,14 +235,19 @@ class Transducer:
 
     def _side_by_side(self, left: str, right: str) -> bool:
         """Whether merging the joined text of two pieces gives these two."""
-        key = (left, right)
-        found = self.by_pair.get(key)
+        after = self._after(left)
+        found = after.get(right)
         if found is None:
-            if len(self.by_pair) >= REMEMBERED:
+            if self.pairs >= REMEMBERED:
                 self.by_pair.clear()
-            found = self.by_pair[key] = self._merged(left + right) == [p for p in key if p]
+                self.pairs, after = 0, self._after(left)
+            self.pairs += 1
+            found = after[right] = self._merged(left + right) == [p for p in (left, right) if p]
         return found
 
+    def _after(self, left: str) -> dict[str, bool]:
+        return self.by_pair.setdefault(left, {})
+
     def _merged(self, text: str) -> list[str]:
         """The pieces of a text no longer than two pieces: the best-scored neighbours merge, leftmost first."""
         parts = list(text)
@@ -231,20 +275,12 @@ class Transducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                run.append(byte)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.texts[i])
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        try:  # a piece never begins within a character, so bytes that lack one's rest end before it
+            shown = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
+        except TypeError:  # pieces without a text end them as well
+            runs = groupby(ids, lambda i: self.shown[i] is None)
+            shown = "".join(b"".join(map(self.shown.__getitem__, run)).decode("utf-8", "replace") for silent, run in runs if not silent)
+        text = shown.replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -276,9 +312,9 @@ def encode_texts(docs: DataFrame, model: bytes, doc_id="doc_id", text="text") ->
                 batch = whole_batch.slice(at, 256)
                 ids, same = [], []
                 for t in batch.column(1).to_pylist():
-                    got = machine.encode(t)
-                    ids.append(np.array(got, np.int32))
-                    same.append(machine.decode(got) == (re.sub(" +", " ", t.strip(" ")) if machine.squeeze else t).replace(MARK, " "))
+                    got = machine.coded(t)
+                    ids.append(got)
+                    same.append(machine.decode(got.tolist()) == (re.sub(" +", " ", t.strip(" ")) if machine.squeeze else t).replace(MARK, " "))
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
