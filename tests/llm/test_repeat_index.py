@@ -84,6 +84,19 @@ def test_against_every_string(spark, monkeypatch, least, hot, block):
     assert sorted(map(tuple, repeat_index.digest(found).collect()), key=repr) == expected(rows, least)
 
 
+def test_copies_are_told_without_the_index(spark, monkeypatch):
+    rng = random.Random(3)
+    one, other, single = ("".join(rng.choices("abcdefgh äß", k=900)) for _ in range(3))
+    rows = list(enumerate([one, one, one, other, other, other[:700] + "!" + single]))
+    entered, match = [], repeat_index.long_matches
+    monkeypatch.setattr(repeat_index, "long_matches", lambda segments, least: entered.append(segments.collect()) or match(segments, least))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = repeat_index.digest(repeat_index.repeated_spans(docs))
+    assert sorted(map(tuple, found.collect())) == expected(rows, 400)
+    assert entered[0] and all(bytes(r["segment"]).decode("utf-8", "ignore") not in one for r in entered[0])
+    assert [list(s) for s in repeat_index.marked([b"abc" * 300, b"x" + b"abc" * 150], [2, 1], 400)] == [[(0, 900)], [(1, 451)]]
+
+
 def test_kept_bytes_agree_with_their_digest(spark):
     rows = some_rows(random.Random(9), 400)
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
