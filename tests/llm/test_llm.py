@@ -372,6 +372,25 @@ def test_the_rest_of_a_tile_gives_each_pair_once(spark, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+def test_tile_rows_without_a_possible_partner_are_left_out(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randrange(12), node, n, rng.randrange(jaccard_join.prefix_length(n))) for node, n in enumerate(rng.choices(range(1, 90), k=120))]
+    rows += [(100 + k // 2, 500 + k, n, rng.randrange(jaccard_join.prefix_length(n))) for k, n in enumerate(rng.choices(range(20, 40), k=120))]
+    got = {r["node"]: r["room"] for r in jaccard_join._with_room(spark.createDataFrame(rows, "shingle long, node long, n int, place int")).collect()}
+    may = {x: any(s == t and x != y and 7 * min(n - p, m - q) >= 3 * (n + m) for t, y, m, q in rows) for s, x, n, p in rows}
+    assert all(got[x] for x in may if may[x]) and {True, False} == {may[x] for x in may if x >= 500}
+    assert all(got[x] == may[x] for x in may if x >= 500)  # tiles of two rows
+    # passages of short texts make up long ones: all shingles are shared, but only one pair can link
+    shorts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(15)]
+    texts = [*shorts, shorts[0] + " more", *[" ".join(shorts[k : k + 5]) for k in (0, 5, 10)]]
+    kept, written = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: kept.setdefault(name, written(df, name)) if name in ("jaccard-sets", "jaccard-texts") else written(df, name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {k: 0 if k == 15 else k for k in range(len(texts))}
+    assert {r["id"] for r in kept["jaccard-sets"].collect()} == {0, 15} and kept["jaccard-texts"].count() == 2
+
+
 def test_jaccard_on_nothing(nothing):
     kept = jaccard_join.near_dedup(nothing)
     assert kept.columns == nothing.columns and kept.count() == 0

@@ -355,17 +355,18 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", sketch_bit
     rows = written(nodes(texts, kind), "jaccard-nodes")
     some = rows.where("n > 0")
     postings = prefix_postings(texts, frequency_classes(texts, sketch_bits))
-    tile = Window.partitionBy("shingle")
-    met = postings.select("*", F.min("node").over(tile).alias("least"), F.max("node").over(tile).alias("most")).where("least <> most")
+    # a copy's own changes come first in its order, what it shares with its group comes last
+    last = F.col("place") >= F.expr("n - (3L * n + 3) div 4 + 1") - LAST
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    tiles = written(met.select("shingle", "node", "n", "place").distinct().withColumn("band", band), "jaccard-tiles")
+    met = _with_room(_shared(postings, "node").distinct()).withColumn("band", band)
+    met = written(met.where(F.col("room") | last), "jaccard-met")
+    tiles = met.where("room").drop("room")
     involved = tiles.select("node").distinct()
     sets = written(some.join(involved, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-sets")
     bodies = written(_bodies(texts, sets), "jaccard-texts")
     edges = tested = None
-    # a copy's own changes come first in its order, what it shares with its group comes last
-    last = F.col("place") >= F.expr("n - (3L * n + 3) div 4 + 1") - LAST
-    firsts = written(tiles.where(last).select("shingle", "band", "node", "place"), "jaccard-firsts")
+    firsts = met.where(last).join(involved, "node", "left_semi")
+    firsts = written(firsts.select("shingle", "band", "node", "place"), "jaccard-firsts")
     labelled, labels, open_tiles = firsts.withColumn("label", F.col("node")), None, tiles
     for turn in range(ROUNDS):
         leads = F.array(*[F.min_by(F.struct("node", "label"), _lead(turn * LEADS + k)) for k in range(LEADS)])
@@ -382,11 +383,10 @@ def jaccard_components(docs: DataFrame, doc_id="doc_id", text="text", sketch_bit
             labels = components(edges)
         elif turn:
             break
-        across = Window.partitionBy("shingle")
-        labelled = _labelled(open_tiles, labels).select("*", F.min("label").over(across).alias("least"), F.max("label").over(across).alias("most"))
-        labelled = written(labelled.where("least <> most").select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
+        labelled = _with_room(_shared(_labelled(open_tiles, labels), "label")).where("room")
+        labelled = written(labelled.select("shingle", "band", "node", "n", "place", "label"), "jaccard-open")
         open_tiles = labelled.drop("label")
-    rest = _rest(written(_with_hints(labelled, sets), "jaccard-rest"))
+    rest = _rest(written(_labelled(_with_hints(labelled, sets), labels), "jaccard-rest"))
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     if step := _tested(rest, sets, bodies, edges, tested):
         edges = step[0]
@@ -411,19 +411,54 @@ def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _shared(rows: DataFrame, owner: str) -> DataFrame:
+    """The rows whose shingle has rows of another `owner` too."""
+    tile = Window.partitionBy("shingle")
+    met = rows.select("*", F.min(owner).over(tile).alias("least"), F.max(owner).over(tile).alias("most"))
+    return met.where("least <> most").drop("least", "most")
+
+
+def _with_room(rows: DataFrame) -> DataFrame:
+    """Whether a row may be where a linked pair first shares a shingle (`room`), by what its tile holds.
+
+    There, with sets x and y in order of (size, node), x's reach, 4 n - 7 place, is 3 times y's size at least and y's reach 3 times x's:
+    both still hold the whole intersection. A row before and one after, in this order, stand for any partner, so none is missed; in a
+    tile of two rows it's exact.
+    """
+    up = Window.partitionBy("shingle").orderBy("n", "node")
+    down = Window.partitionBy("shingle").orderBy(F.desc("n"), F.desc("node"))
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    after = down.rowsBetween(Window.unboundedPreceding, -1)  # a running maximum, which one over following rows is not
+    reach = F.expr("4L * n - 7L * place")
+    own = rows.columns
+    seen = rows.select(
+        "*",
+        reach.alias("reach"),
+        F.max(reach).over(before).alias("reach_before"),
+        F.min("n").over(before).alias("least_before"),
+        F.max(reach).over(after).alias("reach_after"),
+        F.lead("n").over(up).alias("least_after"),
+    )
+    larger = "reach_before >= 3L * n and reach >= 3L * least_before"
+    smaller = "reach_after >= 3L * n and reach >= 3L * least_after"
+    return seen.select(*own, F.expr(f"coalesce({larger}, false) or coalesce({smaller}, false)").alias("room"))
+
+
 def _with_hints(tiles: DataFrame, sets: DataFrame) -> DataFrame:
-    """What a row of a tile knows of its set: the open shingles just before its own, and its bitmap folded."""
+    """(node, n, fold, rows): every set with its bitmap folded and its rows in tiles, each with the open shingles just before its own."""
     before = Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1)
+    rows = tiles.withColumn("earlier", F.collect_list("shingle").over(before)).groupBy("node").agg(F.collect_list(F.struct("shingle", "band", "place", "earlier")).alias("rows"))
     fold = F.array(*[F.expr(" | ".join(f"bits[{k}]" for k in range(j, BITS // 64, FOLDED))) for j in range(FOLDED)])
-    return tiles.withColumn("earlier", F.collect_list("shingle").over(before)).join(sets.select("node", fold.alias("fold")), "node")
+    return sets.select("node", "n", fold.alias("fold")).join(rows, "node", "left")
 
 
-def _rest(tiles: DataFrame) -> DataFrame:
+def _rest(known: DataFrame) -> DataFrame:
     """(x, node) of each tile's pairs of unlike labels that may link, the smaller set first; as rows of a pair as few as can be told here.
 
     At the first shingle that a linked pair shares, either set still holds the whole intersection, so the smaller one is in the first
     seventh of its order. A pair that shares one of the shingles before was judged there. Folded bitmaps bound pairs as whole ones do.
     """
+    tiles = known.select("node", "n", "label", "fold", F.inline("rows"))
     own = ["n", "place", "label", "earlier", "fold"]
     smaller = tiles.where("7L * place <= n").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     x = smaller.select("shingle", "band", F.col("node").alias("x"), *[F.col(c).alias(f"{c}_x") for c in own])
